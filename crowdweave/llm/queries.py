@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from crowdweave.llm import packing, quality
+from crowdweave.llm import line_dedup, mixing, packing, quality
 from crowdweave.llm.common import table
 
 
+def op2_line_dedup(spark, sf_dir):
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "row.source", "n_lines", "n_removed", "row.text")
+
+
+def op3_pfair_mixing(spark, sf_dir):
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -15,8 +24,29 @@ def op10_compression_bands(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_pfair_mixing": op3_pfair_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_bands": op10_compression_bands,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": f"""
+        WITH parts AS (
+            SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents
+        ), lines AS (
+            SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM parts
+        ), keyed AS (
+            SELECT *, trim(line) AS k, length(trim(line)) >= {line_dedup.MIN_CHARS} AS judged FROM lines
+        ), spread AS (
+            SELECT k FROM keyed WHERE judged GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.MIN_SITES}
+        ), marked AS (
+            SELECT keyed.*, judged AND k IN (SELECT k FROM spread)
+                AND row_number() OVER (PARTITION BY judged, k ORDER BY doc_id, pos) > 1 AS gone
+            FROM keyed
+        )
+        SELECT doc_id, source, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+        FROM marked GROUP BY doc_id, source
+    """,
+}
