@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crowdweave.llm import line_dedup, mixing, packing, quality
+from crowdweave.llm import line_dedup, mixing, near_dup, packing, quality
 from crowdweave.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_pfair_mixing(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark, sf_dir):
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_compression_bands(spark, sf_dir):
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
+    "op6_order_minhash": op6_order_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_bands": op10_compression_bands,
 }
