@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from crowdweave.llm import line_dedup, mixing, near_dup, packing, quality
+from pyspark.sql import functions as F
+
+from crowdweave.llm import chat, html_text, line_dedup, mixing, near_dup, packing, quality
 from crowdweave.llm.common import table
 
 
@@ -19,6 +21,23 @@ def op6_order_minhash(spark, sf_dir):
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_line_block_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+#: A conversation whose texts hold the template's own marks, already escaped.
+TRAP_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op8_chat_round_trip(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP_TEXT).alias("text"),
+    )
+    return chat.digest(chat.read_back(chat.format_conversations(turns.unionByName(trap))))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +50,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op6_order_minhash": op6_order_minhash,
+    "op7_line_block_html": op7_line_block_html,
+    "op8_chat_round_trip": op8_chat_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_bands": op10_compression_bands,
 }
@@ -54,4 +75,22 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
         FROM marked GROUP BY doc_id, source
     """,
+    "op8_chat_round_trip": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '{TRAP_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{TRAP_TEXT}'
+        ), forms AS (
+            SELECT *, contains(role || chr(1) || text, '</turn>' || chr(10)) OR contains(role, ': ') AS marked,
+                replace(replace(replace(text, '\\', '\\\\'), '</turn>', '<\\/turn>'), '##', '#\\#') AS etext,
+                replace(replace(replace(replace(role, '\\', '\\\\'), '</turn>', '<\\/turn>'), '##', '#\\#'), ': ', ':\\ ') AS erole
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(CASE WHEN marked THEN 15 + length(erole) + length(etext) ELSE 14 + length(role) + length(text) END) AS BIGINT) AS formatted_chars,
+            true AS round_trip
+        FROM forms GROUP BY conv_id
+    """,
 }
