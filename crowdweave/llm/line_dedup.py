@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdweave.llm.common import cut
+
 MIN_SITES = 10
 MIN_CHARS = 20
 #: 2**LG_K registers: a relative standard error of 1.04 / 2**(LG_K / 2), 1.6 per cent.
@@ -52,7 +54,8 @@ def line_dedup(
 ) -> DataFrame:
     """All documents with their columns: ``row`` (a struct of them, its text without boilerplate), n_lines, n_removed."""
     lines = _lines(docs, id_column, text_column, site_column, min_chars)
-    hits = lines.join(boilerplate(lines, min_sites), ["h", "g"])
+    # a written table: the join that follows can then split the rows of a very common line over many tasks
+    hits = lines.join(cut(boilerplate(lines, min_sites)), ["h", "g"])
     again = ~(hits["first.id"].eqNullSafe(hits["id"]) & (hits["first.key"] == hits["key"]) & (hits["first.pos"] == hits["pos"]))
     # rows with equal doc_id and text share a key; their positions are the same
     removed = hits.where(again).groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
