@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdweave.llm import chat, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality
+from crowdweave.llm import chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality
 from crowdweave.llm.common import table
 
 
+def op1_context_tree(spark, sf_dir):
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "row.source", "n_lines", "n_removed", "row.text")
@@ -51,6 +55,7 @@ def op10_compression_bands(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_context_tree": op1_context_tree,
     "op2_line_dedup": op2_line_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_canonical_digest": op4_canonical_digest,
