@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdweave.llm import chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality
+from crowdweave.llm import chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, substring_dedup
 from crowdweave.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_canonical_digest(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_substrings(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_order_minhash(spark, sf_dir):
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_canonical_digest": op4_canonical_digest,
+    "op5_repeated_substrings": op5_repeated_substrings,
     "op6_order_minhash": op6_order_minhash,
     "op7_line_block_html": op7_line_block_html,
     "op8_chat_round_trip": op8_chat_round_trip,
