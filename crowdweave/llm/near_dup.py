@@ -156,6 +156,31 @@ def verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFr
     return both.mapInArrow(_verify(threshold), f"a {kind}, b {kind}")
 
 
+def _mixed(part: DataFrame) -> DataFrame:
+    """Members (bucket, vertex, component, ...) of the buckets that hold several components; main: in the largest one."""
+    sizes = part.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("size", "component")).alias("top")).where("k > 1")
+    found = part.join(cut(several.select("bucket", F.col("top.component").alias("top"))), "bucket")
+    return cut(found.withColumn("main", F.col("component") == F.col("top")).drop("top"))
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, off = B.raw(batch.column(1))
+        kmers = data.view("<u4") if len(data) else np.zeros(0, "<u4")
+        owner = np.repeat(batch.column(0).to_numpy(), np.diff(off) // 4)
+        for i in range(0, len(kmers), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(kmers[i : i + (1 << 18)].astype(np.int64)), pa.array(owner[i : i + (1 << 18)])], names=["k", "v"])
+
+
+def _own_kmers(part: DataFrame, sequences: DataFrame) -> DataFrame:
+    """v (hash of a vertex) and only: how many of its k-mers no other vertex of ``part`` has."""
+    wanted = part.select("vertex").distinct()
+    rows = sequences.join(wanted, "vertex", "left_semi").select(F.xxhash64("vertex").alias("v"), "sequence")
+    kmers = rows.mapInArrow(_spread, "k long, v long").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    return cut(kmers.where("n = 1").groupBy("v").agg(F.count(F.lit(1)).alias("only")))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, class_id (the lowest id of its class), n_shingles, and equal (documents with its words)."""
     rows = cut(sketched(docs, id_column, text_column))
@@ -163,11 +188,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("equal"), F.first("n").alias("n"), F.first("values").alias("values")))
     vertex = F.struct("low", "node").alias("vertex")
     buckets = nodes.select(vertex, "n", F.posexplode("values").alias("order", "value")).select("vertex", "n", F.xxhash64("order", "value").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("bucket", "vertex").alias("draw"), "vertex", "n")).alias("chief")
-    ).where("members > 1")
-    # members of buckets that at least two vertices share
-    members = cut(buckets.join(shared, "bucket").select("bucket", "vertex", "n", F.col("chief.vertex").alias("chief"), F.col("chief.n").alias("chief_n")))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut(buckets.join(shared, "bucket").select("bucket", "vertex", "n", "members"))
+    # the original of a group of copies meets the most others: it leads its buckets
+    central = members.groupBy("vertex").agg(F.sum("members").alias("met"))
+    scored = members.join(central, "vertex")
+    chiefs = cut(scored.groupBy("bucket").agg(F.max(F.struct("met", "vertex", "n")).alias("chief")))
     wanted = members.select(F.col("vertex.node").alias("node")).distinct()
     first = rows.select("node", "sequence").groupBy("node").agg(F.first("sequence").alias("sequence"))
     low = nodes.select("node", "low")
@@ -176,7 +202,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     def fit(x: str, y: str):
         return F.least(x, y) >= threshold * F.greatest(x, y)
 
-    close = members.where(F.col("vertex") != F.col("chief")).where(fit("n", "chief_n"))
+    led = members.join(chiefs.select("bucket", F.col("chief.vertex").alias("chief"), F.col("chief.n").alias("chief_n")), "bucket")
+    close = led.where(F.col("vertex") != F.col("chief")).where(fit("n", "chief_n"))
     best = close.groupBy("vertex", "chief").agg(F.count(F.lit(1)).alias("c")).groupBy("vertex").agg(F.max(F.struct("c", "chief")).alias("best"))
     pairs = best.select(F.col("vertex").alias("a"), F.col("best.chief").alias("b"))
     links = cut(verified(pairs, sequences, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -185,14 +212,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     # round two: candidate pairs across components; the largest component of a bucket is only compared with the others
     own = label.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     part = members.select("bucket", "vertex", "n").join(own, "vertex", "left")
-    part = cut(part.select("bucket", "vertex", "n", F.coalesce("component", "vertex").alias("component")))
-    sizes = part.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "component")).alias("top")).where("k > 1")
-    mixed = part.join(mixed.select("bucket", F.col("top.component").alias("top")), "bucket")
-    mixed = cut(mixed.select("bucket", "vertex", "n", "component", (F.col("component") == F.col("top")).alias("main")))
-    minor = mixed.where(~F.col("main")).select("bucket", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    every = mixed.select("bucket", F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
-    across = minor.join(every, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))).where(fit("na", "nb"))
+    part = _mixed(part.select("bucket", "vertex", "n", F.coalesce("component", "vertex").alias("component")))
+    # k-mers that no other vertex has cannot be aligned; what is left bounds the similarity, exactly
+    part = part.withColumn("v", F.xxhash64("vertex")).join(_own_kmers(part, sequences), "v", "left")
+    part = part.withColumn("c", F.col("n") - F.coalesce("only", F.lit(0))).where(F.col("c") >= threshold * F.col("n"))
+    mixed = _mixed(part.select("bucket", "vertex", "n", "component", "c"))
+    minor = mixed.where(~F.col("main")).select("bucket", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("c").alias("ka"), F.col("component").alias("ca"))
+    every = mixed.select("bucket", F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("c").alias("kb"), F.col("component").alias("cb"), "main")
+    apart = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
+    most = F.least("ka", "kb")
+    within = fit("na", "nb") & (most >= threshold * (F.col("na") + F.col("nb") - most))
+    across = minor.join(every, "bucket").where(apart & within)
     more = verified(across.select("a", "b").distinct(), sequences, threshold)
     final = components(label.select("u", "v").unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
