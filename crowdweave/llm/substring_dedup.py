@@ -37,7 +37,7 @@ from crowdweave.llm.common import block_count, cut, whole_text
 
 LENGTH = 200
 GRAM = 64
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 _U = np.uint64
 _PLACE = _U((1 << 28) - 1)
 _ALL, _ASKED, _SENDER = 1, 2, 4
@@ -85,8 +85,8 @@ class Block:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off = data, off
         found, i, n = [], 0, len(off) - 1
-        while i < n:  # a few megabytes at a time
-            j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + (4 << 20), "right")) - 1))
+        while i < n:  # a little at a time
+            j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + (2 << 20), "right")) - 1))
             lo, hi, gram, word = phrases(data[off[i] : off[j]], off[i : j + 1] - off[i])
             found.append((lo + off[i], hi + off[i], gram, word))
             i = j
