@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -142,6 +143,12 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[bounds]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a Python worker; what it learned serves the worker's later tasks too."""
+    return Encoder(path)
+
+
 def tokenized(path: str, capacity: int, end_id: int):
     """A mapInArrow function: (id, text) to one row per piece."""
 
@@ -150,7 +157,7 @@ def tokenized(path: str, capacity: int, end_id: int):
         import zlib
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             texts, size, first = batch.column(1), 0, 0
             sizes = texts.cast(pa.large_binary())
