@@ -18,7 +18,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the rolling base and of its inverse, modulo 2**64."""
-    if len(_powers.get("r", ())) < n:
+    if "r" not in _powers or len(_powers["r"]) < n:
         m = max(n, 1 << 20)
         for key, base in (("r", _R), ("i", _RI)):
             p = np.full(m, base, np.uint64)
