@@ -94,7 +94,7 @@ def test_scores(spark):
     assert one(spark, scores.lenient_int, "1,234 ") == 1234 and one(spark, scores.lenient_int, "x") is None
     assert one(spark, lambda x: scores.thai_confidence(x, F.lit("สวัสดีครับ vtuber"), F.lit("@NameTH")), "Name") == 0.85
     assert one(spark, lambda x: scores.agency_of(x, F.lit("of Polygon"), F.lit("")), "Name") == "Polygon Official"
-    assert one(spark, scores.error_kind, "Comments are disabled") == "disabled" and one(spark, scores.error_kind, "") is None
+    assert [one(spark, scores.error_kind, m) for m in ("commentsDisabled", "HTTP 429", None)] == ["COMMENTS_DISABLED", "RATE_LIMITED", "EXTRACTION_FAILURE"]
     assert one(spark, lambda x: scores.short_video(F.lit(30), x), None, "boolean") is True
     assert one(spark, lambda x: scores.activity(x, F.lit("public"), F.lit(False), now), "2023-12-31") == "active"
 
@@ -113,3 +113,31 @@ def test_decisions(spark):
     assert decide().status == "REJECT"
     assert decide(description="vtuber", subscribers=5, sources=1).status == "REVIEW"
     assert decide(description="vtuber สวัสดีครับ", handle="@xth").status == "ACCEPT"
+
+
+def test_registry_status(spark):
+    def status(name="N", description="", handle="", country="", sources=()):
+        c = [F.lit(x) for x in (name, description, handle, country)]
+        return spark.range(1).select(scores.registry_status(*c, F.array(*[F.lit(s) for s in sources]).cast("array<string>")).alias("s")).first().s
+
+    assert status() == "UNCONFIRMED" and status(description="of Polygon") == "CONFIRMED"
+    assert status(description="vtuber from thailand", handle="@xth") == "CONFIRMED" and status(description="virtual idol") == "UNCONFIRMED"
+    assert status(sources=["Seed List"]) == "UNCONFIRMED" and status(sources=["Seed List", "other"]) == "CONFIRMED" and status(country="TH", sources=["Seed List"]) == "CONFIRMED"
+
+
+def test_records(spark):
+    from crowdweave.functions import records
+
+    wiki = "{{Infobox|status = Retired 2020\n|affiliation= polygon (x)}} https://youtube.com/@name UC" + "a" * 22
+    found = one(spark, records.wiki_entry, wiki)
+    assert (found.channel_id, found.handle, found.agency, found.graduated) == ("UC" + "a" * 22, "@name", "Polygon", True)
+    assert one(spark, records.wiki_entry, None).agency == "Independent"
+    assert [one(spark, records.persona_type, t, "array<string>") for t in (["PNG"], ["PNG", "3D"], ["3D"], [])] == ["pngtuber", "mixed", "vtuber", "unknown"]
+    assert one(spark, records.identity_key, "Ab_c-ก่d!") == "abcกd"
+    assert one(spark, records.earlier_names, "renamed_from_slug=a; renamed_from=B c (x)") == ["B c", "a"]
+    assert one(spark, lambda x: records.inbox_key(F.lit("x"), F.lit(""), x), "@Me") == "x:me"
+    assert one(spark, records.uploads_playlist, "UCabc") == "UUabc" and one(spark, records.uploads_playlist, "abc") is None
+    assert one(spark, records.public_https, "https://a.org/x") and not one(spark, records.public_https, "https://u:p@a.org") and not one(spark, records.public_https, None)
+    assert [one(spark, records.truthy, x) for x in (" YES", "0", None)] == [True, False, True]
+    assert one(spark, lambda x: records.person_id(F.lit("UCx12345678"), F.lit("ชื่อ"), x), "@Foo") == "person_foo"
+    assert one(spark, lambda x: records.channel_kind(x), "Foo Music") == "sub"

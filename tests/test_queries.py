@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from crowdweave.plans import queries
+from crowdweave.plans import queries, text_queries
+
+assert text_queries  # its queries are registered when it is imported
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
