@@ -10,7 +10,9 @@ from crowdweave.operators import checks, matching, merge
 from crowdweave.plans.queries import _CHANGES, _changes, query
 from crowdweave.plans.roles import Roles
 
-_KEY = F.col("c_custkey")
+def _key():
+    return F.col("c_custkey")
+
 
 
 @query("", """
@@ -19,8 +21,8 @@ _KEY = F.col("c_custkey")
         CASE WHEN k < 4 THEN n END AS handle FROM u""")
 def account_parse(r: Roles) -> DataFrame:
     shapes = ["https://www.youtube.com/@{}", "twitch.tv/{}", "https://tiktok.com/@{}", "https://twitter.com/{}", "https://youtube.com/watch/{}"]
-    link = F.element_at(F.array(*[F.concat(F.lit(s[:-2]), F.lit("Name"), _KEY) for s in shapes]), (_KEY % 5 + 1).cast("int"))
-    return r.table("customer").select(_KEY.alias("id"), urls.account_of(link).alias("a")).select("id", "a.platform", "a.handle")
+    link = F.element_at(F.array(*[F.concat(F.lit(s[:-2]), F.lit("Name"), _key()) for s in shapes]), (_key() % 5 + 1).cast("int"))
+    return r.table("customer").select(_key().alias("id"), urls.account_of(link).alias("a")).select("id", "a.platform", "a.handle")
 
 
 @query("", """
@@ -87,11 +89,11 @@ def public_and_enabled(r: Roles) -> DataFrame:
     SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'person_h' || c_custkey ELSE 'person_' || regexp_replace(lower(c_name), '[^a-z0-9_]', '', 'g') END AS person,
         CASE WHEN c_custkey % 7 = 0 THEN 'sub' ELSE 'main' END AS kind, 'UU' || c_custkey AS uploads FROM customer""")
 def person_identities(r: Roles) -> DataFrame:
-    handle = F.when(_KEY % 2 == 0, F.concat(F.lit("@H"), _KEY)).otherwise("")
-    name = F.when(_KEY % 7 == 0, F.concat(F.col("c_name"), F.lit(" Music"))).otherwise(F.col("c_name"))
-    channel = F.concat(F.lit("UC"), _KEY)
+    handle = F.when(_key() % 2 == 0, F.concat(F.lit("@H"), _key())).otherwise("")
+    name = F.when(_key() % 7 == 0, F.concat(F.col("c_name"), F.lit(" Music"))).otherwise(F.col("c_name"))
+    channel = F.concat(F.lit("UC"), _key())
     return r.table("customer").select(
-        _KEY.alias("id"), records.person_id(channel, F.col("c_name"), handle).alias("person"), records.channel_kind(name).alias("kind"), records.uploads_playlist(channel).alias("uploads")
+        _key().alias("id"), records.person_id(channel, F.col("c_name"), handle).alias("person"), records.channel_kind(name).alias("kind"), records.uploads_playlist(channel).alias("uploads")
     )
 
 
@@ -101,8 +103,8 @@ def person_identities(r: Roles) -> DataFrame:
     FROM customer GROUP BY 1""")
 def identity_merge(r: Roles) -> DataFrame:
     rows = r.table("customer").select(
-        F.concat(F.lit("i"), _KEY % 200).alias("identity_id"), F.array(F.concat(F.lit("a"), _KEY % 7), F.concat(F.lit("b"), _KEY % 3)).alias("aliases"),
-        F.concat(F.lit("2024-01-"), F.lpad((_KEY % 28 + 1).cast("string"), 2, "0")).alias("discovered_at"), (_KEY % 200 + F.when(_KEY % 1000 == 0, 1).otherwise(0)).alias("name"),
+        F.concat(F.lit("i"), _key() % 200).alias("identity_id"), F.array(F.concat(F.lit("a"), _key() % 7), F.concat(F.lit("b"), _key() % 3)).alias("aliases"),
+        F.concat(F.lit("2024-01-"), F.lpad((_key() % 28 + 1).cast("string"), 2, "0")).alias("discovered_at"), (_key() % 200 + F.when(_key() % 1000 == 0, 1).otherwise(0)).alias("name"),
     )
     return matching.merged_identities(rows)
 
