@@ -5,36 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crowdweave.operators import merge, presence
-from crowdweave.sources.sinks import Table
+from crowdweave.sources.sinks import Table, merge_presence
 
 INTERACTION_KEY = ["creator_id", "video_id", "viewer_id", "source_type"]
 INTERACTIONS = "creator_id string, video_id string, viewer_id string, source_type string, observed_at timestamp"
 SNAPSHOTS = "channel_id string, video_id string, source_type string, viewer_id string, first_seen timestamp, last_seen timestamp, appearances long"
 
 
-def insert_interactions(table: Table) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: new keys are added once, for good. A replayed batch finds its keys and adds nothing."""
+def inserted(spark: SparkSession, path: str) -> DataFrame:
+    """What ``insert_interactions`` has stored."""
+    return spark.read.schema(f"{INTERACTIONS}, batch long").parquet(path)
+
+
+def insert_interactions(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: new keys are added once, for good. Nothing that is stored is rewritten: a batch has a
+    folder of its own, which a replay of the batch overwrites, and reads only the key columns of the other batches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = table.read(INTERACTIONS)
-        new = merge.absent(batch.where(F.col("source_type").isin(*presence.SOURCES)), old, INTERACTION_KEY, ["observed_at"])
-        table.write(old.unionByName(new.select(*old.columns)))
+        rows = batch.where(F.col("source_type").isin(*presence.SOURCES))
+        try:
+            old = inserted(spark, path).where(F.col("batch") != batch_id)
+        except AnalysisException:  # nothing is stored yet
+            old = spark.createDataFrame([], f"{INTERACTIONS}, batch long")
+        new = merge.absent(rows, old.select(*INTERACTION_KEY), INTERACTION_KEY, ["observed_at"])
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def merge_snapshots(table: Table) -> Callable[[DataFrame, int], None]:
+def merge_snapshots(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for presence: late and repeated events need no watermark, as the merge takes least and
-    greatest; a batch that is sent again does not count twice."""
+    greatest; a batch that is sent again does not count twice. Only the channels of the batch are rewritten."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, _ = presence.split_valid(batch)
-        table.write(presence.merge(table.read(SNAPSHOTS), presence.reconcile(accepted)))
+        merge_presence(spark, path, presence.reconcile(accepted))
 
     return write
 

@@ -166,18 +166,18 @@ def test_streams_are_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("A", "v", "x", "comment", T), ("A", "v", "x", "comment", T), ("A", "v", "x", "live_chat", T), ("A", "v", "x", "other", T)], ingest.INTERACTIONS)
     rows.write.parquet(source)
     stream = spark.readStream.schema(ingest.INTERACTIONS).parquet(source)
-    table = sinks.Table(spark, f"{tmp_path}/interactions")
-    run(stream, f"{tmp_path}/c1", ingest.insert_interactions(table))
+    path = f"{tmp_path}/interactions"
+    run(stream, f"{tmp_path}/c1", ingest.insert_interactions(spark, path))
     rows.write.mode("append").parquet(source)
-    run(stream, f"{tmp_path}/c1", ingest.insert_interactions(table))
-    run(stream, f"{tmp_path}/c2", ingest.insert_interactions(table))  # all of it again
-    assert table.read().count() == 2
+    run(stream, f"{tmp_path}/c1", ingest.insert_interactions(spark, path))
+    assert ingest.inserted(spark, path).count() == 2
+    run(stream, f"{tmp_path}/c2", ingest.insert_interactions(spark, path))  # all of it again, from the first batch on
+    assert ingest.inserted(spark, path).count() == 2
 
     events = rows.select(F.col("creator_id").alias("channel_id"), "video_id", "viewer_id", "source_type", F.col("observed_at").alias("timestamp"), *[F.lit(None).cast("timestamp").alias(c) for c in ("first_seen", "last_seen")], F.lit(1).cast("long").alias("appearances"))
-    snapshots = sinks.Table(spark, f"{tmp_path}/snapshots")
     for _ in range(2):
-        ingest.merge_snapshots(snapshots)(events, 0)
-    assert sorted(r.appearances for r in snapshots.read().collect()) == [1, 2]
+        ingest.merge_snapshots(spark, f"{tmp_path}/snapshots")(events, 0)
+    assert sorted(r.appearances for r in spark.read.parquet(f"{tmp_path}/snapshots").collect()) == [1, 2]
 
 
 def test_state_windows_and_changes(spark, tmp_path):
