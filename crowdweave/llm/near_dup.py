@@ -35,6 +35,8 @@ THRESHOLD = 0.8
 #: At a similarity of 0.8 a value of three k-mers agrees with probability 0.51; all 16 differ in 1 of 100,000 pairs.
 SKETCHES = 16
 KEPT = 3
+#: Slots of the masks that bound the similarity of two vertices.
+MASK_BITS = 4096
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -173,12 +175,31 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(kmers[i : i + (1 << 18)].astype(np.int64)), pa.array(owner[i : i + (1 << 18)])], names=["k", "v"])
 
 
-def _own_kmers(part: DataFrame, sequences: DataFrame) -> DataFrame:
-    """v (hash of a vertex) and only: how many of its k-mers no other vertex of ``part`` has."""
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, sequence, own) to v, c (k-mers that are not own) and mask: a bit for each of MASK_BITS slots they fall in."""
+    for batch in batches:
+        masks, left = [], []
+        for sequence, own in zip(batch.column(1), batch.column(2), strict=True):
+            kmers = np.frombuffer(sequence.as_buffer(), "<u4")
+            if own.is_valid:
+                kmers = kmers[~np.isin(kmers, own.values.to_numpy().astype(np.uint32))]
+            slots = (kmers.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) % np.uint64(MASK_BITS)
+            bits = np.zeros(MASK_BITS, np.uint8)
+            bits[slots.astype(np.int64)] = 1
+            masks.append(np.packbits(bits, bitorder="little").view("<i8"))
+            left.append(len(kmers))
+        words = pa.array(np.concatenate(masks) if masks else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(masks) + 1) * (MASK_BITS // 64), pa.int32()), words)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.int32()), lists], names=["v", "c", "mask"])
+
+
+def _shared_kmers(part: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Per vertex of ``part`` (v, its hash): how many of its k-mers other vertices have too, and the slots of those."""
     wanted = part.select("vertex").distinct()
-    rows = sequences.join(wanted, "vertex", "left_semi").select(F.xxhash64("vertex").alias("v"), "sequence")
+    rows = cut(sequences.join(wanted, "vertex", "left_semi").select(F.xxhash64("vertex").alias("v"), "sequence"))
     kmers = rows.mapInArrow(_spread, "k long, v long").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
-    return cut(kmers.where("n = 1").groupBy("v").agg(F.count(F.lit(1)).alias("only")))
+    own = kmers.where("n = 1").groupBy("v").agg(F.collect_list("k").alias("own"))
+    return cut(rows.join(own, "v", "left").select("v", "sequence", "own").mapInArrow(_masked, "v long, c int, mask array<bigint>"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -213,16 +234,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     own = label.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     part = members.select("bucket", "vertex", "n").join(own, "vertex", "left")
     part = _mixed(part.select("bucket", "vertex", "n", F.coalesce("component", "vertex").alias("component")))
-    # k-mers that no other vertex has cannot be aligned; what is left bounds the similarity, exactly
-    part = part.withColumn("v", F.xxhash64("vertex")).join(_own_kmers(part, sequences), "v", "left")
-    part = part.withColumn("c", F.col("n") - F.coalesce("only", F.lit(0))).where(F.col("c") >= threshold * F.col("n"))
-    mixed = _mixed(part.select("bucket", "vertex", "n", "component", "c"))
-    minor = mixed.where(~F.col("main")).select("bucket", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("c").alias("ka"), F.col("component").alias("ca"))
-    every = mixed.select("bucket", F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("c").alias("kb"), F.col("component").alias("cb"), "main")
+    # k-mers that no other vertex has cannot be aligned. Of the others, two vertices share at most as many as slots that
+    # both fill, and those that fall into a slot already filled. Both bound the similarity from above, exactly.
+    part = part.withColumn("v", F.xxhash64("vertex")).join(_shared_kmers(part, sequences), "v").where(F.col("c") >= threshold * F.col("n"))
+    part = part.withColumn("over", F.col("c") - sum((F.bit_count(F.col("mask")[i]) for i in range(MASK_BITS // 64)), F.lit(0)))
+    mixed = _mixed(part.select("bucket", "vertex", "n", "component", "c", "mask", "over"))
+    fields = {"vertex": "{}", "n": "n{}", "c": "k{}", "component": "c{}", "mask": "m{}", "over": "o{}"}
+    minor = mixed.where(~F.col("main")).select("bucket", *[F.col(x).alias(y.format("a")) for x, y in fields.items()])
+    every = mixed.select("bucket", *[F.col(x).alias(y.format("b")) for x, y in fields.items()], "main")
     apart = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
     most = F.least("ka", "kb")
     within = fit("na", "nb") & (most >= threshold * (F.col("na") + F.col("nb") - most))
-    across = minor.join(every, "bucket").where(apart & within)
+    both = sum((F.bit_count(F.col("ma")[i].bitwiseAND(F.col("mb")[i])) for i in range(MASK_BITS // 64)), F.lit(0)) + F.least("oa", "ob")
+    across = minor.join(every, "bucket").where(apart & within & (both >= threshold * (F.col("na") + F.col("nb") - both)))
     more = verified(across.select("a", "b").distinct(), sequences, threshold)
     final = components(label.select("u", "v").unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
