@@ -52,18 +52,17 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], buckets: int, na
     """Add a gapless 0-based rank inside each group without bringing a group into one task.
 
     A group is dealt into hash buckets; rows are numbered inside (group, bucket), and each bucket's offset is the sum
-    of the earlier buckets' counts. Ties in ``order`` get distinct ranks; columns ``_bucket`` and ``_before`` are reserved.
+    of the earlier buckets' counts. Group keys are compared as text beside a null mark, plain columns that are never
+    null, so that the rows keep the window's partitioning in the join and move once. Ties in ``order`` get distinct
+    ranks; columns ``_bucket``, ``_before``, ``_r`` and ``_g0``, ``_z0`` and so on are reserved.
     """
     from pyspark.sql import Window
 
+    keys = [f"_{k}{i}" for i in range(len(group)) for k in "gz"]
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"),
-        (F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket")) - F.col("_n")).alias("_before"),
-    )
-    inner = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)))
-    on = (F.col("_bucket") == F.col("_b")) & F.lit(True)
     for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return inner.join(before, on).withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_bucket", "_b", "_before", "_r", *[f"_g{i}" for i in range(len(group))])
+        dealt = dealt.withColumns({f"_g{i}": F.coalesce(F.col(g).cast("string"), F.lit("")), f"_z{i}": F.col(g).isNull()})
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    inner = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return inner.join(before, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_bucket", "_before", "_r", *keys)
