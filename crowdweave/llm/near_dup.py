@@ -260,6 +260,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     """The documents that name their class, with all columns; of rows with equal id and text one stays."""
     found = classes(docs, threshold, id_column, text_column)
     kept = found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("_kept")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_text"))
-    stay = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["_id", "_text"]).select("row.*")
+    # plain keys without nulls: the dealing of the join serves the removal of repeated rows too, so texts move once
+    kept = kept.select(F.coalesce(F.col("_kept").cast("string"), F.lit("")).alias("_name"), F.col("_kept").isNull().alias("_none"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_name"),
+        F.col(id_column).isNull().alias("_none"), F.xxhash64(text_column).alias("_text"),
+    )
+    return rows.join(kept, ["_name", "_none"], "left_semi").dropDuplicates(["_name", "_none", "_text"]).select("row.*")
