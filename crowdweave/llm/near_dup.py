@@ -35,6 +35,8 @@ THRESHOLD = 0.8
 #: At a similarity of 0.8 a value of three k-mers agrees with probability 0.51; all 16 differ in 1 of 100,000 pairs.
 SKETCHES = 16
 KEPT = 3
+#: Bytes of text that are sketched at a time; the arrays made from them take some fifty times as much.
+SLICE = 1 << 20
 #: Slots of the masks that bound the similarity of two vertices.
 MASK_BITS = 4096
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,7 +106,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, off in B.slices(batch.column(1)):
+        for i, j, data, off in B.slices(batch.column(1), SLICE):
             data = _LOWER[data]
             starts, ends, row = B.words(data, off)
             h = B.span_hash(B.prefix_hash(data), starts, ends)

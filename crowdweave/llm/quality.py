@@ -21,6 +21,8 @@ from crowdweave.llm import bytewise as B
 from crowdweave.llm.common import whole_text
 
 LEVEL = 3
+#: Bytes of text that are counted at a time; the arrays made from them take some fifty times as much.
+SLICE = 1 << 20
 CHUNK = 4096
 #: Shorter last chunks say little; they are judged only as part of the whole text.
 LEAST_CHUNK = 1024
@@ -104,7 +106,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     for batch in batches:
         kept_columns = batch.columns[:-1]
-        for i, j, data, off in B.slices(batch.column(batch.num_columns - 1)):
+        for i, j, data, off in B.slices(batch.column(batch.num_columns - 1), SLICE):
             out = base_counts(data, off)
             words, repeats = out["n_words"], out["n_repeat_words"]
             failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
