@@ -420,9 +420,11 @@ def unknown_references(r: Roles) -> DataFrame:
     return checks.unknown_references(r.links, "persona_id", r.personas, "id")
 
 
-@query("accounts", "SELECT platform, name, count(*) AS copies FROM (SELECT platform, substr(name, 1, 17) AS name FROM accounts) GROUP BY 1, 2 HAVING count(*) > 1")
+@query("sightings", """
+    SELECT creator_id, video_id, viewer_id, source_type, count(*) AS copies FROM sightings GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""")
 def duplicate_keys(r: Roles) -> DataFrame:
-    return checks.duplicates(r.accounts.select("platform", F.substring("name", 1, 17).alias("name")), ["platform", "name"])
+    keys = ["creator_id", "video_id", "viewer_id", "source_type"]
+    return checks.duplicates(r.sightings.select(*keys), keys)
 
 
 @query("sightings", """
@@ -446,14 +448,14 @@ _NOW = "2026-01-01 00:00:00"
 
 @query("", f"""
     WITH c AS (
-        SELECT doc_id, lower(concat_ws(' ', source, substr(text, 1, 300), '@' || lang)) AS t, lower('@' || lang) AS h, n_chars, doc_id % 4 AS sources,
+        SELECT doc_id, lower(concat_ws(' ', source, text, '@' || lang)) AS t, lower('@' || lang) AS h, n_chars, doc_id % 4 AS sources,
             CASE WHEN doc_id % 5 = 0 THEN 'polygon x' ELSE 'none' END AS agency, TIMESTAMP '2025-06-01' + INTERVAL (doc_id % 300) DAY AS seen FROM documents
     ), s AS (
         SELECT *, {" + ".join(f"CASE WHEN contains(t, '{k}') THEN 1 ELSE 0 END" for k in scores.THAI_KEYWORDS)} AS hits,
             length(regexp_replace(t, '[^\\x{{0e00}}-\\x{{0e7f}}]', '', 'g')) AS letters,
             {" OR ".join(f"contains(t, '{k}')" for k in scores.AGENCIES)} AS known, contains(agency, 'polygon') AS member,
             {" OR ".join(f"contains(lower(concat_ws(' ', source_, text_)), '{k}')" for k in scores.SIGNAL_TERMS)} AS term
-        FROM (SELECT c.*, d.source AS source_, substr(d.text, 1, 300) AS text_ FROM c JOIN documents d USING (doc_id))
+        FROM (SELECT c.*, d.source AS source_, d.text AS text_ FROM c JOIN documents d USING (doc_id))
     ), f AS (
         SELECT *, least(1.0, round(CASE WHEN letters >= 5 THEN 0.4 WHEN letters >= 1 THEN 0.2 ELSE 0.0 END + least(0.35, hits * CAST(0.15 AS DOUBLE))
             + CASE WHEN known THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(replace(h, '@', ''), '(th|thai)$') THEN 0.15 ELSE 0.0 END, 2)) AS conf,
@@ -466,7 +468,7 @@ _NOW = "2026-01-01 00:00:00"
 def candidate_filter_decision(r: Roles) -> DataFrame:
     d = r.table("documents")
     seen = F.date_format(F.expr("timestamp'2025-06-01 00:00:00' + make_dt_interval(cast(doc_id % 300 as int))"), "yyyy-MM-dd'T'HH:mm:ss")
-    name, text, handle = F.col("source"), F.substring("text", 1, 300), F.concat(F.lit("@"), F.col("lang"))
+    name, text, handle = F.col("source"), F.col("text"), F.concat(F.lit("@"), F.col("lang"))
     made = scores.candidate_decision(
         F.lit(None).cast("boolean"), name, text, handle, F.col("n_chars"), F.col("doc_id") % 4,
         F.when(F.col("doc_id") % 5 == 0, "polygon x").otherwise("none"), seen, F.lit(_NOW).cast("timestamp"),
@@ -650,11 +652,17 @@ def coverage_report(r: Roles) -> DataFrame:
 
 
 @query("", """
-    SELECT strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d') AS day, event_type AS stage, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS units
-    FROM events WHERE month(ts) IN (1, 2) GROUP BY 1, 2""")
+    WITH days AS (
+        SELECT *, make_date(CAST(year(ts) AS INTEGER), 3, 8) AS spring, make_date(CAST(year(ts) AS INTEGER), 11, 1) AS autumn FROM events
+    ), zoned AS (
+        SELECT *, CASE WHEN ts >= spring + to_days(CAST((7 - dayofweek(spring)) % 7 AS INTEGER)) + INTERVAL 10 HOUR
+            AND ts < autumn + to_days(CAST((7 - dayofweek(autumn)) % 7 AS INTEGER)) + INTERVAL 9 HOUR THEN 7 ELSE 8 END AS behind FROM days
+    )
+    SELECT strftime(ts - to_hours(behind), '%Y-%m-%d') AS day, event_type AS stage, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS units
+    FROM zoned GROUP BY 1, 2""")
 def quota_per_day(r: Roles) -> DataFrame:
-    winter = r.table("events").where(F.month("ts").isin(1, 2))
-    return summary.per_day(winter.select(F.col("ts").alias("at"), F.col("event_type").alias("stage"), F.round("value").cast("long").alias("units")))
+    rows = r.table("events").select(F.col("ts").alias("at"), F.col("event_type").alias("stage"), F.round("value").cast("long").alias("units"))
+    return summary.per_day(rows)
 
 
 @query("videos", """

@@ -10,11 +10,11 @@ from crowdweave.operators import checks, matching, merge
 from crowdweave.plans.queries import _CHANGES, _changes, query
 from crowdweave.plans.roles import Roles
 
+
 def _key():
     return F.col("c_custkey")
 
 
-
 @query("", """
     WITH u AS (SELECT c_custkey AS id, c_custkey % 5 AS k, 'Name' || c_custkey AS n FROM customer)
     SELECT id, CASE k WHEN 0 THEN 'youtube' WHEN 1 THEN 'twitch' WHEN 2 THEN 'tiktok' WHEN 3 THEN 'x' END AS platform,
@@ -41,9 +41,9 @@ def handles_and_inbox_keys(r: Roles) -> DataFrame:
 
 
 @query("", """
-    SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}]', '', 'g') AS identity_key FROM documents""")
+    SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS identity_key FROM documents""")
 def identity_keys(r: Roles) -> DataFrame:
-    return r.table("documents").select("doc_id", records.identity_key(F.substring("text", 1, 200)).alias("identity_key"))
+    return r.table("documents").select("doc_id", records.identity_key(F.col("text")).alias("identity_key"))
 
 
 @query("", """
@@ -173,7 +173,7 @@ def request_estimates(r: Roles) -> DataFrame:
 
 @query("", f"""
     WITH c AS (
-        SELECT doc_id, lower(concat_ws(' ', source, substr(text, 1, 200))) AS t, '@' || lang AS h, CASE WHEN lang = 'es' THEN 'TH' ELSE '' END AS country, doc_id % 3 AS k FROM documents
+        SELECT doc_id, lower(concat_ws(' ', source, text)) AS t, '@' || lang AS h, CASE WHEN lang = 'es' THEN 'TH' ELSE '' END AS country, doc_id % 3 AS k FROM documents
     ), s AS (
         SELECT *, CASE WHEN country = 'TH' THEN 0.35 ELSE 0.0 END + CASE WHEN regexp_matches(t || ' ' || lower(h), '(\\bth\\b|thai|thailand|officialth)') THEN 0.2 ELSE 0.0 END AS conf,
             {" OR ".join(f"contains(t, '{w}')" for w in scores.PERSONA_WORDS)} OR {" OR ".join(f"contains(t, '{a.lower()}')" for a in scores.CONFIRMED_AGENCIES)} AS declared,
@@ -184,7 +184,7 @@ def registry_evaluation(r: Roles) -> DataFrame:
     k = F.col("doc_id") % 3
     sources = F.when(k == 0, F.array(F.lit("other"))).when(k == 1, F.array(F.lit("Seed List"))).otherwise(F.array(F.lit("Seed List"), F.lit("other")))
     country = F.when(F.col("lang") == "es", "TH").otherwise("")
-    return r.table("documents").select("doc_id", scores.registry_status(F.col("source"), F.substring("text", 1, 200), F.concat(F.lit("@"), F.col("lang")), country, sources).alias("status"))
+    return r.table("documents").select("doc_id", scores.registry_status(F.col("source"), F.col("text"), F.concat(F.lit("@"), F.col("lang")), country, sources).alias("status"))
 
 
 @query("videos", """
@@ -194,4 +194,3 @@ def cohort_growth(r: Roles) -> DataFrame:
     manifest = r.videos.where("seconds = 7").select("channel_id")
     new = r.videos.join(manifest.distinct(), "channel_id", "left_anti")
     return merge.first_rows(new.select("channel_id", "video_id"), ["channel_id"], ["video_id"])
-
