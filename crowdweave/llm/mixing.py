@@ -1,72 +1,98 @@
 """Mixing sources to target weights by Pfair scheduling (operator 3). DataFrame and SQL functions only.
 
-Documents of a source form blocks of ``block_docs``. A source of ``share`` slots out of ``period`` has block k (from 0)
-released at floor(k * period / share) and due at ceil((k + 1) * period / share). In every slot, the released block with
-the earliest deadline goes (ties: the source that sorts first), which meets all deadlines, so that at any slot a source
-is less than one block away from its weight. Shares are whole and sum to the period, so the schedule repeats after it:
-it is computed once (``resolution`` slots or so, whatever the number of documents) and every block finds its slot by
-arithmetic. Slots of a source that has run out stay free; the others keep their proportions. All documents are placed.
+Documents of a source form blocks of ``block_docs``. A source with the share w of all weights has block k (from 0)
+released at floor(k / w) and due at ceil((k + 1) / w), in whole numbers from the weights as they are written, without
+rounding. In every slot, the released block with the earliest deadline goes (ties: the source that sorts first), which
+meets all deadlines, so that at any slot a source is less than one block away from its weight, however many slots there
+are. The driver counts the documents of each source and places the blocks, one step each; the slots go out as arrays of
+``resolution`` blocks, and the rows find theirs by block. Slots of a source that has run out stay free or let another
+source's released block go earlier; the others keep their proportions. All documents are placed.
 
 Defined results: a null source is a source of its own; repeated rows are placed once each; ties in doc_id get distinct
-places; a source without a target weight gets the lowest one given; all columns are kept; an empty table stays empty.
+places; a source without a target weight gets the lowest one given; a weight of 0 puts a source behind all others; all columns are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from crowdweave.llm.common import partitions, ranked
 
 BLOCK_DOCS = 16
+#: Blocks in one row of the plan.
 RESOLUTION = 1024
 #: Without given weights, a source's weight is its number of documents to this power.
 FLATTEN = 0.5
 
-_EDF = """
-aggregate(
-  sequence(0L, period - 1),
-  named_struct('done', transform(shares, x -> 0L), 'order', cast(array() as array<int>)),
-  (state, slot) -> element_at(transform(
-    array(array_min(transform(
-      filter(sequence(0, size(shares) - 1),
-             i -> state.done[i] < shares[i] and (state.done[i] * period) div shares[i] <= slot),
-      i -> named_struct('due', ((state.done[i] + 1) * period + shares[i] - 1) div shares[i], 'i', i))).i),
-    pick -> named_struct('done', transform(state.done, (v, j) -> if(j = pick, v + 1L, v)),
-                         'order', array_append(state.order, pick))), 1),
-  state -> state.order)
-"""
 
+def blocks_in_order(counts: list[int], weights: list[float]) -> list[list[list[int]]]:
+    """Release, deadline, slot and turn (its number among all blocks placed) of every block of each source, by EDF."""
+    exact = [Fraction(repr(float(w))) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    shares = [int(w * scale) for w in exact]
+    total = sum(x for x in shares if x > 0)
+    out: list[list[list[int]]] = [[[], [], [], []] for _ in counts]
+    later = [(0, i) for i, n in enumerate(counts) if n and shares[i] > 0]
+    ready: list[tuple[int, int, int]] = []
+    slot = turn = 0
+    while later or ready:
+        if not ready:
+            slot = max(slot, later[0][0])
+        while later and later[0][0] <= slot:
+            release, i = heappop(later)
+            heappush(ready, (-(-(len(out[i][0]) + 1) * total // shares[i]), i, release))
+        due, i, release = heappop(ready)
+        for column, value in zip(out[i], (release, due, slot, turn), strict=True):
+            column.append(value)
+        if (k := len(out[i][0])) < counts[i]:
+            heappush(later, (k * total // shares[i], i))
+        slot, turn = slot + 1, turn + 1
+    for i, n in enumerate(counts):
+        for _ in range(n if shares[i] <= 0 else 0):
+            for column, value in zip(out[i], (slot, slot + 1, slot, turn), strict=True):
+                column.append(value)
+            slot, turn = slot + 1, turn + 1
+    return out
 
-def period(counts: DataFrame, weights: dict[str | None, float] | None, resolution: int, flatten: float) -> DataFrame:
-    """(source, docs) to (_source, share, period, slots): whole slots in proportion to the weights, one at least, and
-    the slots of each source within one period, in order."""
+
+def plan(counts: DataFrame, weights: dict[str | None, float] | None, block_docs: int, resolution: int, flatten: float) -> DataFrame:
+    """(source, docs) to (_source, _chunk, release, deadline, slot, turn): arrays of ``resolution`` blocks."""
+    found = sorted(((r["source"], r["docs"]) for r in counts.collect()), key=lambda x: (x[0] is not None, x[0]))
     if weights:
-        weight = F.lit(float(min(weights.values())))
-        for name, value in weights.items():
-            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
+        target = [weights.get(name, min(weights.values())) for name, _ in found]
     else:
-        weight = F.pow(F.col("docs").cast("double"), F.lit(flatten))
-    one = counts.withColumn("w", weight).agg(F.array_sort(F.collect_list(F.struct("source", "w"))).alias("e"), F.sum("w").alias("total"))
-    one = one.where("size(e) > 0").selectExpr("e", f"transform(e, x -> greatest(1L, cast(round(x.w / total * {int(resolution)}) as bigint))) as shares")
-    one = one.selectExpr("e", "shares", "aggregate(shares, 0L, (a, x) -> a + x) as period")
-    order = one.select("e", "shares", "period", F.posexplode(F.expr(_EDF)).alias("slot", "i"))
-    slots = order.groupBy("i").agg(F.sort_array(F.collect_list("slot")).alias("slots"), *[F.first(c).alias(c) for c in ("e", "shares", "period")])
-    return slots.selectExpr("e[i].source as _source", "shares[i] as share", "period", "slots")
+        target = [float(n) ** flatten for _, n in found]
+    placed = blocks_in_order([-(-n // block_docs) for _, n in found], target)
+    rows = [
+        (name, at // resolution, *(column[at : at + resolution] for column in columns))
+        for (name, _), columns in zip(found, placed, strict=True)
+        for at in range(0, len(columns[0]), resolution)
+    ]
+    kind = StructType([StructField("_source", counts.schema["source"].dataType)])
+    for name in ("_chunk", "_release", "_deadline", "_slot", "_turn"):
+        kind = kind.add(name, LongType() if name == "_chunk" else ArrayType(LongType()))
+    return counts.sparkSession.createDataFrame(rows, kind)
 
 
-def _placed(rows: DataFrame, weights, block_docs: int, resolution: int, flatten: float) -> DataFrame:
-    """Rows with columns ``id`` and ``source``, and their block, release, deadline, slot and place."""
+def placed(
+    rows: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS,
+    resolution: int = RESOLUTION, flatten: float = FLATTEN,
+) -> DataFrame:
+    """Rows with columns ``id`` and ``source``, and their block, release, deadline, slot, turn and place."""
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
-    plan = period(counts, weights, resolution, flatten)
-    placed = ranked(rows, ["source"], ["id"], partitions(rows.sparkSession))
-    placed = placed.withColumn("block", F.expr(f"rank div {int(block_docs)}")).withColumn("place", F.expr(f"cast(rank % {int(block_docs)} as int)"))
-    # the plan holds about ``resolution`` slots, and a row per source
-    joined = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumns({
-        "release": F.expr("(block * period) div share"), "deadline": F.expr("((block + 1) * period + share - 1) div share"),
-        "slot": F.expr("(block div share) * period + slots[cast(block % share as int)]"),
-    })
+    slots = plan(counts, weights, int(block_docs), int(resolution), flatten)
+    found = ranked(rows, ["source"], ["id"], partitions(rows.sparkSession))
+    found = found.withColumn("block", F.expr(f"rank div {int(block_docs)}")).withColumn("place", F.expr(f"cast(rank % {int(block_docs)} as int)"))
+    # four numbers a block
+    on = F.col("source").eqNullSafe(F.col("_source")) & (F.expr(f"block div {int(resolution)}") == F.col("_chunk"))
+    joined = found.join(F.broadcast(slots), on)
+    return joined.withColumns({x: F.expr(f"_{x}[cast(block % {int(resolution)} as int)]") for x in ("release", "deadline", "slot", "turn")})
 
 
 def schedule(
@@ -75,7 +101,7 @@ def schedule(
 ) -> DataFrame:
     """One row per document: its id, source, block, the block's release, deadline and slot, and the place in the block."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"))
-    return _placed(rows, weights, block_docs, resolution, flatten).select(
+    return placed(rows, weights, block_docs, resolution, flatten).select(
         F.col("id").alias(id_column), F.col("source").alias(source_column), "block", "release", "deadline", "slot", "place"
     )
 
@@ -87,6 +113,6 @@ def mixed(
     """The documents in mixed order: part files follow the schedule, each sorted by slot. All columns are kept."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), row.alias("row"))
-    placed = _placed(rows, weights, block_docs, resolution, flatten).select("slot", "place", "row")
-    dealt = placed.repartitionByRange(partitions(docs.sparkSession), "slot", "place")
+    found = placed(rows, weights, block_docs, resolution, flatten).select("slot", "place", "row")
+    dealt = found.repartitionByRange(partitions(docs.sparkSession), "slot", "place")
     return dealt.sortWithinPartitions("slot", "place").select("row.*")

@@ -182,6 +182,20 @@ def test_mixing_stays_within_a_block(spark):
     assert deviation(found, {"big": 0.5, "mid": 0.3, "small": 0.15, None: 0.05}) < 1
 
 
+def test_mixing_keeps_true_weights_over_many_periods(spark):
+    sizes = {"a": 90_000, "b": 5_003, "c": 777, "d": 11}
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    total = sum(math.sqrt(n) for n in sizes.values())
+    share = {s: math.sqrt(n) / total for s, n in sizes.items()}
+    rows = mixing.schedule(docs, block_docs=1).collect()
+    assert len({r.slot for r in rows}) == len(rows)
+    for r in rows:
+        assert math.floor(r.block / share[r.source] - 1e-6) <= r.slot < math.ceil((r.block + 1) / share[r.source] + 1e-6)
+    weights = {"a": 0.99999, "b": 0.00001}
+    two = mixing.schedule(docs.where("source in ('a', 'b')").where("source = 'a' or doc_id % 1000 = 0"), weights, block_docs=1).collect()
+    assert all(r.block * 100_000 <= r.slot < (r.block + 1) * 100_000 for r in two if r.source == "b")
+
+
 def test_mixing_keeps_every_row(docs):
     found = mixing.schedule(docs, block_docs=2).collect()
     assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in docs.collect())
