@@ -10,6 +10,10 @@ rank r takes the r-th place of the run), the gaps that were used move to their n
 sequences. Only class counts reach the driver (``capacity`` rows at most). The rows themselves are ranked inside their
 class in hash buckets and take their place by a join with the matched runs.
 
+``pack_scheduled`` keeps the order of a mixing schedule: each range of ``RANGE_BLOCKS`` consecutive blocks is packed on
+its own, and sequences are numbered range by range, so that a prefix of them is a prefix of the schedule, up to a range.
+Its sweeps run side by side, one per range; the driver sees the number of sequences of each range.
+
 Defined results: null texts are empty (one end id); repeated rows are packed once each; ties are placed by rank; extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -20,16 +24,19 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdweave.llm import mixing
 from crowdweave.llm.common import cut, partitions, ranked, whole_text
 
 CAPACITY = 2048
+#: Blocks of the mixing schedule that are packed among themselves.
+RANGE_BLOCKS = 64
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 _SEPARATOR = "\x00"
@@ -251,3 +258,42 @@ def pack(found: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id")
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize and pack whole documents; one row per piece."""
     return pack(cut(pieces(docs, path or vocabulary_path(), capacity, end_id)), capacity)
+
+
+def _swept(capacity: int):
+    """An applyInArrow function: a range's counts by length to its runs."""
+
+    def run(key: tuple[pa.Scalar, ...], counts: pa.Table) -> pa.Table:
+        runs, _ = sweep(dict(zip(counts["length"].to_pylist(), counts["n"].to_pylist(), strict=True)), capacity)
+        columns = [[key[0].as_py()] * len(runs), *map(list, zip(*runs, strict=True))]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["r_range", "r_length", "r_from", "r_n", "r_sequence", "r_offset"])
+
+    return run
+
+
+def pack_scheduled(
+    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, range_blocks: int = RANGE_BLOCKS,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """Tokenize whole documents and pack them in the order of the mixing schedule; one row per piece."""
+    spark = docs.sparkSession
+    # the number tells rows with equal ids apart; it is fixed when the pieces are written
+    key = F.struct(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.monotonically_increasing_id().alias("row"))
+    found = cut(pieces(docs.select(key.alias("doc"), text_column), path or vocabulary_path(), capacity, end_id, "doc", text_column))
+    slots = mixing.placed(found.where("piece = 0").select("doc.*")).select("row", F.expr(f"turn div {int(range_blocks)}").alias("range"))
+    found = found.select(F.col("doc.id").alias(id_column), F.col("doc.row").alias("row"), "piece", "start", "length", "ids_crc32")
+    found = cut(found.join(slots, "row"))
+    counts = found.groupBy("range", "length").agg(F.count(F.lit(1)).alias("n"))
+    schema = "r_range long, r_length long, r_from long, r_n long, r_sequence long, r_offset long"
+    runs = cut(counts.groupBy("range").applyInArrow(_swept(capacity), schema))
+    used = runs.groupBy("r_range").agg(F.max(F.col("r_sequence") + F.col("r_n")).alias("n")).orderBy("r_range").collect()
+    first = [(r["r_range"], n) for r, n in zip(used, accumulate((r["n"] for r in used), initial=0), strict=False)]
+    # a row per range
+    runs = runs.join(F.broadcast(spark.createDataFrame(first, "r_range long, r_first long")), "r_range")
+    rows = ranked(found, ["range", "length"], [id_column, "piece", "ids_crc32", "row"], partitions(spark))
+    on = (F.col("range") == F.col("r_range")) & (F.col("length") == F.col("r_length"))
+    on &= (F.col("rank") >= F.col("r_from")) & (F.col("rank") < F.col("r_from") + F.col("r_n"))
+    return rows.join(runs, on).select(
+        id_column, "piece", "start", "length", "ids_crc32",
+        (F.col("r_first") + F.col("r_sequence") + F.col("rank") - F.col("r_from")).alias("sequence_id"), F.col("r_offset").alias("offset"),
+    )

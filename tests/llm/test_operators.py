@@ -485,6 +485,37 @@ def test_pipeline(spark):
     assert {r.doc_id for r in found.collect()} == left
 
 
+def test_packed_sequences_follow_the_weights(spark):
+    import corpus_pipeline
+
+    sizes = {"a": (16_000, "one two three four five six seven"), "b": (4_000, "one two three"), "c": (1_000, "one")}
+    rows = [(s, t) for s, (n, t) in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(k, t, "en", s, 0) for k, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.union(docs.limit(1))
+    found = corpus_pipeline.best_fit_packing(spark, docs, FOLDER).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in docs.collect())
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append(r)
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert len(sequences) <= 1.05 * sum(r.length for r in found) / 2048 + 21
+    seen, total = Counter(), sum(math.sqrt(n) for n, _ in sizes.values())
+    for k in range(len(sequences)):
+        for own, r in enumerate(sorted(sequences[k], key=lambda r: r.offset)):
+            assert r.offset == sum(x.length for x in sorted(sequences[k], key=lambda r: r.offset)[:own]) and r.offset + r.length <= 2048
+            seen[rows[r.doc_id][0]] += 1
+        if seen.total() < 6000:
+            for s, (n, _) in sizes.items():
+                assert abs(seen[s] - seen.total() * math.sqrt(n) / total) < packing.RANGE_BLOCKS * mixing.BLOCK_DOCS / 2
+
+
+def test_packing_in_ranges_on_awkward_rows(docs):
+    found = packing.pack_scheduled(docs, range_blocks=1).collect()
+    plain = packing.pack_documents(docs).collect()
+    assert sorted(r[:5] for r in found) == sorted(r[:5] for r in plain)
+    assert packing.pack_scheduled(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_registered_query(spark, name):
     if not os.path.isdir(FOLDER):
