@@ -161,6 +161,15 @@ def test_sketches_far_above_the_threshold(spark):
     assert sorted(r.n_removed for r in found.collect()) == [0] + [1] * 299
 
 
+def test_short_boilerplate_goes_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"And x.\n \n\nown line number {i}\n only nine " if i < 9 else f"And x.\nown {i}", f"site{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_deduplication(spark, docs, FOLDER).collect()}
+    assert found == {i: t if i == 0 else t.removeprefix("And x.\n") for i, t, _ in rows}
+
+
 def deviation(rows, share):
     """Greatest distance, in blocks, of a source from its share at any slot while all sources last."""
     slots = {r.slot: r.source for r in rows}
