@@ -1,4 +1,4 @@
-"""Connected components of large edge tables by alternating star contraction."""
+"""Connected components of large edge tables, and roots of large forests."""
 
 from __future__ import annotations
 
@@ -28,13 +28,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of any ordered type to (u, v): every vertex that has an edge and is not the least of its component,
-    with the least vertex. Each round is a written table; rounds grow with the logarithm of the longest chain."""
+    with the least vertex. Alternating star contraction; each round is one written table, and rounds grow with the
+    logarithm of the longest chain."""
     stars = cut(edges.select("u", "v").where("u <> v").distinct())
     state = _state(stars)
     while state[0]:
-        stars = cut(_small_star(cut(_large_star(stars))))
+        stars = cut(_small_star(_large_star(stars)))
         new = _state(stars)
         if new == state:
             break
         state = new
     return stars
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """A forest (vertex, parent), one row per vertex that has a parent, to (vertex, root).
+
+    Pointer jumping: each round doubles the steps that a row has gone and is one join and one written table.
+    """
+    level = cut(parents.select("vertex", F.col("parent").alias("root"), F.lit(True).alias("moved")))
+    while level.where("moved").head(1):
+        up = level.select(F.col("vertex").alias("root"), F.col("root").alias("further"))
+        jumped = level.select("vertex", "root").join(up, "root", "left")
+        level = cut(jumped.select("vertex", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+    return level.select("vertex", "root")

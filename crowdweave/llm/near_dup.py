@@ -6,14 +6,16 @@ their text order, so that texts share a value if they share k-mers and their ord
 candidates. A pair is verified by aligning the labelled k-mers in order, within the band of offsets that the threshold
 allows: aligned / (all - aligned) must reach ``threshold``, an ordered Jaccard coefficient.
 
-Texts with equal words are one vertex. Round one compares each vertex with the bucket representative it shares most
-values with, and takes connected components. Round two takes every candidate pair whose vertices lie in different
-components (a pair inside one component cannot change a class), so no link between classes is lost and a bucket of
-near copies costs a comparison for each member, not for each pair.
+Texts with equal words are one vertex. Round one compares each vertex with the bucket leader it shares most values
+with; the links form a forest, whose roots name the components. Round two takes every candidate pair whose vertices lie
+in different components (a pair inside one component cannot change a class), so no link between classes is lost and a
+bucket of near copies costs a comparison for each member, not for each pair. A bucket whose components leave many pairs
+is split into slots of at most ``PAIRS`` each, by the vertices' numbers.
 
 Defined results: null and empty texts have no words and form one class; texts under five words are alike only if their
-words are equal; repeated rows share a class; a class is named by its lowest doc_id (null only if all are null); extra
-columns are ignored by ``classes`` and kept by ``one_of_each``; an empty table gives an empty result.
+words are equal; a text of any length is sketched whole; repeated rows share a class; a class is named by its lowest
+doc_id (null only if all are null), and ``one_of_each`` keeps one row of it, also where rows with one doc_id differ in
+text; extra columns are ignored by ``classes`` and kept by ``one_of_each``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from crowdweave.llm import bytewise as B
 from crowdweave.llm.common import cut, whole_text
-from crowdweave.llm.graph import components
+from crowdweave.llm.graph import components, roots
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -39,6 +41,8 @@ KEPT = 3
 SLICE = 1 << 20
 #: Slots of the masks that bound the similarity of two vertices.
 MASK_BITS = 4096
+#: Pairs of a bucket that one slot of the round-two join may hold.
+PAIRS = 1 << 20
 _ORDERS = np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,6 +103,17 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> int:
     return len(tails)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """48 bits of each hash: all lower halves, then all upper parts."""
+    return (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    n = len(data) // 6
+    low, high = np.frombuffer(data, "<u4", n), np.frombuffer(data, "<u2", n, 4 * n)
+    return low.astype(np.int64) | (high.astype(np.int64) << 32)
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     m = aligned(a, b, threshold)
     return bool(m) and m >= threshold * (len(a) + len(b) - m) - 1e-9
@@ -123,19 +138,20 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = labelled(shingles[a : max(a, b - SHINGLE + 1)])
                 sizes.append(len(keys))
                 values.append(sketch(keys))
-                sequences.append((keys >> np.uint64(32)).astype("<u4").tobytes())
+                sequences.append(packed(keys))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(sequences, pa.binary())],
-                names=["id", "node", "n", "values", "sequence"],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(sequences, pa.binary())],
+                names=["id", "digest", "node", "n", "values", "sequence"],
             )
 
 
 def sketched(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, node (identity of the words), n (shingles), values (the sketch), sequence (32-bit labelled shingles)."""
-    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
+    """id, digest (of the text), node (identity of the words), n (shingles), values (the sketch), sequence (48-bit labelled
+    shingles)."""
+    rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"), F.xxhash64(text_column).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_sketched, f"id {kind}, node binary, n int, values array<bigint>, sequence binary")
+    return rows.mapInArrow(_sketched, f"id {kind}, digest long, node binary, n int, values array<bigint>, sequence binary")
 
 
 def _verify(threshold: float):
@@ -144,7 +160,7 @@ def _verify(threshold: float):
             a, b = batch.column(2), batch.column(3)
             good = [
                 k for k in range(batch.num_rows)
-                if similar(np.frombuffer(a[k].as_buffer(), "<u4"), np.frombuffer(b[k].as_buffer(), "<u4"), threshold)
+                if similar(unpacked(a[k].as_buffer()), unpacked(b[k].as_buffer()), threshold)
             ]
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
@@ -156,25 +172,27 @@ def verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFr
     left = sequences.select(F.col("vertex").alias("a"), F.col("sequence").alias("sa"))
     right = sequences.select(F.col("vertex").alias("b"), F.col("sequence").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    kind = both.schema["a"].dataType.simpleString()
-    return both.mapInArrow(_verify(threshold), f"a {kind}, b {kind}")
+    return both.mapInArrow(_verify(threshold), "a long, b long")
 
 
 def _mixed(part: DataFrame) -> DataFrame:
-    """Members (bucket, vertex, component, ...) of the buckets that hold several components; main: in the largest one."""
+    """Members (bucket, vertex, component, ...) of the buckets that hold several components; main: in the largest one;
+    splits: slots that hold at most PAIRS pairs each of a bucket's members outside the largest one with all its members."""
     sizes = part.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("size", "component")).alias("top")).where("k > 1")
-    found = part.join(cut(several.select("bucket", F.col("top.component").alias("top"))), "bucket")
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top"))
+    splits = F.ceil((F.col("all") - F.col("top.size")) * F.col("all") / PAIRS).cast("int").alias("splits")
+    found = part.join(several.where("k > 1").select("bucket", F.col("top.component").alias("top"), splits), "bucket")
     return cut(found.withColumn("main", F.col("component") == F.col("top")).drop("top"))
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = B.raw(batch.column(1))
-        kmers = data.view("<u4") if len(data) else np.zeros(0, "<u4")
-        owner = np.repeat(batch.column(0).to_numpy(), np.diff(off) // 4)
-        for i in range(0, len(kmers), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(kmers[i : i + (1 << 18)].astype(np.int64)), pa.array(owner[i : i + (1 << 18)])], names=["k", "v"])
+        for i in range(0, len(off) - 1, 256):
+            j = min(i + 256, len(off) - 1)
+            kmers = np.concatenate([unpacked(data[a:b]) for a, b in zip(off[i:j], off[i + 1 : j + 1], strict=True)])
+            owner = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), np.diff(off[i : j + 1]) // 6)
+            yield pa.RecordBatch.from_arrays([pa.array(kmers), pa.array(owner)], names=["k", "v"])
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +200,9 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         masks, left = [], []
         for sequence, own in zip(batch.column(1), batch.column(2), strict=True):
-            kmers = np.frombuffer(sequence.as_buffer(), "<u4")
+            kmers = unpacked(sequence.as_buffer())
             if own.is_valid:
-                kmers = kmers[~np.isin(kmers, own.values.to_numpy().astype(np.uint32))]
+                kmers = kmers[~np.isin(kmers, own.values.to_numpy())]
             slots = (kmers.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) % np.uint64(MASK_BITS)
             bits = np.zeros(MASK_BITS, np.uint8)
             bits[slots.astype(np.int64)] = 1
@@ -196,76 +214,108 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_kmers(part: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Per vertex of ``part`` (v, its hash): how many of its k-mers other vertices have too, and the slots of those."""
-    wanted = part.select("vertex").distinct()
-    rows = cut(sequences.join(wanted, "vertex", "left_semi").select(F.xxhash64("vertex").alias("v"), "sequence"))
+    """Per vertex of ``part`` (v): how many of its k-mers other vertices have too, and the slots of those."""
+    wanted = part.select(F.col("vertex").alias("v")).distinct()
+    rows = cut(sequences.select(F.col("vertex").alias("v"), "sequence").join(wanted, "v", "left_semi"))
     kmers = rows.mapInArrow(_spread, "k long, v long").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
     own = kmers.where("n = 1").groupBy("v").agg(F.collect_list("k").alias("own"))
-    return cut(rows.join(own, "v", "left").select("v", "sequence", "own").mapInArrow(_masked, "v long, c int, mask array<bigint>"))
+    return rows.join(own, "v", "left").select("v", "sequence", "own").mapInArrow(_masked, "v long, c int, mask array<bigint>")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its id, class_id (the lowest id of its class), n_shingles, and equal (documents with its words)."""
+def _fit(x: str, y: str, threshold: float):
+    return F.least(x, y) >= threshold * F.greatest(x, y)
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """Vertices that share a bucket: n, buckets (an array of the shared ones) and met (the members of these, summed)."""
+    rows = nodes.select("vertex", "n", F.posexplode("values").alias("order", "value"))
+    rows = rows.select("vertex", "n", F.xxhash64("order", "value").alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    found = rows.join(counts, "bucket").groupBy("vertex").agg(
+        F.first("n").alias("n"), F.sum("members").alias("met"), F.collect_list("bucket").alias("buckets")
+    )
+    return cut(found)
+
+
+def _leaders(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b): each vertex and the leader it shares most buckets with. The original of a group of copies meets the
+    most others, so it leads its buckets; a leader's (met, vertex) is higher than its followers', so no circle arises."""
+    members = shared.select("vertex", "n", "met", F.explode("buckets").alias("bucket"))
+    chiefs = members.groupBy("bucket").agg(F.max(F.struct("met", "vertex", "n")).alias("top"))
+    led = members.join(chiefs.select("bucket", F.col("top.vertex").alias("chief"), F.col("top.n").alias("chief_n")), "bucket")
+    close = led.where(F.col("vertex") != F.col("chief")).where(_fit("n", "chief_n", threshold))
+    met = close.groupBy("vertex").agg(F.collect_list("chief").alias("chiefs"))  # one for each bucket at most
+    most = F.array_max(F.transform(F.array_distinct("chiefs"), lambda x: F.struct(F.size(F.filter("chiefs", lambda y: y == x)).alias("c"), x.alias("b"))))
+    return met.select(F.col("vertex").alias("a"), most["b"].alias("b"))
+
+
+def _across(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of different components that the bounds leave possible."""
+    fields = {"vertex": "{}", "n": "n{}", "c": "k{}", "component": "c{}", "mask": "m{}", "over": "o{}"}
+
+    def side(rows: DataFrame, mark: str, slot) -> DataFrame:
+        return rows.select("bucket", slot.alias("slot"), *[F.col(x).alias(y.format(mark)) for x, y in fields.items()], *(["main"] if mark == "b" else []))
+
+    minor = side(mixed.where(~F.col("main")), "a", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    every = side(mixed, "b", F.pmod(F.xxhash64("vertex"), F.col("splits")).cast("int"))
+    apart = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
+    most = F.least("ka", "kb")
+    within = _fit("na", "nb", threshold) & (most >= threshold * (F.col("na") + F.col("nb") - most))
+    both = sum((F.bit_count(F.col("ma")[i].bitwiseAND(F.col("mb")[i])) for i in range(MASK_BITS // 64)), F.lit(0)) + F.least("oa", "ob")
+    found = minor.join(every, ["bucket", "slot"]).where(apart & within & (both >= threshold * (F.col("na") + F.col("nb") - both)))
+    return found.select("a", "b").distinct()
+
+
+def _classified(docs: DataFrame, threshold: float, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and per node: first (its class's lowest id and that row's digest) and equal (rows of the node)."""
     rows = cut(sketched(docs, id_column, text_column))
-    # a vertex sorts by its lowest id, so that the least vertex of a component names the class
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("equal"), F.first("n").alias("n"), F.first("values").alias("values")))
-    vertex = F.struct("low", "node").alias("vertex")
-    buckets = nodes.select(vertex, "n", F.posexplode("values").alias("order", "value")).select("vertex", "n", F.xxhash64("order", "value").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "vertex", "n", "members"))
-    # the original of a group of copies meets the most others: it leads its buckets
-    central = members.groupBy("vertex").agg(F.sum("members").alias("met"))
-    scored = members.join(central, "vertex")
-    chiefs = cut(scored.groupBy("bucket").agg(F.max(F.struct("met", "vertex", "n")).alias("chief")))
-    wanted = members.select(F.col("vertex.node").alias("node")).distinct()
-    first = rows.select("node", "sequence").groupBy("node").agg(F.first("sequence").alias("sequence"))
-    low = nodes.select("node", "low")
-    sequences = cut(first.join(wanted, "node", "left_semi").join(low, "node").select(vertex, "sequence"))
-
-    def fit(x: str, y: str):
-        return F.least(x, y) >= threshold * F.greatest(x, y)
-
-    led = members.join(chiefs.select("bucket", F.col("chief.vertex").alias("chief"), F.col("chief.n").alias("chief_n")), "bucket")
-    close = led.where(F.col("vertex") != F.col("chief")).where(fit("n", "chief_n"))
-    best = close.groupBy("vertex", "chief").agg(F.count(F.lit(1)).alias("c")).groupBy("vertex").agg(F.max(F.struct("c", "chief")).alias("best"))
-    pairs = best.select(F.col("vertex").alias("a"), F.col("best.chief").alias("b"))
-    links = cut(verified(pairs, sequences, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    label = components(links)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    nodes = rows.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("equal"), F.first("n").alias("n"), F.first("values").alias("values"))
+    nodes = cut(nodes.withColumn("vertex", F.monotonically_increasing_id()))
+    shared = _shared(nodes)
+    wanted = nodes.select("node", "vertex", "first").join(shared.select("vertex"), "vertex", "left_semi")
+    wanted = rows.select("node", "sequence").join(wanted, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("vertex", "first", "sequence")])
+    sequences = cut(wanted.drop("node"))
+    linked = verified(_leaders(shared, threshold), sequences, threshold)
+    label = roots(linked.select(F.col("a").alias("vertex"), F.col("b").alias("parent")))
 
     # round two: candidate pairs across components; the largest component of a bucket is only compared with the others
-    own = label.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    part = members.select("bucket", "vertex", "n").join(own, "vertex", "left")
-    part = _mixed(part.select("bucket", "vertex", "n", F.coalesce("component", "vertex").alias("component")))
+    part = shared.select("vertex", "n", "buckets").join(label, "vertex", "left")
+    part = _mixed(part.select("vertex", "n", F.coalesce("root", "vertex").alias("component"), F.explode("buckets").alias("bucket"))).drop("main", "splits")
     # k-mers that no other vertex has cannot be aligned. Of the others, two vertices share at most as many as slots that
     # both fill, and those that fall into a slot already filled. Both bound the similarity from above, exactly.
-    part = part.withColumn("v", F.xxhash64("vertex")).join(_shared_kmers(part, sequences), "v").where(F.col("c") >= threshold * F.col("n"))
+    part = part.join(_shared_kmers(part, sequences).withColumnRenamed("v", "vertex"), "vertex").where(F.col("c") >= threshold * F.col("n"))
     part = part.withColumn("over", F.col("c") - sum((F.bit_count(F.col("mask")[i]) for i in range(MASK_BITS // 64)), F.lit(0)))
-    mixed = _mixed(part.select("bucket", "vertex", "n", "component", "c", "mask", "over"))
-    fields = {"vertex": "{}", "n": "n{}", "c": "k{}", "component": "c{}", "mask": "m{}", "over": "o{}"}
-    minor = mixed.where(~F.col("main")).select("bucket", *[F.col(x).alias(y.format("a")) for x, y in fields.items()])
-    every = mixed.select("bucket", *[F.col(x).alias(y.format("b")) for x, y in fields.items()], "main")
-    apart = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
-    most = F.least("ka", "kb")
-    within = fit("na", "nb") & (most >= threshold * (F.col("na") + F.col("nb") - most))
-    both = sum((F.bit_count(F.col("ma")[i].bitwiseAND(F.col("mb")[i])) for i in range(MASK_BITS // 64)), F.lit(0)) + F.least("oa", "ob")
-    across = minor.join(every, "bucket").where(apart & within & (both >= threshold * (F.col("na") + F.col("nb") - both)))
-    more = verified(across.select("a", "b").distinct(), sequences, threshold)
-    final = components(label.select("u", "v").unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    more = verified(_across(_mixed(cut(part)), threshold), sequences, threshold)
+
+    # links between components, by the components' roots
+    one, two = (label.select(F.col("vertex").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    named = more.join(one, "a", "left").join(two, "b", "left")
+    joined = components(named.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")))
+    tops = joined.select(F.col("u").alias("root"), F.col("v").alias("top"))
+    known = sequences.select("vertex", "first").join(label, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).join(tops, "root", "left")
+    known = cut(known.select("vertex", "first", F.coalesce("top", "root").alias("class")))
+    lowest = known.groupBy("class").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    found = nodes.select("node", "vertex", "first", "equal").join(known.select("vertex", "class").join(lowest, "class").drop("class"), "vertex", "left")
+    return rows, cut(found.select("node", F.coalesce("lowest", "first").alias("first"), "equal"))
 
-    named = final.select(F.col("u.node").alias("node"), F.col("v.low").alias("class_low"), F.lit(True).alias("linked"))
-    found = nodes.select("node", "low", "equal").join(named, "node", "left")
-    found = cut(found.select("node", F.when(F.col("linked"), F.col("class_low")).otherwise(F.col("low")).alias("class_id"), "equal"))
-    return rows.select("id", "node", "n").join(found, "node").select(F.col("id").alias(id_column), "class_id", F.col("n").alias("n_shingles"), "equal")
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: its id, class_id (the lowest id of its class), n_shingles, and equal (documents with its words)."""
+    rows, found = _classified(docs, threshold, id_column, text_column)
+    named = rows.select("id", "node", "n").join(found, "node")
+    return named.select(F.col("id").alias(id_column), F.col("first.id").alias("class_id"), F.col("n").alias("n_shingles"), "equal")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that name their class, with all columns; of rows with equal id and text one stays."""
-    found = classes(docs, threshold, id_column, text_column)
-    kept = found.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("_kept")).distinct()
+    _, found = _classified(docs, threshold, id_column, text_column)
     # plain keys without nulls: the dealing of the join serves the removal of repeated rows too, so texts move once
-    kept = kept.select(F.coalesce(F.col("_kept").cast("string"), F.lit("")).alias("_name"), F.col("_kept").isNull().alias("_none"))
+    kept = found.select(
+        F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_name"), F.col("first.none").alias("_none"), F.col("first.digest").alias("_text")
+    ).distinct()
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_name"),
         F.col(id_column).isNull().alias("_none"), F.xxhash64(text_column).alias("_text"),
     )
-    return rows.join(kept, ["_name", "_none"], "left_semi").dropDuplicates(["_name", "_none", "_text"]).select("row.*")
+    return rows.join(kept, ["_name", "_none", "_text"], "left_semi").dropDuplicates(["_name", "_none", "_text"]).select("row.*")

@@ -329,6 +329,34 @@ def test_groups_of_copies_that_only_the_original_joins(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def test_one_row_of_a_class_stays_where_ids_repeat(spark):
+    near = PROSE.replace("gamma", "delta", 1)
+    rows = [(3, PROSE), (5, near), (5, LONG), (5, LONG), (None, PROSE), (None, "other words of a text without id"), (7, LONG + " tail")]
+    kept = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(3, PROSE), (5, LONG), (-1, "other words of a text without id")])
+
+
+def test_roots(spark):
+    parents = [(i, i + 1) for i in range(37)] + [(100, 101), (102, 101)]
+    found = {r.vertex: r.root for r in graph.roots(spark.createDataFrame(parents, "vertex long, parent long")).collect()}
+    assert found == {i: 37 for i in range(37)} | {100: 101, 102: 101}
+
+
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(120):
+        copy = list(base)
+        for at in draw.integers(0, 200, k % 7):
+            copy[at] = f"new{draw.integers(0, 40)}"
+        rows.append((k, " ".join(copy)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r.doc_id, r.class_id) for r in near_dup.classes(table).collect()}
+    monkeypatch.setattr(near_dup, "PAIRS", 10)
+    assert {(r.doc_id, r.class_id) for r in near_dup.classes(table).collect()} == whole
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105), (105, 100), (7, 7)]
     found = {r.u: r.v for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
