@@ -119,39 +119,68 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return bool(m) and m >= threshold * (len(a) + len(b) - m) - 1e-9
 
 
+def _shingled(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Slices of the texts: first row, row after the last, word hashes, each row's first word, labelled k-mers of each row."""
+    for i, j, data, off in B.slices(column, SLICE):
+        data = _LOWER[data]
+        starts, ends, row = B.words(data, off)
+        h = B.span_hash(B.prefix_hash(data), starts, ends)
+        first = np.searchsorted(row, np.arange(j - i + 1))
+        shingles = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
+        for k in range(SHINGLE):
+            shingles = B.mix(shingles + h[k : k + len(shingles)])
+        yield i, j, h, first, [labelled(shingles[a : max(a, b - SHINGLE + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, off in B.slices(batch.column(1), SLICE):
-            data = _LOWER[data]
-            starts, ends, row = B.words(data, off)
-            h = B.span_hash(B.prefix_hash(data), starts, ends)
-            first = np.searchsorted(row, np.arange(j - i + 1))
-            shingles = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
-            for k in range(SHINGLE):
-                shingles = B.mix(shingles + h[k : k + len(shingles)])
-            nodes, sizes, values, sequences = [], [], [], []
+        for i, j, h, first, keys in _shingled(batch.column(1)):
             pow_r = B.powers(int(np.diff(first).max(initial=0)) + 1)[0]
             other = B.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            nodes = []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 weights = pow_r[: b - a]
                 nodes.append(np.array([(h[a:b] * weights).sum(), (other[a:b] * weights).sum()], np.uint64).tobytes() + int(b - a).to_bytes(4, "big"))
-                keys = labelled(shingles[a : max(a, b - SHINGLE + 1)])
-                sizes.append(len(keys))
-                values.append(sketch(keys))
-                sequences.append(packed(keys))
+            values = list(map(sketch, keys))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(sequences, pa.binary())],
-                names=["id", "digest", "node", "n", "values", "sequence"],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(list(map(len, keys)), pa.int32()), lists],
+                names=["id", "digest", "node", "n", "values"],
             )
 
 
+def _sequenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, _, _, keys in _shingled(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(map(packed, keys), pa.binary())], names=["vertex", "sequence"])
+
+
 def sketched(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, digest (of the text), node (identity of the words), n (shingles), values (the sketch), sequence (48-bit labelled
-    shingles)."""
+    """id, digest (of the text), node (identity of the words), n (shingles), values (the sketch)."""
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"), F.xxhash64(text_column).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_sketched, f"id {kind}, digest long, node binary, n int, values array<bigint>, sequence binary")
+    return rows.mapInArrow(_sketched, f"id {kind}, digest long, node binary, n int, values array<bigint>")
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str, *columns) -> DataFrame:
+    """Rows with plain keys that are never null: the id's text, whether it is null, the text's digest."""
+    name = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return docs.select(*columns, name.alias("_name"), F.col(id_column).isNull().alias("_none"), F.xxhash64(text_column).alias("_text"))
+
+
+_KEYS = ["_name", "_none", "_text"]
+
+
+def _first_keys() -> list:
+    name = F.coalesce(F.col("first.id").cast("string"), F.lit(""))
+    return [name.alias("_name"), F.col("first.none").alias("_none"), F.col("first.digest").alias("_text")]
+
+
+def sequences_of(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(vertex, sequence of 48-bit labelled shingles) of the documents that ``wanted`` (vertex, first) names."""
+    texts = _keyed(docs, id_column, text_column, whole_text(text_column).alias("text"))
+    found = texts.join(wanted.select("vertex", *_first_keys()), _KEYS).dropDuplicates(_KEYS)
+    return cut(found.select("vertex", "text").mapInArrow(_sequenced, "vertex long, sequence binary"))
 
 
 def _verify(threshold: float):
@@ -273,9 +302,8 @@ def _classified(docs: DataFrame, threshold: float, id_column: str, text_column:
     nodes = rows.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("equal"), F.first("n").alias("n"), F.first("values").alias("values"))
     nodes = cut(nodes.withColumn("vertex", F.monotonically_increasing_id()))
     shared = _shared(nodes)
-    wanted = nodes.select("node", "vertex", "first").join(shared.select("vertex"), "vertex", "left_semi")
-    wanted = rows.select("node", "sequence").join(wanted, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("vertex", "first", "sequence")])
-    sequences = cut(wanted.drop("node"))
+    wanted = cut(nodes.select("vertex", "first").join(shared.select("vertex"), "vertex", "left_semi"))
+    sequences = sequences_of(docs, wanted, id_column, text_column)
     linked = verified(_leaders(shared, threshold), sequences, threshold)
     label = roots(linked.select(F.col("a").alias("vertex"), F.col("b").alias("parent")))
 
@@ -293,7 +321,7 @@ def _classified(docs: DataFrame, threshold: float, id_column: str, text_column:
     named = more.join(one, "a", "left").join(two, "b", "left")
     joined = components(named.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")))
     tops = joined.select(F.col("u").alias("root"), F.col("v").alias("top"))
-    known = sequences.select("vertex", "first").join(label, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).join(tops, "root", "left")
+    known = wanted.join(label, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")).join(tops, "root", "left")
     known = cut(known.select("vertex", "first", F.coalesce("top", "root").alias("class")))
     lowest = known.groupBy("class").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     found = nodes.select("node", "vertex", "first", "equal").join(known.select("vertex", "class").join(lowest, "class").drop("class"), "vertex", "left")
@@ -310,12 +338,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that name their class, with all columns; of rows with equal id and text one stays."""
     _, found = _classified(docs, threshold, id_column, text_column)
-    # plain keys without nulls: the dealing of the join serves the removal of repeated rows too, so texts move once
-    kept = found.select(
-        F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_name"), F.col("first.none").alias("_none"), F.col("first.digest").alias("_text")
-    ).distinct()
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_name"),
-        F.col(id_column).isNull().alias("_none"), F.xxhash64(text_column).alias("_text"),
-    )
-    return rows.join(kept, ["_name", "_none", "_text"], "left_semi").dropDuplicates(["_name", "_none", "_text"]).select("row.*")
+    # the dealing of the join serves the removal of repeated rows too, so texts move once
+    rows = _keyed(docs, id_column, text_column, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(found.select(*_first_keys()).distinct(), _KEYS, "left_semi").dropDuplicates(_KEYS).select("row.*")
