@@ -6,11 +6,15 @@ to DEPTH; a node's Krichevsky-Trofimov estimate and the weighted product of its
 half, so the probability of a byte mixes the estimates of all depths. A context that training never saw has no node:
 the longest one that it did see predicts alone.
 
-Nothing of the model goes through one task. Documents are dealt into blocks of bounded size. A block sends the distinct
-(context, byte) grams of its texts, with training counts, to shards by the last two context bytes, so that a shard
-holds whole subtrees; blocks are merged 64 at a time. Contexts of length 0 and 1 are summed over the shards (at most
-65,280 nodes, whatever the input) and sent to all. Each shard then codes its grams, the blocks that asked get their
-values back, and texts are scored where they lie. Word counts for the base score travel in the same way.
+Nothing of the model goes through one task. Documents are dealt into blocks of bounded size. A block sends each distinct
+(context, byte) gram of its texts once, as a row with its training count, so rows grow with the bytes; Spark sums them by
+gram. The sums are dealt by the last two context bytes, so that a shard holds whole subtrees. Contexts of length 0 and 1
+are summed over the shards (at most 65,280 nodes, whatever the input) and sent to all. Each shard codes its grams, the
+values join the rows that asked for them, and texts are scored where they lie. Word counts for the base score travel in
+the same way, and what is gathered grows with the input.
+
+``score`` and ``bits_per_byte`` are about the coded bytes: white space between two words counts as one space, as the
+base score has words only; ``n_bytes`` counts the coded bytes, the end mark included.
 
 Defined results: null texts are empty (their end mark is scored); a null doc_id counts as the text ''; repeated rows
 are learned and scored once each; without training documents all counts are 0; extra columns are ignored; an empty
@@ -27,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdweave.llm import bytewise as B
-from crowdweave.llm.common import block_count, cut, whole_text
+from crowdweave.llm.common import BLOCK_BYTES, block_count, cut, partitions, whole_text
 
 DEPTH = 5
 FOLDS = 7
 HELD_FOLD = 2
-#: Blocks that are merged or answered together.
-FAN_IN = 64
+#: Distinct grams of the corpus that one shard should hold.
+SHARD_GRAMS = 2_000_000
 END = 0xFF  # never a byte of UTF-8
 _END_WORD = np.uint64(0x656E64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,11 +107,6 @@ def scored_places(out: np.ndarray, first: np.ndarray) -> np.ndarray:
     return use[DEPTH:]
 
 
-def shard_of(keys: np.ndarray, word: bool, shards: int) -> np.ndarray:
-    part = keys if word else keys >> _U(8 * (DEPTH - 1))
-    return (B.mix(part + _U(1)) % _U(shards)).astype(np.int64) + (shards if word else 0)
-
-
 class Counter:
     """Distinct keys and their training counts, gathered slice by slice."""
 
@@ -136,61 +135,40 @@ class Counter:
         return self.keys[0], self.counts[0]
 
 
-def _ask(shards: int):
-    """applyInArrow on a block: its distinct grams and words with training counts, one row per shard."""
+_ASKED = pa.schema([("block", pa.int32()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def run(block: pa.Table) -> pa.Table:
-        kept = (Counter(), Counter())
-        for batch in block.to_batches():
-            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, data, off in B.slices(batch.column("text")):
-                out, first, hashes, row, _ = stream(data, off)
-                keys, use = grams(out), scored_places(out, first)
-                train = ~held[i:j]
-                of = np.repeat(train, np.diff(first))[DEPTH:]
-                ends = np.array([_END_WORD])
-                for counter, k, t in ((kept[0], keys[use], of[use]), (kept[1], hashes, train[row])):
-                    counter.add(k[t])
-                    other = np.unique(k[~t])
-                    counter.add(other, np.zeros(len(other), np.int64))
-                kept[1].add(ends, np.array([train.sum()]))
-        number = block.column("block")[0].as_py()
-        rows = []
-        for word, counter in enumerate(kept):
-            keys, counts = counter.fold()
-            shard = shard_of(keys, bool(word), shards)
-            order = np.argsort(shard, kind="stable")
-            shard, keys, counts = shard[order], keys[order], counts[order].astype("<u4")
-            bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
-            rows += [(int(shard[a]), number, keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.table(dict(zip(("shard", "block", "keys", "counts"), map(list, zip(*rows, strict=True)), strict=True)), _ASK)
-
-    return run
 
+def _ask(block: pa.Table) -> pa.Table:
+    """applyInArrow on a block: one row for each distinct gram and each distinct word, with its training count."""
+    kept = (Counter(), Counter())
+    for batch in block.to_batches():
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for i, j, data, off in B.slices(batch.column("text")):
+            out, first, hashes, row, _ = stream(data, off)
+            keys, use = grams(out), scored_places(out, first)
+            train = ~held[i:j]
+            of = np.repeat(train, np.diff(first))[DEPTH:]
+            ends = np.array([_END_WORD])
+            for counter, k, t in ((kept[0], keys[use], of[use]), (kept[1], hashes, train[row])):
+                counter.add(k[t])
+                other = np.unique(k[~t])
+                counter.add(other, np.zeros(len(other), np.int64))
+            kept[1].add(ends, np.array([train.sum()]))
+    (keys, counts), (words, word_counts) = (x.fold() for x in kept)
+    of_word = np.repeat([False, True], [len(keys), len(words)])
+    number = np.full(len(of_word), block.column("block")[0].as_py(), np.int32)
+    columns = (number, of_word, np.concatenate([keys, words]).view(np.int64), np.concatenate([counts, word_counts]))
+    return pa.table([pa.array(c) for c in columns], schema=_ASKED)
 
-_ASK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_MERGED = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
+_PACKED = pa.schema([("keys", pa.binary()), ("counts", pa.binary())])
 
-def _merge(group: pa.Table) -> pa.Table:
-    counter = Counter()
-    wide = "<u8" if group.column("wide")[0].as_py() else "<u4"
-    for keys, counts in zip(group.column("keys"), group.column("counts"), strict=True):
-        counter.add(np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), wide))
-    keys, counts = counter.fold()
-    return pa.table({"shard": [group.column("shard")[0].as_py()], "block": [group.column("block")[0].as_py()], "keys": [keys.tobytes()], "counts": [counts.astype("<u8").tobytes()]}, _MERGED)
 
-
-def merged(asked: DataFrame, blocks: int) -> DataFrame:
-    """One row per shard: all its keys with their counts over all blocks; FAN_IN rows meet at a time."""
-    level, wide = asked, False
-    while True:
-        blocks = -(-blocks // FAN_IN)
-        level = level.withColumns({"block": (F.col("block") / FAN_IN).cast("int"), "wide": F.lit(wide)})
-        level = cut(level.groupBy("shard", "block").applyInArrow(_merge, "shard int, block int, keys binary, counts binary"))
-        wide = True
-        if blocks <= 1:
-            return level.drop("block")
+def _pack(shard: pa.Table) -> pa.Table:
+    """A shard's grams with their counts over all blocks, in order, as packed arrays."""
+    keys, counts = (shard.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys)
+    return pa.table({"keys": [keys[order].astype("<u8").tobytes()], "counts": [counts[order].astype("<u8").tobytes()]}, _PACKED)
 
 
 class Tree:
@@ -266,72 +244,44 @@ def _mix(q, seen, one, total, ones, odds):
     return np.where(known, mixed, 0.5), known
 
 
-def _summaries(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["last", "node", "weighted", "total", "ones"]
-        for batch in batches:
-            for shard, keys, counts in zip(*(batch.column(k) for k in ("shard", "keys", "counts")), strict=True):
-                keys, counts = np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u8").astype(np.int64)
-                if shard.as_py() >= shards:
-                    values = [np.array([x]) for x in (-1, -1, 0.0, float(counts.sum()), float((counts > 0).sum()))]
-                else:
-                    out = Tree(keys, counts).summary()
-                    last, node = np.nonzero(out[1])
-                    values = [last, node, *(x[last, node] for x in out)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32()] * 2 + [pa.float64()] * 3, strict=True)], names=names)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            yield np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u8").astype(np.int64)
 
-    return run
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, counts in _shards(batches):
+        out = Tree(keys, counts).summary()
+        last, node = np.nonzero(out[1])
+        values = [last.astype(np.int32), node.astype(np.int32), *(x[last, node] for x in out)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["last", "node", "weighted", "total", "ones"])
 
 
-def top_of(model: DataFrame, shards: int) -> dict:
-    """Nodes of the contexts of length 0 and 1, and the sums of the word counts: at most 65,281 rows."""
-    rows = model.mapInArrow(_summaries(shards), "last int, node int, weighted double, total double, ones double")
+def top_of(packed: DataFrame) -> dict[str, np.ndarray]:
+    """Nodes of the contexts of length 0 and 1: at most 65,280 rows."""
+    rows = packed.mapInArrow(_summaries, "last int, node int, weighted double, total double, ones double")
     rows = rows.groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in ("weighted", "total", "ones")]).collect()
     inner, total, ones = np.zeros((3, 256, 256))
-    words = (0, 0)
     for r in rows:
-        if r["last"] < 0:
-            words = (int(r["total"]), int(r["ones"]))
-        else:
-            inner[r["last"], r["node"]], total[r["last"], r["node"]], ones[r["last"], r["node"]] = r["weighted"], r["total"], r["ones"]
+        inner[r["last"], r["node"]], total[r["last"], r["node"]], ones[r["last"], r["node"]] = r["weighted"], r["total"], r["ones"]
     kt = log_kt(total - ones, ones)
     weighted = np.where(total > 0, np.logaddexp(kt, inner) - _LN2, 0.0)
     total0, ones0 = total.sum(axis=0), ones.sum(axis=0)
     return {
         "total1": total, "ones1": ones, "odds1": kt - inner, "total0": total0, "ones0": ones0,
-        "odds0": log_kt(total0 - ones0, ones0) - weighted.sum(axis=0), "tokens": words[0], "distinct": words[1],
+        "odds0": log_kt(total0 - ones0, ones0) - weighted.sum(axis=0),
     }
 
 
-def _coded(shards: int, top: dict):
-    """mapInArrow on the merged shards: each gram's logarithm, each word's count, as doubles."""
+def _coded(top: dict[str, np.ndarray]):
+    """mapInArrow on the packed shards: each gram's logarithm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, keys, counts in zip(*(batch.column(k) for k in ("shard", "keys", "counts")), strict=True):
-                own = np.frombuffer(keys.as_buffer(), "<u8")
-                n = np.frombuffer(counts.as_buffer(), "<u8").astype(np.int64)
-                values = n.astype("<f8") if shard.as_py() >= shards else Tree(own, n).code(top).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int32()), pa.array([keys.as_py()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["shard", "keys", "values"])
-
-    return run
-
-
-def _answer(shards: int):
-    """cogroup of a shard's askers with its values: the values of the keys that each block asked for."""
-
-    def run(asked: pa.Table, coded: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [])
-        if len(asked) and len(coded):
-            shard = coded.column("shard")[0].as_py()
-            kind = "<f8" if shard >= shards else "<f4"
-            known = np.frombuffer(coded.column("keys")[0].as_buffer(), "<u8")
-            values = np.frombuffer(coded.column("values")[0].as_buffer(), kind)
-            for block, keys in zip(asked.column("block"), asked.column("keys"), strict=True):
-                own = np.frombuffer(keys.as_buffer(), "<u8")
-                for column, x in zip(out, (block.as_py(), shard >= shards, keys.as_py(), values[np.searchsorted(known, own)].tobytes()), strict=True):
-                    column.append(x)
-        return pa.table(dict(zip(("block", "word", "keys", "values"), out, strict=True)), pa.schema([("block", pa.int32()), ("word", pa.bool_()), ("keys", pa.binary()), ("values", pa.binary())]))
+        for keys, counts in _shards(batches):
+            values = Tree(keys, counts).code(top)
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(values[i : i + (1 << 16)])], names=["key", "value"])
 
     return run
 
@@ -340,22 +290,18 @@ _SCORED = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.in
 
 
 def _score(tokens: int, distinct: int, id_column: str):
-    def lookup(answers: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
-        kind = "<f8" if word else "<f4"
-        rows = [k for k, w in enumerate(answers.column("word").to_pylist()) if w == word]
-        keys = [np.frombuffer(answers.column("keys")[k].as_buffer(), "<u8") for k in rows]
-        values = [np.frombuffer(answers.column("values")[k].as_buffer(), kind) for k in rows]
-        return (np.concatenate(keys), np.concatenate(values)) if rows else (np.zeros(0, _U), np.zeros(0))
-
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        known = [lookup(answers, w) for w in (False, True)]
-        sets = [pa.array(k) for k, _ in known]
+        known = []
+        for word in (False, True):
+            own = answers.filter(pc.equal(answers.column("word"), word))
+            known.append((own.column("key").combine_chunks(), own.column("value").to_numpy()))
         out: list[list] = [[] for _ in range(len(_SCORED) + 1)]
 
         def find(keys: np.ndarray, word: int) -> np.ndarray:
-            return known[word][1][pc.index_in(pa.array(keys), value_set=sets[word]).to_numpy(zero_copy_only=False)].astype(np.float64)
+            at = pc.index_in(pa.array(keys.view(np.int64)), value_set=known[word][0])
+            return known[word][1][at.to_numpy(zero_copy_only=False)].astype(np.float64)
 
         for batch in block.to_batches():
             held = batch.column("held_out")
@@ -382,24 +328,29 @@ def _score(tokens: int, distinct: int, id_column: str):
     return run
 
 
-def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     The model learns from all documents whose crc32 of the id's text, modulo 7, is not 2.
     """
-    blocks = block_count(docs, text_column)
-    shards = shards or blocks
+    blocks = block_count(docs, text_column, block_bytes)
     remainder = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col(id_column), (remainder == HELD_FOLD).alias("held_out"), whole_text(text_column).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_column, F.length("text")), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_column, "text"), F.lit(blocks)).cast("int"))
     kind = rows.schema[id_column].dataType.simpleString()
-    asked = cut(rows.select("block", "held_out", "text").groupBy("block").applyInArrow(_ask(shards), "shard int, block int, keys binary, counts binary"))
-    model = merged(asked, blocks)
-    top = top_of(model, shards)
-    coded = model.select("shard", "keys", "counts").mapInArrow(_coded(shards, top), "shard int, keys binary, values binary")
-    groups = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // FAN_IN)))
-    askers = asked.select("shard", "block", "keys", (F.col("block") / FAN_IN).cast("int").alias("g"))
-    answers = askers.groupBy("shard", "g").cogroup(coded.withColumn("g", groups).groupBy("shard", "g"))
-    answers = answers.applyInArrow(_answer(shards), "block int, word boolean, keys binary, values binary")
+    asked = cut(rows.select("block", "held_out", "text").groupBy("block").applyInArrow(_ask, "block int, word boolean, key long, n long"))
+    model = cut(asked.groupBy("word", "key").agg(F.sum("n").alias("n")))
+    sums = model.agg(
+        F.count_if(~F.col("word")).alias("grams"), F.sum(F.when(F.col("word"), F.col("n"))).alias("tokens"),
+        F.count_if(F.col("word") & (F.col("n") > 0)).alias("distinct"),
+    ).first()
+    shards = max(partitions(docs.sparkSession), -(-sums["grams"] // SHARD_GRAMS))
+    two = F.shiftrightunsigned("key", 8 * (DEPTH - 1))
+    dealt = model.where("not word").select("key", "n", F.pmod(F.xxhash64(two), F.lit(shards)).alias("shard"))
+    packed = cut(dealt.groupBy("shard").applyInArrow(_pack, "keys binary, counts binary"))
+    coded = packed.mapInArrow(_coded(top_of(packed)), "key long, value double").select(F.lit(False).alias("word"), "key", "value")
+    values = coded.unionByName(model.where("word").select("word", "key", F.col("n").cast("double").alias("value")))
+    answers = asked.select("block", "word", "key").join(values, ["word", "key"]).select("block", "word", "key", "value")
     fields = f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(top["tokens"], top["distinct"], id_column), fields)
+    scored = _score(int(sums["tokens"] or 0), sums["distinct"], id_column)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, fields)

@@ -4,21 +4,24 @@ Every byte that a string of ``LENGTH`` bytes covers goes, if that string also st
 
 Parsing: the rolling-hash trigger of a start position is the least hash of the ``GRAM``-byte windows inside its string.
 It depends on the string's bytes alone, so equal strings have the trigger at the same offset. Runs of starts that share
-a trigger are the phrases of the parse. A phrase's dictionary word is all the bytes that its strings span (the phrase
-and the LENGTH - 1 bytes after it, which stand for the parse that follows: strings are compared up to LENGTH bytes, so
-later phrases never decide). The parse of highly repetitive text has few distinct words.
+a trigger are the phrases of the parse. A phrase's dictionary word is all the bytes that its strings span: the phrase
+and the LENGTH - 1 bytes after it. The parse of highly repetitive text has few distinct words.
 
-Order: equal words repeat as a whole, whatever their number. Words that share a trigger gram and are not equal can
-share some of their strings: their suffixes are sorted by their first LENGTH bytes, and runs of equal ones are the
-neighbours in corpus order that repeat. A word that occurs once needs the answer, a word that occurs twice is a witness
-and is sent once.
+Order: the dictionary's suffixes are sorted by their bytes, by prefix doubling (8, 16, 32, 64, 128, LENGTH bytes). The
+suffix array of the parse would order suffixes whose words are equal so far by what follows; as a word holds what follows
+up to LENGTH bytes, and only neighbours that agree on LENGTH bytes matter, equal names of words take its place. Equal
+words repeat as a whole, whatever their number. Words that share a trigger gram and are not equal can share some of their
+strings: their suffixes are sorted together, and runs that agree on LENGTH bytes are the neighbours in corpus order that
+repeat. A word that occurs once needs the answer, a word that occurs twice is a witness and is sent once.
 
-Blocks of documents ask shards of trigger grams, in packed arrays; texts travel compressed. A text never meets all
-others, and no group of copies meets in one task: a block sends each distinct word once. Strings are told apart by
-64-bit hashes of their bytes.
+Words are named by two 64-bit hashes (the gram's and the word's); suffixes are compared by their bytes. One row for each
+distinct word of a block travels, so rows grow with the bytes, and Spark sums them by name. Where more than ``HOT``
+distinct words share a gram (a passage that many documents embed), each of their strings goes by its own 128-bit hash
+instead, so that no gram meets in one task. Texts travel compressed.
 
 Defined results: null texts are empty; repeated rows are copies of each other, so strings that both hold go from both;
-texts under LENGTH bytes lose nothing; extra columns are ignored; an empty table gives an empty result.
+texts under LENGTH bytes lose nothing; a very long text is parsed piece by piece and judged whole; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,14 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdweave.llm import bytewise as B
-from crowdweave.llm.common import block_count, cut, whole_text
+from crowdweave.llm.common import cut, partitions, whole_text
 
 LENGTH = 200
 GRAM = 64
 BLOCK = 8 << 20
 _U = np.uint64
 _PLACE = _U((1 << 28) - 1)
-_ALL, _ASKED, _SENDER = 1, 2, 4
+#: Starts of one row that are parsed at a time; places in a piece must stay under _PLACE.
+PIECE = 2 << 20
+#: Distinct words of one gram that are sorted together; beyond, their strings are told apart by hash.
+HOT = 4096
+#: Bytes of words that one task sorts together, about.
+SORTED = 4 << 20
 
 
 def window_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -86,58 +94,37 @@ class Block:
         self.data, self.off = data, off
         found, i, n = [], 0, len(off) - 1
         while i < n:  # a little at a time
-            j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + (2 << 20), "right")) - 1))
-            lo, hi, gram, word = phrases(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            found.append((lo + off[i], hi + off[i], gram, word))
+            j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1))
+            starts = range(off[i], off[j], PIECE) if j == i + 1 else [off[i]]
+            for at in starts:  # strings do not care where a long row's pieces end
+                end = min(off[j], at + PIECE + LENGTH - 1) if j == i + 1 else off[j]
+                lo, hi, gram, word = phrases(data[at:end], np.array([0, end - at]) if j == i + 1 else off[i : j + 1] - off[i])
+                found.append((lo + at, hi + at, gram, word))
             i = j
         parts = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 2 + ([np.zeros(0, _U)],) * 2
         self.lo, self.hi, gram, word = (np.concatenate(x) for x in parts)
         self.words, self.sample, self.word_of, self.counts = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
         self.grams = gram[self.sample]
 
-    def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words by shard: their order, and the shard of each in that order."""
-        shard = (B.mix(self.grams) % _U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        return order, shard[order]
 
+_PARSED = [("block", pa.int64()), ("ids", None), ("lengths", pa.binary()), ("texts", pa.binary()), ("gram", pa.int64()), ("word", pa.int64()), ("n", pa.int64())]
 
-def bounds(ordered: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of equal entries."""
-    if not len(ordered):
-        return []
-    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-    return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
+def _parse(kind: pa.DataType):
+    """mapInArrow: blocks of documents, a row with the packed texts of each, and a row for each distinct word of it."""
+    schema = pa.schema([(c, t or pa.list_(kind)) for c, t in _PARSED])
 
-def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, bytes]:
-    """Intervals in order as packed arrays; neighbours that touch become one."""
-    if not len(starts):
-        return b"", b""
-    order = np.argsort(starts)
-    starts, ends = starts[order], ends[order]
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1]))
-    return starts[new].astype("<i8").tobytes(), ends[np.concatenate([new[1:], [len(starts)]]) - 1].astype("<i8").tobytes()
-
-
-_PARSED = "block string, shard int, ids array<{kind}>, lengths binary, texts binary, grams binary, words binary, counts binary"
-
-
-def _parse(shards: int, kind: pa.DataType):
-    schema = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("ids", pa.list_(kind)), *((c, pa.binary()) for c in ("lengths", "texts", "grams", "words", "counts"))])
-
-    def rows(ids: list[pa.Array], parts: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(ids: list[pa.Array], parts: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        name = uuid.uuid4().hex
+        name = uuid.uuid4().int >> 65
         data, sizes = np.concatenate(parts), np.concatenate(lengths)
+        packed = (name, pa.concat_arrays(ids).to_pylist(), sizes.astype("<i8").tobytes(), zstandard.compress(data.tobytes(), 3), None, None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(packed, schema.types, strict=True)], schema=schema)
         block = Block(data, np.concatenate([[0], np.cumsum(sizes)]))
-        out = [(name, None, pa.concat_arrays(ids).to_pylist(), sizes.astype("<i8").tobytes(), zstandard.compress(data.tobytes(), 3), None, None, None)]
-        order, shard = block.dealt(shards)
-        for a, b in bounds(shard):
-            own = order[a:b]
-            out.append((name, int(shard[a]), None, None, None, *(x[own].astype(t).tobytes() for x, t in ((block.grams, "<u8"), (block.words, "<u8"), (block.counts, "<u4")))))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        n = len(block.words)
+        columns = [np.full(n, name), *(pa.nulls(n, t) for t in schema.types[1:4]), block.grams.view(np.int64), block.words.view(np.int64), block.counts.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, lengths, size = [], [], [], 0
@@ -148,30 +135,24 @@ def _parse(shards: int, kind: pa.DataType):
                 lengths.append(np.diff(off))
                 size += len(data)
                 if size >= BLOCK:
-                    yield rows(ids, parts, lengths)
+                    yield from rows(ids, parts, lengths)
                     ids, parts, lengths, size = [], [], [], 0
         if ids:
-            yield rows(ids, parts, lengths)
+            yield from rows(ids, parts, lengths)
 
     return run
 
 
-def _judge(group: pa.Table) -> pa.Table:
-    """On a shard of trigger grams: for each block's words, whether they repeat as a whole, and whether they are sent."""
-    wide = [[np.frombuffer(x.as_buffer(), t) for x in group.column(c)] for c, t in (("grams", "<u8"), ("words", "<u8"), ("counts", "<u4"))]
-    grams, words, counts = (np.concatenate(x) for x in wide)
-    names, sample, at = np.unique(words, return_index=True, return_inverse=True)
-    whole = np.bincount(at, counts, len(names)) >= 2
-    _, gram_at = np.unique(grams[sample], return_inverse=True)
-    several = np.bincount(gram_at) >= 2
-    open_ = np.bincount(gram_at, ~whole) > 0
-    status = whole * _ALL + (several & open_)[gram_at] * _ASKED
-    result = status[at].astype(np.uint8)
-    result[sample] |= _SENDER
-    edges = np.cumsum([0, *map(len, wide[0])])
-    return pa.table(
-        {"block": group.column("block"), "shard": group.column("shard"), "status": pa.array([result[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())}
-    ).cast(pa.schema([("block", pa.string()), ("shard", pa.int32()), ("status", pa.binary())]))
+def judged(words: DataFrame) -> DataFrame:
+    """Rows (block, gram, word, n) to those that matter (owner: the block): whole (the word repeats), send (its strings are to be compared,
+    and this block sends them), hot (by hash)."""
+    distinct = words.groupBy("gram", "word").agg(F.sum("n").alias("c"), F.min("block").alias("sender"))
+    grams = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("c") == 1).alias("open")).where("k > 1 and open > 0")
+    # a written table: the joins that follow can then split the rows of a common word or gram over many tasks
+    status = cut(distinct.join(grams.select("gram", (F.col("k") > HOT).alias("hot")), "gram", "left").where("c > 1 or hot is not null"))
+    found = words.select("block", "gram", "word").join(status, ["gram", "word"])
+    send = F.col("hot").isNotNull() & (F.col("block") == F.col("sender"))
+    return found.select(F.col("block").alias("owner"), "word", (F.col("c") > 1).alias("whole"), send.alias("send"), F.coalesce("hot", F.lit(False)).alias("hot"))
 
 
 def _unpacked(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -182,65 +163,93 @@ def _unpacked(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(sizes)])
 
 
-_SENT = pa.schema([("block", pa.string()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("starts", "ends", "weights", "bytes"))])
-
+#: first, last: runs of starts that repeat (gram null), or the starts of a word to be compared; weight: 2 for a witness.
+_SENT = pa.schema([*((c, pa.int64()) for c in ("block", "gram", "first", "last")), ("weight", pa.int8()), ("bytes", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
 
-def _send(shards: int):
-    """cogroup of a block with its words' judgement: runs of starts that repeat, and words to be compared."""
 
-    def run(docs: pa.Table, judged: pa.Table) -> pa.Table:
-        import zstandard
-
-        out: list[tuple] = []
-        if len(docs) and len(judged):
-            block = Block(*_unpacked(docs))
-            name = docs.column("block")[0].as_py()
-            order, _ = block.dealt(shards)
-            by_shard = sorted(zip(judged.column("shard").to_pylist(), judged.column("status").to_pylist(), strict=True))
-            status = np.empty(len(order), np.uint8)
-            status[order] = np.frombuffer(b"".join(s for _, s in by_shard), np.uint8)
-            whole = (status[block.word_of] & _ALL) > 0
-            out.append((name, None, *runs_of(block.lo[whole], block.hi[whole]), None, None))
-            sent = np.flatnonzero((status & _ASKED > 0) & (status & _SENDER > 0))
-            shard = (B.mix(block.grams[sent]) % _U(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            for a, b in bounds(shard[by]):
-                own = sent[by[a:b]]
-                lo, hi = block.lo[block.sample[own]], block.hi[block.sample[own]]
-                size = hi + LENGTH - lo
-                place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                weight = np.where(status[own] & _ALL, 2, 1).astype(np.uint8)
-                out.append((name, int(shard[by[a]]), lo.astype("<i8").tobytes(), hi.astype("<i8").tobytes(), weight.tobytes(), zstandard.compress(block.data[place].tobytes(), 1)))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SENT.types, strict=True)], schema=_SENT) if out else _SENT.empty_table()
+def _batch(n: int, **columns) -> pa.Table:
+    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SENT], schema=_SENT)
 
-    return run
 
-
-_RUNS = pa.schema([("block", pa.string()), ("starts", pa.binary()), ("ends", pa.binary())])
+def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals in order; neighbours that touch become one."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts)
+    starts, ends = starts[order], ends[order]
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1]))
+    return starts[new], ends[np.concatenate([new[1:], [len(starts)]]) - 1]
+
+
+def _send(docs: pa.Table, status: pa.Table) -> pa.Table:
+    """cogroup of a block with the status of its words: runs of starts that repeat, words to be sorted, strings by hash."""
+    if not len(docs) or not len(status):
+        return _SENT.empty_table()
+    block = Block(*_unpacked(docs))
+    name = docs.column("block")[0].as_py()
+    at = np.searchsorted(block.words, status.column("word").to_numpy().view(_U))
+    whole, send, hot = (np.zeros(len(block.words), bool) for _ in range(3))
+    for flags, column in ((whole, "whole"), (send, "send"), (hot, "hot")):
+        flags[at] = status.column(column).to_numpy()
+    repeats = whole[block.word_of]
+    first, last = runs_of(block.lo[repeats], block.hi[repeats])
+    out = [_batch(len(first), block=np.full(len(first), name), first=first, last=last)]
+    own = np.flatnonzero(send & ~hot)
+    lo, hi = block.lo[block.sample[own]], block.hi[block.sample[own]]
+    texts = [block.data[a : b + LENGTH].tobytes() for a, b in zip(lo, hi, strict=True)]
+    out.append(_batch(len(own), block=np.full(len(own), name), gram=block.grams[own].view(np.int64), first=lo, last=hi, weight=1 + whole[own], bytes=texts))
+    own = np.flatnonzero(send & hot)
+    if len(own):
+        lo, n = block.lo[block.sample[own]], (block.hi - block.lo)[block.sample[own]] + 1
+        starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        prefix = B.prefix_hash(block.data)
+        h1 = B.span_hash(prefix, starts, starts + LENGTH)
+        halves = [B.span_hash(prefix, starts + a, starts + b) for a, b in ((0, LENGTH // 2), (LENGTH // 2, LENGTH))]
+        h2 = B.mix(B.mix(halves[0]) * _U(3) + halves[1])
+        out.append(_batch(len(starts), block=np.full(len(starts), name), first=starts, last=starts, weight=np.repeat(1 + whole[own], n), h1=h1.view(np.int64), h2=h2.view(np.int64)))
+    return pa.concat_tables(out)
+
+
+_RUNS = pa.schema([(c, pa.int64()) for c in ("block", "first", "last")])
+
+
+def ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rank, by their bytes, of the LENGTH-byte strings that start at the places ``at``; equal strings share one."""
+
+    def named(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].astype(_U)
+
+    size, wide = 8, np.concatenate([data, np.zeros(LENGTH, np.uint8)]).astype(_U)
+    keys = np.zeros(len(wide) - 7, _U)
+    for k in range(8):
+        keys |= wide[k : k + len(keys)] << _U(8 * (7 - k))
+    rank = named(keys)
+    while 2 * size <= LENGTH:
+        rank = named((rank[: len(rank) - size] << _U(32)) | rank[size:])
+        size *= 2
+    return named((rank[at] << _U(32)) | rank[at + LENGTH - size])
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """On a shard: the suffixes of its words in the order of their first LENGTH bytes; those in runs of equal ones repeat."""
-    import zstandard
-
-    parts = []
-    for k in range(len(group)):
-        lo, hi = (np.frombuffer(group.column(c)[k].as_py(), "<i8") for c in ("starts", "ends"))
-        data = np.frombuffer(zstandard.decompress(group.column("bytes")[k].as_py()), np.uint8)
-        size = hi + LENGTH - lo
-        n = hi - lo + 1
-        at = np.repeat(np.cumsum(size) - size, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        weight = np.repeat(np.frombuffer(group.column("weights")[k].as_py(), np.uint8), n)
-        start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        parts.append((B.span_hash(B.prefix_hash(data), at, at + LENGTH), weight, start, np.full(len(at), k)))
-    suffix, weight, start, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, at = np.unique(suffix, return_inverse=True)
-    again = (np.bincount(at, weight)[at] >= 2) & (weight == 1)
-    out = []
-    for k in range(len(group)):
-        own = start[again & (row == k)]
-        out.append((group.column("block")[k].as_py(), *runs_of(own, own)))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RUNS.types, strict=True)], schema=_RUNS)
+    """On words of some grams: their suffixes in the order of their first LENGTH bytes; those in runs of equal ones repeat."""
+    lo, hi, block = (group.column(c).to_numpy() for c in ("first", "last", "block"))
+    data, _ = B.raw(group.column("bytes").combine_chunks())
+    size, n = hi + LENGTH - lo, hi - lo + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    weight = np.repeat(group.column("weight").to_numpy(), n)
+    rank = ranks(data, np.repeat(np.cumsum(size) - size, n) + step).astype(np.int64)
+    again = (np.bincount(rank, weight)[rank] >= 2) & (weight == 1)
+    starts, owner = (np.repeat(lo, n) + step)[again], np.repeat(np.arange(len(lo)), n)[again]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(starts)]])[: len(first)] - 1
+    return pa.table([pa.array(x, pa.int64()) for x in (block[owner[first]], starts[first], starts[last])], schema=_RUNS)
+
+
+def by_hash(strings: DataFrame) -> DataFrame:
+    """Single strings (block, first, weight, h1, h2) that occur elsewhere too."""
+    twice = cut(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("c")).where("c > 1").select("h1", "h2"))
+    return strings.where("weight = 1").join(twice, ["h1", "h2"]).select("block", "first", F.col("first").alias("last"))
 
 
 def _remove(id_column: str, kind: pa.DataType, with_text: bool):
@@ -253,9 +262,8 @@ def _remove(id_column: str, kind: pa.DataType, with_text: bool):
             return schema.empty_table()
         data, off = _unpacked(docs)
         cover = np.zeros(len(data) + 1, np.int32)
-        for a, b in zip(runs.column("starts").to_pylist(), runs.column("ends").to_pylist(), strict=True):
-            np.add.at(cover, np.frombuffer(a, "<i8"), 1)
-            np.add.at(cover, np.frombuffer(b, "<i8") + LENGTH, -1)
+        np.add.at(cover, runs.column("first").to_numpy(), 1)
+        np.add.at(cover, runs.column("last").to_numpy() + LENGTH, -1)
         gone = np.cumsum(cover[:-1]) > 0
         n_removed = B.counted(gone, off)
         opens = gone.copy()
@@ -277,16 +285,19 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    shards = block_count(docs, text_column, BLOCK)
     kind = rows.schema["id"].dataType
     arrow, simple = to_arrow_type(kind), kind.simpleString()
-    parsed = cut(rows.mapInArrow(_parse(shards, arrow), _PARSED.format(kind=simple)))
-    texts = parsed.where("shard is null").select("block", "ids", "lengths", "texts")
-    asked = parsed.where("shard is not null").select("block", "shard", "grams", "words", "counts")
-    judged = asked.groupBy("shard").applyInArrow(_judge, "block string, shard int, status binary")
-    sent = texts.groupBy("block").cogroup(judged.groupBy("block"))
-    sent = cut(sent.applyInArrow(_send(shards), "block string, shard int, starts binary, ends binary, weights binary, bytes binary"))
-    found = sent.where("shard is not null").groupBy("shard").applyInArrow(_compare, "block string, starts binary, ends binary")
-    runs = sent.where("shard is null").select("block", "starts", "ends").unionByName(found)
+    fields = f"block long, ids array<{simple}>, lengths binary, texts binary, gram long, word long, n long"
+    parsed = cut(rows.mapInArrow(_parse(arrow), fields))
+    texts = parsed.where("texts is not null").select("block", "ids", "lengths", "texts")
+    status = judged(parsed.where("word is not null").select("block", "gram", "word", "n"))
+    sent = texts.groupBy("block").cogroup(status.groupBy("owner"))
+    sent = cut(sent.applyInArrow(_send, "block long, gram long, first long, last long, weight tinyint, bytes binary, h1 long, h2 long"))
+    size = sent.agg(F.sum(F.octet_length("bytes")).alias("b")).first()["b"] or 0
+    groups = max(partitions(docs.sparkSession), -(-size // SORTED))
+    words = sent.where("gram is not null").withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(groups)))
+    found = words.groupBy("g").applyInArrow(_compare, "block long, first long, last long")
+    runs = sent.where("gram is null and h1 is null").select("block", "first", "last").unionByName(found)
+    runs = runs.unionByName(by_hash(sent.where("h1 is not null")))
     fields = f"{id_column} {simple}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_remove(id_column, arrow, with_text), fields)

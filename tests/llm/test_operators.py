@@ -136,6 +136,13 @@ def test_scores_against_a_plain_tree(spark):
         assert found[i] == pytest.approx(brute_tree(train, t, ctw.DEPTH), rel=1e-4)
 
 
+def test_scores_do_not_depend_on_the_blocks(spark, documents):
+    few = {r.doc_id: r for r in ctw.scores(documents).collect()}
+    many = {r.doc_id: r for r in ctw.scores(documents, block_bytes=20_000).collect()}
+    assert few.keys() == many.keys()
+    assert all(a.n_known == many[i].n_known and a.score == pytest.approx(many[i].score, rel=1e-6) for i, a in few.items())
+
+
 def test_line_dedup(docs):
     rows = docs.collect()
     sites, first = defaultdict(set), {}
@@ -279,6 +286,50 @@ def longest(a, b):
     return row[-1]
 
 
+def plain_removed(texts):
+    """Per text: bytes covered by a 200-byte string that starts anywhere else too."""
+    data = [t.encode() for t in texts]
+    seen = Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
+    out = []
+    for t in data:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        out.append(sum(gone))
+    return out
+
+
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
+def test_a_passage_in_every_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4000)
+    draw = np.random.default_rng(1)
+    noise = ["".join(map(chr, draw.integers(97, 123, 900))) for _ in range(41)]
+    passage = noise[40][:450]
+    rows = [(k, noise[k][: 300 + k] + passage[k % 7 :] + noise[k][300 + k :]) for k in range(40)]
+    found = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(plain_removed([t for _, t in rows])))
+
+
+def test_long_rows_are_parsed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 1000)
+    draw = np.random.default_rng(2)
+    long = "".join(map(chr, draw.integers(97, 123, 9000)))
+    rows = [long, "x" * 77 + long[1500:4200] + "y", "a" * 2500, long[:250]]
+    found = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(plain_removed(rows)))
+
+
+def test_ranks_are_the_order_of_bytes():
+    draw = np.random.default_rng(4)
+    data = np.concatenate([draw.integers(0, 2, 900), np.full(700, 255), draw.integers(0, 256, 400)] * 2).astype(np.uint8)
+    at = np.arange(len(data) - 199)
+    strings = [data[a : a + 200].tobytes() for a in at]
+    order = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert substring_dedup.ranks(data, at).tolist() == [order[x] for x in strings]
+
+
 def test_near_duplicates(docs):
     rows = texts(docs)
     parent = {i: i for i, _ in rows}
