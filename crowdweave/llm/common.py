@@ -17,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session in local mode, whose driver and
+    executor are one process, may go without the setting; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="crowdweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,10 +41,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def block_count(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks that keep each one near ``block_bytes`` of text, at least the session's shuffle partitions."""
+def block_count(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_BYTES, least: int | None = None) -> int:
+    """Blocks that keep each one near ``block_bytes`` of text, at least ``least`` (the session's shuffle partitions)."""
     total = docs.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0
-    return max(partitions(docs.sparkSession), -(-int(total) // block_bytes))
+    return max(partitions(docs.sparkSession) if least is None else least, -(-int(total) // block_bytes))
 
 
 def whole_text(column: str = "text"):

@@ -15,7 +15,7 @@ strings: their suffixes are sorted together, and runs that agree on LENGTH bytes
 repeat. A word that occurs once needs the answer, a word that occurs twice is a witness and is sent once.
 
 Words are named by two 64-bit hashes (the gram's and the word's); suffixes are compared by their bytes. One row for each
-distinct word of a block travels, so rows grow with the bytes, and Spark sums them by name. Where more than ``HOT``
+phrase travels, so rows grow with the bytes, and Spark counts them by name. Where more than ``HOT``
 distinct words share a gram (a passage that many documents embed), each of their strings goes by its own 128-bit hash
 instead, so that no gram meets in one task. Texts travel compressed.
 
@@ -48,7 +48,7 @@ PIECE = 2 << 20
 #: Distinct words of one gram that are sorted together; beyond, their strings are told apart by hash.
 HOT = 4096
 #: Bytes of words that one task sorts together, about.
-SORTED = 4 << 20
+SORTED = 1 << 20
 
 
 def window_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -87,31 +87,26 @@ def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return lo, hi, gram[t], B.mix(B.span_hash(prefix, lo, hi + LENGTH) ^ shape)
 
 
-class Block:
-    """Whole documents side by side, with their phrases and distinct words."""
+def parse(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``phrases`` of whole documents side by side, a little at a time."""
+    found, i, n = [], 0, len(off) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1))
+        one = j == i + 1
+        for at in range(off[i], off[j], PIECE) if one else [off[i]]:  # strings do not care where a long row's pieces end
+            end = min(off[j], at + PIECE + LENGTH - 1) if one else off[j]
+            lo, hi, gram, word = phrases(data[at:end], np.array([0, end - at]) if one else off[i : j + 1] - off[i])
+            found.append((lo + at, hi + at, gram, word))
+        i = j
+    parts = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 4
+    return tuple(np.concatenate(x) for x in parts)
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.data, self.off = data, off
-        found, i, n = [], 0, len(off) - 1
-        while i < n:  # a little at a time
-            j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1))
-            starts = range(off[i], off[j], PIECE) if j == i + 1 else [off[i]]
-            for at in starts:  # strings do not care where a long row's pieces end
-                end = min(off[j], at + PIECE + LENGTH - 1) if j == i + 1 else off[j]
-                lo, hi, gram, word = phrases(data[at:end], np.array([0, end - at]) if j == i + 1 else off[i : j + 1] - off[i])
-                found.append((lo + at, hi + at, gram, word))
-            i = j
-        parts = zip(*found, strict=True) if found else ([np.zeros(0, np.int64)],) * 2 + ([np.zeros(0, _U)],) * 2
-        self.lo, self.hi, gram, word = (np.concatenate(x) for x in parts)
-        self.words, self.sample, self.word_of, self.counts = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
-        self.grams = gram[self.sample]
 
-
-_PARSED = [("block", pa.int64()), ("ids", None), ("lengths", pa.binary()), ("texts", pa.binary()), ("gram", pa.int64()), ("word", pa.int64()), ("n", pa.int64())]
+_PARSED = [("block", pa.int64()), ("ids", None), ("lengths", pa.binary()), ("texts", pa.binary()), *((c, pa.int64()) for c in ("gram", "word", "first", "last"))]
 
 
 def _parse(kind: pa.DataType):
-    """mapInArrow: blocks of documents, a row with the packed texts of each, and a row for each distinct word of it."""
+    """mapInArrow: blocks of documents, a row with the packed texts of each, and a row for each phrase."""
     schema = pa.schema([(c, t or pa.list_(kind)) for c, t in _PARSED])
 
     def rows(ids: list[pa.Array], parts: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +114,10 @@ def _parse(kind: pa.DataType):
 
         name = uuid.uuid4().int >> 65
         data, sizes = np.concatenate(parts), np.concatenate(lengths)
-        packed = (name, pa.concat_arrays(ids).to_pylist(), sizes.astype("<i8").tobytes(), zstandard.compress(data.tobytes(), 3), None, None, None)
+        packed = (name, pa.concat_arrays(ids).to_pylist(), sizes.astype("<i8").tobytes(), zstandard.compress(data.tobytes(), 3), *[None] * 4)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(packed, schema.types, strict=True)], schema=schema)
-        block = Block(data, np.concatenate([[0], np.cumsum(sizes)]))
-        n = len(block.words)
-        columns = [np.full(n, name), *(pa.nulls(n, t) for t in schema.types[1:4]), block.grams.view(np.int64), block.words.view(np.int64), block.counts.astype(np.int64)]
+        lo, hi, gram, word = parse(data, np.concatenate([[0], np.cumsum(sizes)]))
+        columns = [np.full(len(lo), name), *(pa.nulls(len(lo), t) for t in schema.types[1:4]), gram.view(np.int64), word.view(np.int64), lo, hi]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +137,17 @@ def _parse(kind: pa.DataType):
     return run
 
 
-def judged(words: DataFrame) -> DataFrame:
-    """Rows (block, gram, word, n) to those that matter (owner: the block): whole (the word repeats), send (its strings are to be compared,
-    and this block sends them), hot (by hash)."""
-    distinct = words.groupBy("gram", "word").agg(F.sum("n").alias("c"), F.min("block").alias("sender"))
+def judged(phrases: DataFrame) -> DataFrame:
+    """Rows (block, gram, word, first, last) to those that matter: whole (the word repeats), send (its strings are to be
+    compared, and this block sends them), hot (by hash)."""
+    distinct = phrases.groupBy("gram", "word").agg(F.count(F.lit(1)).alias("c"), F.min("block").alias("sender"))
     grams = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("c") == 1).alias("open")).where("k > 1 and open > 0")
-    # a written table: the joins that follow can then split the rows of a common word or gram over many tasks
+    # a written table: the join that follows can then split the rows of a common word over many tasks
     status = cut(distinct.join(grams.select("gram", (F.col("k") > HOT).alias("hot")), "gram", "left").where("c > 1 or hot is not null"))
-    found = words.select("block", "gram", "word").join(status, ["gram", "word"])
+    found = phrases.join(status, ["gram", "word"])
     send = F.col("hot").isNotNull() & (F.col("block") == F.col("sender"))
-    return found.select(F.col("block").alias("owner"), "word", (F.col("c") > 1).alias("whole"), send.alias("send"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    found = found.select("block", "gram", "word", "first", "last", (F.col("c") > 1).alias("whole"), send.alias("send"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    return cut(found.where("whole or send"))
 
 
 def _unpacked(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +158,7 @@ def _unpacked(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(sizes)])
 
 
-#: first, last: runs of starts that repeat (gram null), or the starts of a word to be compared; weight: 2 for a witness.
+#: weight: 2 for a word that repeats as a whole, a witness for others.
 _SENT = pa.schema([*((c, pa.int64()) for c in ("block", "gram", "first", "last")), ("weight", pa.int8()), ("bytes", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
@@ -171,42 +166,25 @@ def _batch(n: int, **columns) -> pa.Table:
     return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SENT], schema=_SENT)
 
 
-def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals in order; neighbours that touch become one."""
-    if not len(starts):
-        return starts, ends
-    order = np.argsort(starts)
-    starts, ends = starts[order], ends[order]
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1] + 1]))
-    return starts[new], ends[np.concatenate([new[1:], [len(starts)]]) - 1]
-
-
-def _send(docs: pa.Table, status: pa.Table) -> pa.Table:
-    """cogroup of a block with the status of its words: runs of starts that repeat, words to be sorted, strings by hash."""
-    if not len(docs) or not len(status):
+def _send(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    """cogroup of a block with its words to be compared: their bytes, or the hashes of their strings."""
+    if not len(docs) or not len(asked):
         return _SENT.empty_table()
-    block = Block(*_unpacked(docs))
+    data, _ = _unpacked(docs)
     name = docs.column("block")[0].as_py()
-    at = np.searchsorted(block.words, status.column("word").to_numpy().view(_U))
-    whole, send, hot = (np.zeros(len(block.words), bool) for _ in range(3))
-    for flags, column in ((whole, "whole"), (send, "send"), (hot, "hot")):
-        flags[at] = status.column(column).to_numpy()
-    repeats = whole[block.word_of]
-    first, last = runs_of(block.lo[repeats], block.hi[repeats])
-    out = [_batch(len(first), block=np.full(len(first), name), first=first, last=last)]
-    own = np.flatnonzero(send & ~hot)
-    lo, hi = block.lo[block.sample[own]], block.hi[block.sample[own]]
-    texts = [block.data[a : b + LENGTH].tobytes() for a, b in zip(lo, hi, strict=True)]
-    out.append(_batch(len(own), block=np.full(len(own), name), gram=block.grams[own].view(np.int64), first=lo, last=hi, weight=1 + whole[own], bytes=texts))
-    own = np.flatnonzero(send & hot)
-    if len(own):
-        lo, n = block.lo[block.sample[own]], (block.hi - block.lo)[block.sample[own]] + 1
+    sample = np.unique(asked.column("word").to_numpy(), return_index=True)[1]
+    gram, lo, hi, whole, hot = (asked.column(c).to_numpy()[sample] for c in ("gram", "first", "last", "whole", "hot"))
+    own = np.flatnonzero(~hot)
+    texts = [data[a : b + LENGTH].tobytes() for a, b in zip(lo[own], hi[own], strict=True)]
+    out = [_batch(len(own), block=np.full(len(own), name), gram=gram[own], first=lo[own], last=hi[own], weight=1 + whole[own], bytes=texts)]
+    if hot.any():
+        lo, n, weight = lo[hot], (hi - lo)[hot] + 1, 1 + whole[hot]
         starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        prefix = B.prefix_hash(block.data)
+        prefix = B.prefix_hash(data)
         h1 = B.span_hash(prefix, starts, starts + LENGTH)
         halves = [B.span_hash(prefix, starts + a, starts + b) for a, b in ((0, LENGTH // 2), (LENGTH // 2, LENGTH))]
         h2 = B.mix(B.mix(halves[0]) * _U(3) + halves[1])
-        out.append(_batch(len(starts), block=np.full(len(starts), name), first=starts, last=starts, weight=np.repeat(1 + whole[own], n), h1=h1.view(np.int64), h2=h2.view(np.int64)))
+        out.append(_batch(len(starts), block=np.full(len(starts), name), first=starts, last=starts, weight=np.repeat(weight, n), h1=h1.view(np.int64), h2=h2.view(np.int64)))
     return pa.concat_tables(out)
 
 
@@ -217,17 +195,26 @@ def ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The rank, by their bytes, of the LENGTH-byte strings that start at the places ``at``; equal strings share one."""
 
     def named(keys: np.ndarray) -> np.ndarray:
-        return np.unique(keys, return_inverse=True)[1].astype(_U)
-
-    size, wide = 8, np.concatenate([data, np.zeros(LENGTH, np.uint8)]).astype(_U)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.zeros(len(keys), np.uint32)
+        new[1:] = keys[1:] != keys[:-1]
+        rank = np.empty(len(keys), np.uint32)
+        rank[order] = np.cumsum(new, dtype=np.uint32)
+        return rank
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(_U) << _U(32)) | b
+
+    size, wide = 8, np.concatenate([data, np.zeros(LENGTH, np.uint8)])
     keys = np.zeros(len(wide) - 7, _U)
     for k in range(8):
-        keys |= wide[k : k + len(keys)] << _U(8 * (7 - k))
+        keys |= wide[k : k + len(keys)].astype(_U) << _U(8 * (7 - k))
     rank = named(keys)
     while 2 * size <= LENGTH:
-        rank = named((rank[: len(rank) - size] << _U(32)) | rank[size:])
+        rank = named(pairs(rank[: len(rank) - size], rank[size:]))
         size *= 2
-    return named((rank[at] << _U(32)) | rank[at + LENGTH - size])
+    return named(pairs(rank[at], rank[at + LENGTH - size]))
 
 
 def _compare(group: pa.Table) -> pa.Table:
@@ -287,17 +274,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     kind = rows.schema["id"].dataType
     arrow, simple = to_arrow_type(kind), kind.simpleString()
-    fields = f"block long, ids array<{simple}>, lengths binary, texts binary, gram long, word long, n long"
+    fields = f"block long, ids array<{simple}>, lengths binary, texts binary, gram long, word long, first long, last long"
     parsed = cut(rows.mapInArrow(_parse(arrow), fields))
     texts = parsed.where("texts is not null").select("block", "ids", "lengths", "texts")
-    status = judged(parsed.where("word is not null").select("block", "gram", "word", "n"))
-    sent = texts.groupBy("block").cogroup(status.groupBy("owner"))
+    words = judged(parsed.where("word is not null").select("block", "gram", "word", "first", "last"))
+    sent = texts.select("block", "lengths", "texts").groupBy("block").cogroup(words.where("send").groupBy("block"))
     sent = cut(sent.applyInArrow(_send, "block long, gram long, first long, last long, weight tinyint, bytes binary, h1 long, h2 long"))
     size = sent.agg(F.sum(F.octet_length("bytes")).alias("b")).first()["b"] or 0
     groups = max(partitions(docs.sparkSession), -(-size // SORTED))
-    words = sent.where("gram is not null").withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(groups)))
-    found = words.groupBy("g").applyInArrow(_compare, "block long, first long, last long")
-    runs = sent.where("gram is null and h1 is null").select("block", "first", "last").unionByName(found)
+    found = sent.where("gram is not null").withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(groups)))
+    found = found.groupBy("g").applyInArrow(_compare, "block long, first long, last long")
+    runs = words.where("whole").select("block", "first", "last").unionByName(found)
     runs = runs.unionByName(by_hash(sent.where("h1 is not null")))
     fields = f"{id_column} {simple}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_remove(id_column, arrow, with_text), fields)
