@@ -37,9 +37,9 @@ DEPTH = 5
 FOLDS = 7
 HELD_FOLD = 2
 #: Bytes of text that are scored at a time; the arrays made from them take some fifty times as much.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Distinct grams of the corpus that one shard should hold.
-SHARD_GRAMS = 2_000_000
+SHARD_GRAMS = 500_000
 END = 0xFF  # never a byte of UTF-8
 _END_WORD = np.uint64(0x656E64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,7 +123,7 @@ class Counter:
         self.keys.append(keys)
         self.counts.append(counts.astype(np.int64))
         self.size += len(keys)
-        if len(self.keys) > 8 and self.size > 4_000_000:
+        if len(self.keys) > 8 and self.size > 2_500_000:
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
@@ -293,17 +293,17 @@ _SCORED = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.in
 
 def _score(tokens: int, distinct: int, id_column: str):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
+        words, keys, values = (answers.column(c).to_numpy() for c in ("word", "key", "value"))
         known = []
         for word in (False, True):
-            own = answers.filter(pc.equal(answers.column("word"), word))
-            known.append((own.column("key").combine_chunks(), own.column("value").to_numpy()))
+            own = np.flatnonzero(words == word)
+            own = own[np.argsort(keys[own])]
+            known.append((keys[own], values[own]))
         out: list[list] = [[] for _ in range(len(_SCORED) + 1)]
 
-        def find(keys: np.ndarray, word: int) -> np.ndarray:
-            at = pc.index_in(pa.array(keys.view(np.int64)), value_set=known[word][0])
-            return known[word][1][at.to_numpy(zero_copy_only=False)].astype(np.float64)
+        def find(asked: np.ndarray, word: int) -> np.ndarray:
+            distinct, at = np.unique(asked.view(np.int64), return_inverse=True)
+            return known[word][1][np.searchsorted(known[word][0], distinct)][at]
 
         for batch in block.to_batches():
             held = batch.column("held_out")
@@ -324,6 +324,7 @@ def _score(tokens: int, distinct: int, id_column: str):
                 columns = (batch.column(id_column).slice(i, j - i), held.slice(i, j - i), per + 1, n_known.astype(np.int64), np.full(j - i, tokens), base, score, n_bytes, bits)
                 for column, x in zip(out, columns, strict=True):
                     column.append(x if isinstance(x, pa.Array) else pa.array(x))
+        pa.default_memory_pool().release_unused()
         kinds = [block.schema.field(id_column).type, *(t for _, t in _SCORED)]
         return pa.table([pa.chunked_array(x, t) if x else pa.chunked_array([pa.array([], t)]) for x, t in zip(out, kinds, strict=True)], names=[id_column, *(n for n, _ in _SCORED)])
 

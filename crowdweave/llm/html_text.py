@@ -2,12 +2,21 @@
 
 Markup is stripped into lines, one per block element. Lines of menus, headers, footers, sidebars, notices, adverts,
 forms, scripts and reader comments count as empty, as does link text. The length of a line block is the sum over
-``WINDOW`` lines; a surge is a line where the block length rises over the threshold, a dive where it falls to nothing,
-and the lines between a surge and its dive are kept. A page that marks its article has the threshold at any text at
-all inside it, and no text outside; other pages need ``SURGE`` characters in a block.
+``WINDOW`` lines; a surge is a line where the block length rises to ``SURGE``, a dive where it falls to nothing, and the
+lines between a surge and its dive are kept.
+
+The distribution is taken over every page, marked or not. A page that marks its article (article, main) is cut at the
+marks instead of at surge and dive, unless the distribution finds ``DOUBT`` times as much text outside the marks: then
+the marked parts are cards beside the text, and the surges outside them are kept.
+
+Furniture is told by element names and by class, id and role: a whole name, or one that starts with a known word
+(``nav-main``) or joins it to a place (``page-footer``); ``has-sidebar`` or ``post-header`` are none. An element that
+holds the longest marked article, or on a page without marks more than half of the text, is never furniture by its name.
 
 Defined results: null and empty pages give an empty text; an element of page furniture that is never closed hides
-nothing but its own tag; repeated rows give repeated results; extra columns are ignored; an empty table stays empty.
+nothing but its own tag, but an open script, style, title or text area hides the rest, as in browsers; a page of any
+length is read whole, in one pass; repeated rows give repeated results; extra columns are ignored; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -24,6 +33,8 @@ from crowdweave.llm.common import whole_text
 
 WINDOW = 3
 SURGE = 86
+#: Text outside the marks, over text inside, at which marks are not believed.
+DOUBT = 2
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S
 )
@@ -35,24 +46,32 @@ _INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 _MAIN = frozenset(["article", "main"])
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content browsers read as text up to the closing tag; others may be empty ("<svg/>").
+_OPEN_ENDED = frozenset("script style textarea title xmp".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HINTED = frozenset(
     "ad ads advert advertisement adverts adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert "
     "popup modal overlay sidebar sidenav aside widget widgets nav navbar navigation menu breadcrumb breadcrumbs header masthead "
     "topbar footer bottombar comment comments commentlist disqus respond share sharing social related recommended newsletter "
     "subscribe signup login search complementary contentinfo dialog pagination pager toc skip".split()
 )
-_HINT_WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_PLACES = frozenset("site page main top bottom left right global primary secondary user reader cookie social side".split())
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _hinted(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
+def _hinted_name(name: str) -> bool:
+    if name in _HINTED:
         return True
-    for m in _HINT.finditer(attributes):
-        if not _HINTED.isdisjoint(_HINT_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
+    first, *rest = re.split(r"[-_]+", name)
+    return bool(rest) and (first in _HINTED or (first in _PLACES and rest[-1] in _HINTED))
+
+
+def _hinted(attributes: str) -> bool:
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+        if name in ("class", "id", "role") and any(map(_hinted_name, value.lower().split())):
             return True
     return False
 
@@ -67,11 +86,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     close: dict[int, int] = {}
     stacks: dict[str, list[int]] = {}
     raw_until = ""
-    for k, (_, _, name, ends, _, _) in enumerate(tags):
+    before = [0]  # characters of text before each tag
+    for k, (start, end, name, ends, _, closed) in enumerate(tags):
+        before.append(before[-1] + (0 if raw_until else max(0, (tags[k + 1][0] if k + 1 < len(tags) else len(page)) - end)))
         if raw_until and not (ends and name == raw_until):
             continue
         raw_until = ""
-        if not name or name in _VOID:
+        if not name or name in _VOID or (closed and name in _RAW and name not in _OPEN_ENDED):
             continue
         if ends:
             if stacks.get(name):
@@ -80,6 +101,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             stacks.setdefault(name, []).append(k)
             if name in _RAW:
                 raw_until = name
+
+    def length(k: int) -> int:
+        return before[close[k]] - before[k] if k in close else 0
+
+    marked = max((k for k, x in enumerate(tags) if x[2] in _MAIN and k in close and not x[3]), key=length, default=-1)
+
+    def holds_the_text(k: int) -> bool:
+        return k < marked < close.get(k, -1) if marked >= 0 else 2 * length(k) > before[-1]
+
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     linked = 0
@@ -94,7 +124,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         text.clear()
         linked = 0
 
-    for k, (start, end, name, ends, attributes, _) in enumerate(tags):
+    for k, (start, end, name, ends, attributes, closed) in enumerate(tags):
         if k > skip_to and at < start:
             text.append(page[at:start])
             if k <= link_to:
@@ -106,15 +136,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name not in _INLINE:
             flush(False, k <= main_to)
-        if ends:
+        if ends or (closed and name in _RAW and name not in _OPEN_ENDED):
             continue
-        if name in _RAW or name in _FURNITURE or (name not in _MAIN and name not in ("html", "body") and _hinted(attributes)):
+        hinted = name == "form" or (name not in _MAIN and name not in ("html", "body") and _hinted(attributes))
+        if name in _RAW or (name in _FURNITURE and name != "form") or (hinted and not holds_the_text(k)):
             if k in close:
                 flush(False, k <= main_to)
                 skip_to = close[k]
                 flush(True, False)
                 at = tags[skip_to][1]
-            elif name in _RAW:
+            elif name in _OPEN_ENDED:
                 break
         elif name in _MAIN and k > main_to:
             main_to = close.get(k, len(tags))
@@ -129,25 +160,28 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
+def surges(size: list[int]) -> list[bool]:
+    """Which lines lie between a surge and its dive, given the lines' lengths."""
+    block = [sum(size[i : i + WINDOW]) for i in range(len(size))]
+    kept = [False] * len(size)
+    inside = False
+    for i, length in enumerate(block):
+        inside = length >= SURGE or (inside and length > 0)
+        kept[i] = inside
+    return kept
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    marked = any(words and main and not out for words, _, out, main in lines)
-    usable = [bool(words) and not out and (main or not marked) for words, _, out, main in lines]
-    size = [0 if not use else len(x[0]) if marked else x[1] for use, x in zip(usable, lines, strict=True)]
-    surge = 1 if marked else SURGE
-    block = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    kept: list[str] = []
-    i = 0
-    while i < len(lines):
-        if block[i] < surge:
-            i += 1
-            continue
-        dive = i
-        while dive < len(lines) and block[dive]:
-            dive += 1
-        kept += [lines[j][0] for j in range(i, dive) if usable[j]]
-        i = dive
-    return "\n".join(kept)
+    usable = [bool(words) and not out for words, _, out, _ in lines]
+    kept = surges([x[1] if use else 0 for use, x in zip(usable, lines, strict=True)])
+    marked = sum(len(x[0]) for use, x in zip(usable, lines, strict=True) if use and x[3])
+    beside = sum(x[1] for use, keep, x in zip(usable, kept, lines, strict=True) if use and keep and not x[3])
+    if marked and beside < DOUBT * marked:
+        kept = [x[3] for x in lines]
+    elif marked:
+        kept = [keep and not x[3] for keep, x in zip(kept, lines, strict=True)]
+    return "\n".join(x[0] for use, keep, x in zip(usable, kept, lines, strict=True) if use and keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

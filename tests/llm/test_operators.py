@@ -432,6 +432,45 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in html_text.extract(pages).collect())
 
 
+BODY = "<p>" + "Long text of the page here. " * 20 + "</p><p>end</p>"
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<div class='content has-sidebar'>{}</div>", True), ("<div class='post no-comments'><article>{}</article></div>", True),
+    ("<section id='related-article'><article>{}</article></section>", True), ("<div class='overflow-hidden' style='overflow:hidden'>{}</div>", True),
+    ("<form action=x><div>{}</div></form>", True), ("<p>a<svg/>b</p><div>{}</div>", True), ("<iframe src=x /><div>{}</div>", True), ("<object><p>no end {}", True),
+    ("<article><p>card one</p></article><div>{}</div><article><p>card two</p></article>", True), ("<div class='post-header'>{}</div>", True),
+    ("<article><p>" + "words of the article " * 40 + "</p></article><div class='page-footer'>{}</div>", False), ("<article>text</article><div class='nav-main'>{}</div>", False),
+    ("<article>text</article><div hidden>{}</div>", False), ("<article>text</article><div style='display: none'>{}</div>", False),
+])
+def test_html_containers(page, expected):
+    assert (("Long text of the page here. " * 20).strip() + "\nend" in html_text.main_text(page.format(BODY))) == expected
+
+
+def test_surges_by_definition():
+    draw = np.random.default_rng(8)
+    for _ in range(300):
+        size = [int(x) for x in draw.choice([0, 0, 5, 30, 60, 200], draw.integers(0, 25))]
+        block = [sum(size[i : i + html_text.WINDOW]) for i in range(len(size))]
+        # a line is kept if some line at or before it surges and no block between them is empty
+        expected = [any(block[s] >= html_text.SURGE and all(block[s : i + 1]) for s in range(i + 1)) for i in range(len(size))]
+        assert html_text.surges(size) == expected
+
+
+def test_html_of_a_very_long_page():
+    page = "<div><article>" + "<p>some words</p>" * 60_000 + "</article></div><footer>x</footer>"
+    assert html_text.main_text(page).count("\n") == 59_999
+
+
+def test_html_on_awkward_tables(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, None, "<article>x</article>"), (1, "u", "<article>y</article>"), (1, "u", "<article>y</article>")]
+    table = spark.createDataFrame([(*r, "kept", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    found = html_text.extract(table)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or -1, r.text, r.n_chars) for r in found.collect()) == [(-1, "x", 1), (1, "", 0), (1, "y", 1), (1, "y", 1), (2, "", 0)]
+    assert html_text.extract(table.limit(0)).collect() == []
+
+
 def test_chat(spark):
     nasty = ["plain", "", "a</turn>\nb", "### user: x</turn>\n", "\\", "\\n</turn>\n\\", "##\\#", "</turn>", "<\\/turn>\n", r"\### Assistant: </turn> ok", "日本\n###\\ x: y</turn>\n", None]
     roles = ["user", "assistant", "a: b", "x</turn>\n", None, ":", "role:"]
