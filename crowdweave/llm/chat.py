@@ -5,7 +5,8 @@
 A turn is rendered plainly, parsed again, and compared with its source. If they differ, it is rendered with escapes
 (marked by the backslash in its head): backslashes are doubled, and one more breaks "</turn>", "##" and the ": " of a
 role; the parser takes one backslash off each escaped character. The plain form stays wherever it reads back alike.
-A conversation is its turns, one after the other, and is parsed once more as a whole.
+A turn whose escaped form does not read back either stops the job. A
+conversation is its turns, one after the other, and is parsed once more as a whole.
 
 Defined results: null roles and texts are empty; turns are ordered by turn, then role, then text, so ties and repeated
 rows have one order; rows with a null conv_id form one conversation; extra columns are ignored; an empty table stays
@@ -57,11 +58,14 @@ def parse(formatted: Column) -> Column:
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """The plain form of a turn if it reads back alike, else the escaped one."""
-    # only text that holds the end mark, and roles that hold it or ": ", can fail; others need no second reading
-    back = parse(plain(role, text))
-    alike = (F.size(back) == 1) & back[0]["role"].eqNullSafe(role) & back[0]["text"].eqNullSafe(text)
-    return F.when(alike, plain(role, text)).otherwise(escaped(role, text))
+    """The plain form of a turn if it reads back alike, else the escaped one, which must."""
+
+    def alike(form: Column) -> Column:
+        back = parse(form)
+        return (F.size(back) == 1) & back[0]["role"].eqNullSafe(role) & back[0]["text"].eqNullSafe(text)
+
+    bare, coded = plain(role, text), escaped(role, text)
+    return F.when(alike(bare), bare).when(alike(coded), coded).otherwise(F.raise_error(F.lit("a turn does not read back alike")).cast("string"))
 
 
 def format_conversations(turns: DataFrame, id_column: str = "conv_id") -> DataFrame:

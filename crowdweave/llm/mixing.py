@@ -4,8 +4,8 @@ Documents of a source form blocks of ``block_docs``. A source with the share w o
 released at floor(k / w) and due at ceil((k + 1) / w), in whole numbers from the weights as they are written, without
 rounding. In every slot, the released block with the earliest deadline goes (ties: the source that sorts first), which
 meets all deadlines, so that at any slot a source is less than one block away from its weight, however many slots there
-are. The driver counts the documents of each source and places the blocks, one step each; the slots go out as arrays of
-``resolution`` blocks, and the rows find theirs by block. Slots of a source that has run out stay free or let another
+are. The driver counts the documents of each source and places the blocks, one step each, so ``block_docs`` should grow with the table; the slots
+go out as arrays of ``resolution`` blocks, and the rows find theirs by block. Slots of a source that has run out stay free or let another
 source's released block go earlier; the others keep their proportions. All documents are placed.
 
 Defined results: a null source is a source of its own; repeated rows are placed once each; ties in doc_id get distinct
@@ -15,6 +15,7 @@ places; a source without a target weight gets the lowest one given; a weight of
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from fractions import Fraction
 from heapq import heappop, heappush
 
@@ -27,6 +28,8 @@ from crowdweave.llm.common import partitions, ranked
 BLOCK_DOCS = 16
 #: Blocks in one row of the plan.
 RESOLUTION = 1024
+#: Blocks whose plan (32 bytes each) may be broadcast; beyond, rows and plan meet in a plain join.
+MOST_BROADCAST = 2_000_000
 #: Without given weights, a source's weight is its number of documents to this power.
 FLATTEN = 0.5
 
@@ -61,8 +64,16 @@ def blocks_in_order(counts: list[int], weights: list[float]) -> list[list[list[i
     return out
 
 
-def plan(counts: DataFrame, weights: dict[str | None, float] | None, block_docs: int, resolution: int, flatten: float) -> DataFrame:
-    """(source, docs) to (_source, _chunk, release, deadline, slot, turn): arrays of ``resolution`` blocks."""
+@dataclass
+class Plan:
+    """(_source, _chunk, _release, _deadline, _slot, _turn): arrays of ``resolution`` blocks; and the blocks in all."""
+
+    table: DataFrame
+    blocks: int
+
+
+def plan(counts: DataFrame, weights: dict[str | None, float] | None, block_docs: int, resolution: int, flatten: float) -> Plan:
+    """The plan of sources (source, docs), one step a block."""
     found = sorted(((r["source"], r["docs"]) for r in counts.collect()), key=lambda x: (x[0] is not None, x[0]))
     if weights:
         target = [weights.get(name, min(weights.values())) for name, _ in found]
@@ -77,7 +88,7 @@ def plan(counts: DataFrame, weights: dict[str | None, float] | None, block_docs:
     kind = StructType([StructField("_source", counts.schema["source"].dataType)])
     for name in ("_chunk", "_release", "_deadline", "_slot", "_turn"):
         kind = kind.add(name, LongType() if name == "_chunk" else ArrayType(LongType()))
-    return counts.sparkSession.createDataFrame(rows, kind)
+    return Plan(counts.sparkSession.createDataFrame(rows, kind), sum(len(columns[0]) for columns in placed))
 
 
 def placed(
@@ -89,9 +100,10 @@ def placed(
     slots = plan(counts, weights, int(block_docs), int(resolution), flatten)
     found = ranked(rows, ["source"], ["id"], partitions(rows.sparkSession))
     found = found.withColumn("block", F.expr(f"rank div {int(block_docs)}")).withColumn("place", F.expr(f"cast(rank % {int(block_docs)} as int)"))
-    # four numbers a block
+    if slots.blocks <= MOST_BROADCAST:
+        slots.table = F.broadcast(slots.table)
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.expr(f"block div {int(resolution)}") == F.col("_chunk"))
-    joined = found.join(F.broadcast(slots), on)
+    joined = found.join(slots.table, on)
     return joined.withColumns({x: F.expr(f"_{x}[cast(block % {int(resolution)} as int)]") for x in ("release", "deadline", "slot", "turn")})
 
 
