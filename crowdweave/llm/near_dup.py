@@ -179,7 +179,8 @@ def _first_keys() -> list:
 def sequences_of(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(vertex, sequence of 48-bit labelled shingles) of the documents that ``wanted`` (vertex, first) names."""
     texts = _keyed(docs, id_column, text_column, whole_text(text_column).alias("text"))
-    found = texts.join(wanted.select("vertex", *_first_keys()), _KEYS).dropDuplicates(_KEYS)
+    # the same plan at every size: the texts of a large table have to be dealt out, those of a small one are too
+    found = texts.join(wanted.select("vertex", *_first_keys()).hint("merge"), _KEYS).dropDuplicates(_KEYS)
     return cut(found.select("vertex", "text").mapInArrow(_sequenced, "vertex long, sequence binary"))
 
 
