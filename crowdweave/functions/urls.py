@@ -95,6 +95,7 @@ def links(text: Column) -> Column:
 
 #: Path parts that do not name an account (fixed values).
 VIDEO_PARTS = ["watch", "shorts", "live", "embed", "clip", "videos", "video", "v"]
+#: Hosts, the platform and address they stand for, and path parts that are no accounts (fixed values).
 _OTHER = {
     "twitch.tv": ("twitch", "https://www.twitch.tv/", VIDEO_PARTS, False),
     "x.com": ("x", "https://x.com/", ["i", "intent", "share", "search"], True),

@@ -13,7 +13,7 @@ def top_per_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame
 
 def balanced(rows: DataFrame, group: str, order: list, per_group: int, total: int, seed: int = 42) -> DataFrame:
     """At most ``per_group`` rows of each group, in an order drawn by a seeded hash, up to ``total``."""
-    drawn = top_per_group(rows, group, order, per_group).withColumn("draw", F.xxhash64(F.lit(seed), group))
+    drawn = top_per_group(rows, group, order, per_group).withColumn("draw", F.md5(F.concat(F.lit(str(seed)), F.col(group).cast("string"))))
     return drawn.orderBy("draw", group, "rank").limit(total).drop("draw")
 
 

@@ -278,11 +278,6 @@ def topk_videos_per_channel(r: Roles) -> DataFrame:
     return selection.top_per_group(r.videos.select("channel_id", "video_id", "comments"), "channel_id", [F.desc("comments"), "video_id"], 3)
 
 
-@query("", None)
-def balanced_queue(r: Roles) -> DataFrame:
-    return selection.balanced(r.videos.select("channel_id", "video_id", "comments"), "channel_id", [F.desc("comments"), "video_id"], 2, 40)
-
-
 @query("videos", """
     WITH done AS (SELECT DISTINCT channel_id, year, true AS had FROM videos WHERE status = 'P')
     SELECT channel_id, year, video_id, comments, coalesce(had, false) AS had FROM videos LEFT JOIN done USING (channel_id, year)

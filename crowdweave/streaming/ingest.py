@@ -25,10 +25,13 @@ def inserted(spark: SparkSession, path: str) -> DataFrame:
 
 def insert_interactions(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: new keys are added once, for good. Nothing that is stored is rewritten: a batch has a
-    folder of its own, which a replay of the batch overwrites, and reads only the key columns of the other batches."""
+    folder of its own, which a replay of the batch overwrites, and reads only the key columns of the other batches. Rows
+    whose source is unknown or null are not stored; they go to the folder ``path`` + ".rejected", batch by batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.where(F.col("source_type").isin(*presence.SOURCES))
+        known = F.coalesce(F.col("source_type").isin(*presence.SOURCES), F.lit(False))
+        batch.where(~known).write.mode("overwrite").parquet(f"{path}.rejected/batch={batch_id}")
+        rows = batch.where(known)
         try:
             old = inserted(spark, path).where(F.col("batch") != batch_id)
         except AnalysisException:  # nothing is stored yet
@@ -70,21 +73,26 @@ def viewer_state(observations: DataFrame) -> DataFrame:
 
 
 def spent_per_day(ledger: DataFrame, late: str = "2 days") -> DataFrame:
-    """A stream of (at, units) to units per UTC day; a day is final once the watermark has passed it."""
-    return ledger.withWatermark("at", late).groupBy(F.window("at", "1 day").alias("w")).agg(F.sum("units").alias("units")).select(F.col("w.start").alias("day"), "units")
+    """A stream of (at, units) to units per quota day, which is a Pacific one; final once the watermark has passed it."""
+    local = ledger.select(F.convert_timezone(None, F.lit("America/Los_Angeles"), "at").cast("timestamp").alias("local"), "units")
+    return local.withWatermark("local", late).groupBy(F.window("local", "1 day").alias("w")).agg(F.sum("units").alias("units")).select(F.col("w.start").alias("day"), "units")
 
 
 def change_files(table: Table, ledger: Table, key: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for reviewed changes: upserts supplied columns and records what each row did. A batch
-    whose number is in the ledger is skipped."""
+    whose number is in the ledger is skipped. What a batch does is written beside the ledger before the table changes, so
+    a replay after a failure between the two writes records the same."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = ledger.read("batch_id long, id string, action string")
+        schema = "batch_id long, id string, action string"
+        done = ledger.read(schema)
         if done.where(F.col("batch_id") == batch_id).limit(1).count():
             return
+        staged = Table(table.spark, f"{ledger.folder}/staged/batch={batch_id}")
         old = table.read()
-        actions = merge.diff(old, batch, key).select(F.lit(batch_id).cast("long").alias("batch_id"), F.col(key).alias("id"), "action").checkpoint()
+        if not staged.version():
+            staged.write(merge.diff(old, batch, key).select(F.lit(batch_id).cast("long").alias("batch_id"), F.col(key).alias("id"), "action"))
         table.write(merge.upsert(old, batch, key))
-        ledger.write(done.unionByName(actions))
+        ledger.write(done.unionByName(staged.read()))
 
     return write

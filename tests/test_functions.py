@@ -108,7 +108,7 @@ def test_decisions(spark):
         return spark.range(1).select(scores.candidate_decision(*c, now).alias("d")).first().d
 
     assert decide(manual=True).status == "ACCEPT" and decide(manual=False).status == "REJECT"
-    assert decide(last="2023-01-01T00:00:00Z").reason == "Inactive for 368 days"
+    assert decide(last="2023-01-01T00:00:00Z").reason == "idle_days:368"
     assert decide(agency="Polygon").status == "ACCEPT" and decide(agency="Polygon").confidence == 0.9
     assert decide().status == "REJECT"
     assert decide(description="vtuber", subscribers=5, sources=1).status == "REVIEW"

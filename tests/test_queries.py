@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from crowdweave.plans import queries, text_queries
+from crowdweave.plans import queries, text_queries, workflow_queries
 
-assert text_queries  # its queries are registered when it is imported
+assert text_queries and workflow_queries  # their queries are registered when they are imported
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,5 +1,6 @@
 import datetime
 import json
+import zoneinfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,7 @@ def test_streams_are_idempotent(spark, tmp_path):
     assert ingest.inserted(spark, path).count() == 2
     run(stream, f"{tmp_path}/c2", ingest.insert_interactions(spark, path))  # all of it again, from the first batch on
     assert ingest.inserted(spark, path).count() == 2
+    assert {r.source_type for r in spark.read.parquet(f"{path}.rejected").collect()} == {"other"}
 
     events = rows.select(F.col("creator_id").alias("channel_id"), "video_id", "viewer_id", "source_type", F.col("observed_at").alias("timestamp"), *[F.lit(None).cast("timestamp").alias(c) for c in ("first_seen", "last_seen")], F.lit(1).cast("long").alias("appearances"))
     for _ in range(2):
@@ -188,10 +190,33 @@ def test_state_windows_and_changes(spark, tmp_path):
     spark.createDataFrame([(T, 3), (T, 4)], "at timestamp, units long").write.parquet(f"{tmp_path}/l")
     ledger = spark.readStream.schema("at timestamp, units long").parquet(f"{tmp_path}/l")
     run(ingest.spent_per_day(ledger), f"{tmp_path}/c4", name="spent")
-    assert [(r.day, r.units) for r in spark.table("spent").collect()] == [(T, 7)]
+    # the quota day is a Pacific one
+    day = T.replace(tzinfo=datetime.timezone.utc).astimezone(zoneinfo.ZoneInfo("America/Los_Angeles")).replace(hour=0, minute=0, second=0, tzinfo=None)
+    assert [(r.day, r.units) for r in spark.table("spent").collect()] == [(day, 7)]
     table, done = sinks.Table(spark, f"{tmp_path}/t"), sinks.Table(spark, f"{tmp_path}/d")
     table.write(spark.createDataFrame([("a", "1")], "id string, p string"))
     write = ingest.change_files(table, done, "id")
     for _ in range(2):
         write(spark.createDataFrame([("a", "2"), ("b", "3")], "id string, p string"), 0)
     assert table.version() == 2 and {r.id: r.action for r in done.read().collect()} == {"a": "updated", "b": "added"}
+    # a failure between the table and the ledger: the replay records what the batch did
+    changes = spark.createDataFrame([("b", "4"), ("c", "5")], "id string, p string")
+    broken = sinks.Table(spark, f"{tmp_path}/d")
+    broken.write = lambda rows: (_ for _ in ()).throw(OSError("stopped"))
+    with pytest.raises(OSError):
+        ingest.change_files(table, broken, "id")(changes, 1)
+    write(changes, 1)
+    assert {(r.id, r.action) for r in done.read().where("batch_id = 1").collect()} == {("b", "updated"), ("c", "added")}
+
+
+def test_changes_are_applied_in_order(spark):
+    from crowdweave.operators import workflow
+
+    tables = {"p": spark.createDataFrame([("1", "a")], "id string, n string"), "q": spark.createDataFrame([], "id string, p string")}
+    changes = {"q": spark.createDataFrame([("9", "1")], "id string, p string"), "p": spark.createDataFrame([("1", "b")], "id string, n string")}
+    same, counts = workflow.apply_changes(tables, changes, ["p", "q"], dry_run=True)
+    assert same == tables and [tuple(r) for r in counts.collect()] == [("p", "updated", 1), ("q", "added", 1)]
+    new, _ = workflow.apply_changes(tables, changes, ["p", "q"])
+    assert [tuple(r) for r in new["p"].collect()] == [("1", "b")] and [tuple(r) for r in new["q"].collect()] == [("9", "1")]
+    again = workflow.apply_changes(new, changes, ["p", "q"])[1]
+    assert {r.action for r in again.collect()} == {"unchanged"}
