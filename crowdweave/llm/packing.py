@@ -3,12 +3,17 @@
 Texts become token ids; a document is its ids and one end id. Longer documents are cut into full pieces, the first one
 shorter. Pieces go into sequences of ``capacity`` tokens.
 
-Lengths are whole numbers up to the capacity, so the sorted pieces and the sorted gaps are runs of equal values: at
-most ``capacity`` classes, however many rows there are. A superstep takes the next lower length, and its sweep matches
-that class's pieces to the smallest gaps that can hold them (their successors); conflicts are resolved by rank (piece
-rank r takes the r-th place of the run), the gaps that were used move to their new class, and pieces left over open new
-sequences. Only class counts reach the driver (``capacity`` rows at most). The rows themselves are ranked inside their
-class in hash buckets and take their place by a join with the matched runs.
+Supersteps: pieces are dealt into parts of about ``PART_ROWS`` pieces. In each part, in parallel, pieces and gaps are
+sorted by size, and a sweep matches the pieces, longest first, to the smallest gaps that can hold them (their
+successors); conflicts are resolved by rank (piece rank r takes the r-th place of a run of equal gaps), the gaps that
+were used move to their new size, and pieces left over open new sequences. Then all sequences that are not full are
+opened again: their pieces go to the next superstep, in fewer parts, until one part is left. So a sequence is closed
+early only when nothing could be added to it.
+
+Lengths are whole numbers up to the capacity, so the sorted pieces and the sorted gaps of a part are runs of equal
+values: at most ``capacity`` classes, however many rows there are, and the last part is as small as any other. A task
+sees the class counts of a part; the rows themselves are ranked inside their class in hash buckets and take their place
+by a join with the matched runs. The driver sees the number of pieces.
 
 ``pack_scheduled`` keeps the order of a mixing schedule: each range of ``RANGE_BLOCKS`` consecutive blocks is packed on
 its own, and sequences are numbered range by range, so that a prefix of them is a prefix of the schedule, up to a range.
@@ -23,7 +28,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate, chain
 
 import numpy as np
@@ -35,6 +40,9 @@ from crowdweave.llm import mixing
 from crowdweave.llm.common import cut, partitions, ranked, whole_text
 
 CAPACITY = 2048
+#: Pieces of a part that is swept on its own, and by how much a superstep has fewer parts than the one before.
+PART_ROWS = 1 << 17
+FEWER = 16
 #: Blocks of the mixing schedule that are packed among themselves.
 RANGE_BLOCKS = 64
 END_ID = 0
@@ -239,25 +247,74 @@ def sweep(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, i
     return runs, opened
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -> DataFrame:
-    """Give each piece its sequence and offset. ``found`` is read three times; pass a written table."""
-    spark = found.sparkSession
-    counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs, _ = sweep(counts, capacity)
-    schema = "r_length long, r_from long, r_n long, r_sequence long, r_offset long"
-    placed = spark.createDataFrame(runs, schema)
-    placed = F.broadcast(placed) if len(runs) <= 100_000 else placed
-    rows = ranked(found, ["length"], [id_column, "piece", "ids_crc32"], partitions(spark))
-    on = (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("r_from")) & (F.col("rank") < F.col("r_from") + F.col("r_n"))
-    return rows.join(placed, on).select(
-        id_column, "piece", "start", "length", "ids_crc32",
-        (F.col("r_sequence") + F.col("rank") - F.col("r_from")).alias("sequence_id"), F.col("r_offset").alias("offset"),
-    )
+def unfilled(runs: list[tuple[int, int, int, int, int]], capacity: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """The runs, cut where their sequences differ in being full, with whether they are not."""
+    if not runs:
+        return []
+    length, _, take, first, _ = (np.array(c) for c in zip(*runs, strict=True))
+    edges = np.unique(np.concatenate([first, first + take]))
+    fill = np.zeros(len(edges) + 1, np.int64)
+    np.add.at(fill, np.searchsorted(edges, first), length)
+    np.add.at(fill, np.searchsorted(edges, first + take), -length)
+    free = np.cumsum(fill[:-1]) < capacity
+    turn = np.flatnonzero(np.concatenate([[True], free[1:] != free[:-1]]))
+    edges, free = edges[turn], free[turn]
+    out = []
+    for size, rank, n, sequence, offset in runs:
+        at, k = sequence, int(np.searchsorted(edges, sequence, "right")) - 1
+        while at < sequence + n:
+            end = min(sequence + n, int(edges[k + 1]) if k + 1 < len(edges) else sequence + n)
+            out.append((size, rank + at - sequence, end - at, at, offset, bool(free[k])))
+            at, k = end, k + 1
+    return out
+
+
+_RUNS = ["r_part", "r_length", "r_from", "r_n", "r_sequence", "r_offset", "r_free"]
+
+
+def _swept_parts(capacity: int):
+    """An applyInArrow function: a part's counts by length to its runs, with whether their sequences are not full."""
 
+    def run(key: tuple[pa.Scalar, ...], counts: pa.Table) -> pa.Table:
+        runs, _ = sweep(dict(zip(counts["length"].to_pylist(), counts["n"].to_pylist(), strict=True)), capacity)
+        *columns, free = zip(*unfilled(runs, capacity), strict=True)
+        return pa.table([*(pa.array(c, pa.int64()) for c in ([key[0].as_py()] * len(free), *columns)), pa.array(free)], names=_RUNS)
+
+    return run
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+
+def pack(found: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", part_rows: int | None = None) -> DataFrame:
+    """Give each piece its sequence and offset. ``found`` is read several times; pass a written table."""
+    spark = found.sparkSession
+    order = [id_column, "piece", "ids_crc32"]
+    columns = [id_column, "piece", "start", "length", "ids_crc32"]
+    parts = max(1, -(-found.count() // (part_rows or PART_ROWS)))
+    left = found.select(*columns, F.pmod(F.xxhash64(*order), F.lit(parts)).alias("part"))
+    schema = ", ".join(f"{c} {'boolean' if c == 'r_free' else 'long'}" for c in _RUNS)
+    closed: list[DataFrame] = []
+    used = 0  # parts of earlier supersteps, for the numbers of sequences
+    while True:
+        counts = left.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+        runs = cut(counts.groupBy("part").applyInArrow(_swept_parts(capacity), schema))
+        rows = ranked(left, ["part", "length"], order, partitions(spark))
+        on = (F.col("part") == F.col("r_part")) & (F.col("length") == F.col("r_length"))
+        on &= (F.col("rank") >= F.col("r_from")) & (F.col("rank") < F.col("r_from") + F.col("r_n"))
+        number = (F.col("part") + used) * (1 << 32) + F.col("r_sequence") + F.col("rank") - F.col("r_from")
+        placed = rows.join(runs, on).select(*columns, "part", number.alias("sequence_id"), F.col("r_offset").alias("offset"), "r_free")
+        if parts == 1:
+            closed.append(placed.drop("part", "r_free"))
+            return reduce(DataFrame.unionByName, closed)
+        placed = cut(placed)
+        closed.append(placed.where("not r_free").drop("part", "r_free"))
+        used, parts = used + parts, -(-parts // FEWER)
+        left = placed.where("r_free").select(*columns, F.expr(f"part div {FEWER}").alias("part"))
+
+
+def pack_documents(
+    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, part_rows: int | None = None
+) -> DataFrame:
     """Tokenize and pack whole documents; one row per piece."""
-    return pack(cut(pieces(docs, path or vocabulary_path(), capacity, end_id)), capacity)
+    return pack(cut(pieces(docs, path or vocabulary_path(), capacity, end_id)), capacity, part_rows=part_rows)
 
 
 def _swept(capacity: int):

@@ -582,6 +582,25 @@ def test_sweeps_are_best_fit():
             assert end <= 100
 
 
+def test_parts_need_no_more_sequences_than_one_sweep(spark):
+    draw = np.random.default_rng(6)
+    lengths = np.minimum(2048, draw.lognormal(5.5, 1.2, 6000).astype(int) + 1).tolist()
+    rows = [(k % 5000, 0, 0, n, k) for k, n in enumerate(lengths)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    found = packing.pack(packing.cut(table), part_rows=70).collect()
+    assert sorted(r[:5] for r in found) == sorted(rows)
+    used = defaultdict(list)
+    for r in found:
+        used[r.sequence_id].append((r.offset, r.length))
+    for s in used.values():
+        end = 0
+        for offset, length in sorted(s):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(used) <= packing.sweep(Counter(lengths), 2048)[1] + 1
+
+
 def test_quality(docs):
     import zstandard
 
