@@ -274,6 +274,32 @@ def test_equal_digests_are_told_apart_by_bytes(spark):
     assert sorted((r.digest, r.class_id, r.copies, r.sha is not None) for r in found) == [("d", 1, 2, True), ("d", 2, 1, True), ("e", 4, 1, False)]
 
 
+def test_an_edited_text_that_meets_a_digest_is_told_apart(spark):
+    known = spark.createDataFrame([("d", None, 1, 2, "aa"), ("e", "bb", 3, 1, "bb"), ("e", "cc", 4, 1, "cc")], "digest string, sha string, class_id long, copies long, canon_sha string")
+    fields = "id long, n_chars long, edited_sha256 string, digest string, canon_sha string, edited_digest string, edited_canon_sha string, near_edited double, near_next double"
+    rows = [(1, "d", "aa", "d", "aa"), (2, "d", "aa", "d", "zz"), (3, "e", "bb", "x", "yy"), (4, "e", "cc", "e", "cc")]
+    light = spark.createDataFrame([(i, 1, "", d, s, e, t, 0.0, 0.0) for i, d, s, e, t in rows], fields)
+    found = {r.id: (r.fingerprint, r.edited_fingerprint) for r in fingerprint.named(light, known).collect()}
+    assert found == {1: ("d", "d"), 2: ("d", "d-zz"), 3: ("e-bb", "x"), 4: ("e-cc", "e-cc")}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_next_documents_by_ids_of_any_kind(spark, kind):
+    ids = [f"k{i:03}" if kind == "string" else 2**60 + i for i in range(90)] + [None]
+    rows = spark.createDataFrame([(x, f"text {x}", "d") for x in ids], f"id {kind}, text string, digest string").repartition(5)
+    found = {r.id: r.next_text for r in fingerprint.neighbours(rows).collect()}
+    order = [None, *ids[:-1]]
+    assert found == {x: f"text {order[(i + 1) % len(order)]}" for i, x in enumerate(order)}
+
+
+def test_next_documents_where_one_id_repeats(spark):
+    rows = spark.createDataFrame([(i if i % 3 else 7, f"text {i}", "d") for i in range(120)], "id long, text string, digest string")
+    hashed = rows.withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(hashed, key=lambda r: (r.id, r.h))
+    expected = {r.text: order[(i + 1) % len(order)].text for i, r in enumerate(order)}
+    assert {r.text: r.next_text for r in fingerprint.neighbours(rows).collect()} == expected
+
+
 def test_repeated_substrings(docs):
     rows = texts(docs)
     coded = [(i, t.encode()) for i, t in rows]
