@@ -37,7 +37,9 @@ DEPTH = 5
 FOLDS = 7
 HELD_FOLD = 2
 #: Bytes of text that are scored at a time; the arrays made from them take some fifty times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Keys that a block's counter gathers before it sums them.
+GATHERED = 1_250_000
 #: Distinct grams of the corpus that one shard should hold.
 SHARD_GRAMS = 500_000
 END = 0xFF  # never a byte of UTF-8
@@ -123,7 +125,7 @@ class Counter:
         self.keys.append(keys)
         self.counts.append(counts.astype(np.int64))
         self.size += len(keys)
-        if len(self.keys) > 8 and self.size > 2_500_000:
+        if len(self.keys) > 8 and self.size > GATHERED:
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
