@@ -680,6 +680,118 @@ def test_pipeline(spark):
     assert {r.doc_id for r in found.collect()} == left
 
 
+def plain_quality(rows):
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    kept = []
+    for i, t, source in rows:
+        w = words(t)
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + d for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for d in range(3)}
+        if len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and quality.verdict(t.encode(), compress)[0]:
+            kept.append((i, t, source))
+    return kept
+
+
+def plain_lines(rows):
+    sites, first = defaultdict(set), {}
+    for i, t, source in sorted(rows):
+        for k, line in enumerate(t.split("\n")):
+            if key := line.strip(" "):
+                sites[key].add(source)
+                first.setdefault(key, (i, k))
+    wide = {key for key, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
+    kept = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (key := x.strip(" ")) not in wide or first[key] == (i, k)), source) for i, t, source in rows]
+    assert kept != rows
+    return kept
+
+
+def plain_leaders(rows):
+    """The rows of lowest id of each class of near copies, over all pairs."""
+    parent = {i: i for i, _, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    items = [(i, tuple(words(t.translate(LOWER))), sequence(t)) for i, t, _ in rows]
+    items = [(*item, set(item[2])) for item in items]
+    for k, (i, w, s, x) in enumerate(items):
+        for j, v, u, y in items[:k]:
+            alike = w == v
+            if not alike and x and 0.8 <= len(s) / max(len(u), 1) <= 1.25:
+                shared = len(x & y)
+                if shared >= 0.8 * (len(s) + len(u) - shared) - 1e-9:
+                    m = longest(s, u)
+                    alike = m >= 0.8 * (len(s) + len(u) - m) - 1e-9
+            if alike:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [r for r in rows if root(r[0]) == r[0]]
+
+
+def plain_ranges(rows, buckets):
+    """The packing range of each row: blocks of a source in earliest-deadline order, numbered as they are placed."""
+    import xxhash
+    from fractions import Fraction
+
+    def place(i):
+        hashed = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42)
+        return (hashed - (hashed >> 63 << 64)) % buckets, i
+
+    own = defaultdict(list)
+    for i, _, source in rows:
+        own[source].append(i)
+    share = {s: Fraction(repr(float(len(x)) ** mixing.FLATTEN)) for s, x in own.items()}
+    total, size = sum(share.values()), mixing.BLOCK_DOCS
+    left = {s: -(-len(x) // size) for s, x in own.items()}
+    done, slot, order = Counter(), 0, []
+    while any(done[s] < n for s, n in left.items()):
+        free = [(math.ceil((done[s] + 1) * total / share[s]), s) for s, n in left.items() if done[s] < n and done[s] * total // share[s] <= slot]
+        if free:
+            s = min(free)[1]
+            order.append((s, done[s]))
+            done[s] += 1
+        slot += 1
+    turn = {b: k for k, b in enumerate(order)}
+    return {i: turn[s, k // size] // packing.RANGE_BLOCKS for s, x in own.items() for k, i in enumerate(sorted(x, key=place))}
+
+
+def test_pipeline_against_plain_stages(spark, tokenizer):
+    """All five stages in plain Python, and the rows of run() beside them: the same pieces, in as many sequences."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rows = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    rows = plain_leaders(plain_lines(plain_quality(rows)))
+    ranges = plain_ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    expected, lengths = [], defaultdict(list)
+    for i, t, _ in rows:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        head = len(ids) - 2048 * (-(-len(ids) // 2048) - 1)
+        edges = [0, *range(head, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            expected.append((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+            lengths[ranges[i]].append(b - a)
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == sorted(expected)
+    first = 0
+    for k in sorted(lengths):
+        own = {r.sequence_id for r in found if ranges[r.doc_id] == k}
+        assert own == set(range(first, first + best_fit(lengths[k], 2048)))
+        first += len(own)
+    for s in range(first):
+        end = 0
+        for r in sorted((r for r in found if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= 2048
+
+
 def test_pipeline_stages_on_awkward_rows(spark, docs):
     import corpus_pipeline
 
