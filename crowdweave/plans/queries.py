@@ -177,10 +177,10 @@ def eligible_accounts_exists_or(r: Roles) -> DataFrame:
 
 
 @query("accounts links", """
-    SELECT id, platform, handle FROM accounts WHERE id NOT IN (SELECT account_id FROM links)
+    SELECT id, platform, handle FROM accounts WHERE id NOT IN (SELECT account_id FROM links WHERE review_status = 'rejected')
         AND NOT EXISTS (SELECT 1 FROM accounts c WHERE c.platform = 'x' AND c.handle = accounts.handle)""")
 def unlinked_accounts_anti(r: Roles) -> DataFrame:
-    return registry.unlinked_accounts(r.accounts, r.links, r.accounts.where("platform = 'x'"))
+    return registry.unlinked_accounts(r.accounts, r.links.where("review_status = 'rejected'"), r.accounts.where("platform = 'x'"))
 
 
 @query("accounts links personas", """
@@ -352,10 +352,10 @@ def patch_if_empty(r: Roles) -> DataFrame:
 
 
 @query("accounts links", """
-    SELECT id, handle FROM accounts a WHERE platform = 'twitch' AND NOT EXISTS (SELECT 1 FROM links WHERE account_id = a.id)
+    SELECT id, handle FROM accounts a WHERE platform = 'twitch' AND NOT EXISTS (SELECT 1 FROM links WHERE account_id = a.id AND review_status = 'rejected')
         AND (handle IS NULL OR handle NOT IN (SELECT handle FROM accounts WHERE platform = 'x' AND handle IS NOT NULL))""")
 def append_only_inbox(r: Roles) -> DataFrame:
-    known = r.links.select(F.col("account_id").alias("id"), F.lit(None).cast("string").alias("handle"))
+    known = r.links.where("review_status = 'rejected'").select(F.col("account_id").alias("id"), F.lit(None).cast("string").alias("handle"))
     known = known.unionByName(r.accounts.where("platform = 'x'").select(F.lit(None).cast("string").alias("id"), "handle"))
     return merge.absent_by_either(r.accounts.where("platform = 'twitch'").select("id", "handle"), known, "id", "handle")
 
@@ -410,9 +410,9 @@ def orphan_evidence_anti(r: Roles) -> DataFrame:
     return checks.orphan_evidence(evidence, subjects)
 
 
-@query("links personas", 'SELECT persona_id, count(*) AS "rows" FROM links WHERE persona_id NOT IN (SELECT id FROM personas) GROUP BY 1')
+@query("links personas", 'SELECT persona_id, count(*) AS "rows" FROM links WHERE persona_id NOT IN (SELECT id FROM personas WHERE review_status <> \'rejected\') GROUP BY 1')
 def unknown_references(r: Roles) -> DataFrame:
-    return checks.unknown_references(r.links, "persona_id", r.personas, "id")
+    return checks.unknown_references(r.links, "persona_id", r.personas.where("review_status <> 'rejected'"), "id")
 
 
 @query("sightings", """

@@ -114,11 +114,7 @@ def correction_conflicts(r: Roles) -> DataFrame:
     return checks.conflicting(r.links.where("review_status = 'pending'"), ["account_id"], "persona_id")
 
 
-@query("", """
-    WITH rows_ AS (
-        SELECT 'p' || conv_id AS path, turn, coalesce(text, '') AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS c, conv_id FROM conversations
-    ) SELECT path, CAST(max(c) - 1 AS INTEGER) AS events, CASE WHEN conv_id % 4 = 1 THEN 'row count differs' WHEN conv_id % 4 = 2 THEN 'digest differs' END AS problem FROM rows_ GROUP BY path, conv_id""")
-def batch_validation(r: Roles) -> DataFrame:
+def batch_rows(r: Roles) -> DataFrame:
     """Conversations as batch files: their turns, the last one as state, and a manifest that every fourth gets wrong."""
     own = Window.partitionBy("conv_id")
     turns = r.table("conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("payload"))
@@ -130,8 +126,15 @@ def batch_validation(r: Roles) -> DataFrame:
         "conv_id", "row_number", F.lit("batch_manifest").alias("kind"),
         F.to_json(F.struct(F.when(wrong == 2, "0").otherwise(F.col("sha256")).alias("sha256"), (F.col("n") + F.when(wrong == 1, 1).otherwise(0)).alias("rows"))).alias("payload"),
     )
-    both = rows.unionByName(manifest).withColumn("path", F.concat(F.lit("p"), F.col("conv_id"))).drop("conv_id")
-    return checks.batches(both)
+    return rows.unionByName(manifest)
+
+
+@query("", """
+    WITH rows_ AS (
+        SELECT 'p' || conv_id AS path, turn, coalesce(text, '') AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS c, conv_id FROM conversations
+    ) SELECT path, CAST(max(c) - 1 AS INTEGER) AS events, CASE WHEN conv_id % 4 = 1 THEN 'row count differs' WHEN conv_id % 4 = 2 THEN 'digest differs' END AS problem FROM rows_ GROUP BY path, conv_id""")
+def batch_validation(r: Roles) -> DataFrame:
+    return checks.batches(batch_rows(r).withColumn("path", F.concat(F.lit("p"), F.col("conv_id"))).drop("conv_id"))
 
 
 @query("personas", _CHANGES + """

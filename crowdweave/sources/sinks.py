@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdweave.operators import checks, presence
@@ -86,3 +86,34 @@ def deliver_csv(rows: DataFrame, path: str, columns: list[str]) -> int:
 def json_lines(rows: DataFrame, path: str, order: list[str]) -> None:
     """Ordered JSON lines."""
     rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_observations(rows: DataFrame, path: str) -> None:
+    """Observations in a table partitioned by channel. A video's rows replace those it had; the other videos of its
+    channel stay, and only channels that came are rewritten, in few files each instead of one a video."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        old = rows.sparkSession.read.parquet(path).select(*rows.columns).join(rows.select("channel_id").distinct(), "channel_id", "left_semi")
+        both = rows.unionByName(old.join(rows.select("channel_id", "video_id").distinct(), ["channel_id", "video_id"], "left_anti"))
+    except AnalysisException:  # nothing was written yet
+        both = rows
+    # a partition can't be read while it is overwritten; rows are dealt by video too, so that a hot channel fills several files
+    dealt = both.checkpoint().repartition("channel_id", "video_id").sortWithinPartitions("channel_id", "video_id")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel_id").parquet(path)
+
+
+def write_intake(rows: DataFrame, path: str, confirmed: Column, columns: list[str]) -> None:
+    """Candidates to two places: confirmed ones as JSON lines for review, all others as a CSV in quarantine."""
+    sure = F.coalesce(confirmed, F.lit(False))
+    rows.where(sure).write.mode("overwrite").json(f"{path}/intake")
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+    rows.where(~sure).select(*text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{path}/quarantine")
+
+
+def write_catalog(rows: DataFrame, path: str) -> DataFrame:
+    """A catalogue as Parquet and, from what was written there, as CSV; returns the Parquet table."""
+    rows.write.mode("overwrite").parquet(f"{path}/parquet")
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/parquet")
+    written.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    return written

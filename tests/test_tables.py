@@ -220,3 +220,20 @@ def test_changes_are_applied_in_order(spark):
     assert [tuple(r) for r in new["p"].collect()] == [("1", "b")] and [tuple(r) for r in new["q"].collect()] == [("9", "1")]
     again = workflow.apply_changes(new, changes, ["p", "q"])[1]
     assert {r.action for r in again.collect()} == {"unchanged"}
+
+
+def test_observations_intake_and_catalog(spark, tmp_path):
+    schema = "channel_id string, video_id string, viewer_id string, n int"
+    sinks.write_observations(spark.createDataFrame([("a", "v1", "x", 1), ("b", "v2", "y", 2)], schema), f"{tmp_path}/o")
+    sinks.write_observations(spark.createDataFrame([("a", "v3", "z", 3), ("a", "v1", "w", 4)], schema), f"{tmp_path}/o")
+    sinks.write_observations(spark.createDataFrame([("a", "v3", "z", 5)], schema), f"{tmp_path}/o")
+    found = spark.read.parquet(f"{tmp_path}/o").select("channel_id", "video_id", "n").collect()
+    assert sorted(map(tuple, found)) == [("a", "v1", 4), ("a", "v3", 5), ("b", "v2", 2)]
+    rows = spark.createDataFrame([("c1", "CONFIRMED", 5), ("c2", "UNCONFIRMED", None), ("c3", None, 1)], "channel_id string, status string, subs int")
+    sinks.write_intake(rows, f"{tmp_path}/i", F.col("status") == "CONFIRMED", ["channel_id", "subs"])
+    assert [r.channel_id for r in spark.read.json(f"{tmp_path}/i/intake").collect()] == ["c1"]
+    kept = spark.read.option("header", True).csv(f"{tmp_path}/i/quarantine").collect()
+    assert sorted((r.channel_id, r.subs) for r in kept) == [("c2", None), ("c3", "1")]
+    table = sinks.write_catalog(rows, f"{tmp_path}/c")
+    again = spark.read.option("header", True).schema(rows.schema).csv(f"{tmp_path}/c/csv")
+    assert table.schema == rows.schema and sorted(map(repr, table.collect())) == sorted(map(repr, again.collect())) == sorted(map(repr, rows.collect()))
