@@ -10,6 +10,7 @@ extra columns are kept by ``filter_kept`` and ignored by ``quality``; an empty t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,29 @@ SCHEMA = (
 )
 
 
+def _plain_repeats(text: bytes) -> tuple[int, int]:
+    """Repeated lines with a word, and words in windows of three that are found twice, of one text."""
+    lines = [x for x in text.split(b"\n") if x.split()]
+    w = text.split()
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {k + d for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for d in range(3)}
+    return len(lines) - len(set(lines)), len(covered)
+
+
+def _unlike(whole: bytes, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, exact: bool = False) -> set[int]:
+    """Rows of the pairs of spans (a[i], b[i]) whose hashes agree but whose rows or words (if exact: bytes) do not."""
+    odd: set[int] = set()
+    for i, j, s, e, u, v in zip(row[a].tolist(), row[b].tolist(), *(x.tolist() for x in (starts[a], ends[a], starts[b], ends[b])), strict=True):
+        if i != j or (whole[s:e] != whole[u:v] and (exact or whole[s:e].split() != whole[u:v].split())):
+            odd |= {i, j}
+    return odd
+
+
 def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The five base counts of each row."""
+    """The five base counts of each row. Lines and windows are found by hash; those that agree are compared by their
+    bytes, and a row with any that differ is counted word by word."""
     n = len(off) - 1
+    whole, odd = data.tobytes(), set()
     starts, ends, row = B.words(data, off)
     out = {"n_words": B.per_row(row, n)}
     out["word_chars"] = B.counted(~B.SPACE[data] & ((data & 0xC0) != 0x80), off)
@@ -61,7 +82,9 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(starts, l_end) > np.searchsorted(starts, l_start)
     l_start, l_end, l_row = l_start[with_word], l_end[with_word], l_row[with_word]
     salt = B.mix(np.arange(1, n + 1).astype(np.uint64))
-    first = np.unique(B.span_hash(prefix, l_start, l_end) ^ salt[l_row], return_index=True)[1] if len(l_row) else l_row
+    _, first, group = np.unique(B.span_hash(prefix, l_start, l_end) ^ salt[l_row], return_index=True, return_inverse=True)
+    again = np.setdiff1d(np.arange(len(l_row)), first, assume_unique=True)
+    odd |= _unlike(whole, l_row, l_start, l_end, again, first[group[again]], exact=True)
     out["n_dup_lines"] = B.per_row(l_row, n) - B.per_row(l_row[first], n)
     # words in windows of three that are found twice or more in the row
     covered = np.zeros(len(starts) + 2, bool)
@@ -73,10 +96,14 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         ordered = key[order]
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = ordered[1:] == ordered[:-1]
+        later = np.flatnonzero(same[1:-1]) + 1
+        odd |= _unlike(whole, row, starts, np.concatenate([ends[2:], ends[-1:], ends[-1:]]), at[order[later]], at[order[later - 1]])
         twice = at[order[same[1:] | same[:-1]]]
         for k in range(3):
             covered[twice + k] = True
     out["n_repeat_words"] = B.per_row(row[covered[: len(row)]], n)
+    for i in odd:
+        out["n_dup_lines"][i], out["n_repeat_words"][i] = _plain_repeats(whole[off[i] : off[i + 1]])
     return out
 
 

@@ -645,6 +645,26 @@ def test_quality(docs):
     assert sorted(map(repr, quality.filter_kept(docs).collect())) == sorted(repr(r) for r in docs.collect() if (r.doc_id, True) in {(e[0], e[-1]) for e in expected})
 
 
+def test_quality_where_hashes_agree(monkeypatch):
+    """Counts hold when all hashes are equal, and for the texts on which sums of powers modulo 2**64 agree."""
+    texts = ["a b c d e\nf g h\n\n x\ny", "a b c d\na b c\n a  b\tc\na b c", "p q r s t u v w", "", "k\nk\nk l m k l\nm"]
+    even = "".join("ab"[k.bit_count() % 2] for k in range(1 << 12))
+    swapped = even.translate(str.maketrans("ab", "ba"))
+    texts.append(f"{even}\n{swapped}\n{even} x y\n{swapped} x y\n{even}")
+    data = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, data)])
+    expected = [quality._plain_repeats(t) for t in data]
+    assert expected[1] == (1, 12) and expected[5][0] == 1
+
+    def found():
+        out = quality.base_counts(np.frombuffer(b"".join(data), np.uint8), off)
+        return list(zip(out["n_dup_lines"].tolist(), out["n_repeat_words"].tolist(), strict=True))
+
+    assert found() == expected
+    monkeypatch.setattr(quality.B, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    assert found() == expected
+
+
 def test_quality_bands():
     import random
 
