@@ -24,6 +24,8 @@ from crowdweave.llm.common import whole_text
 LEVEL = 3
 #: Bytes of text that are counted at a time; the arrays made from them take some fifty times as much.
 SLICE = 1 << 20
+#: Pairs of spans that are turned into Python numbers at a time.
+COMPARED = 1 << 12
 CHUNK = 4096
 #: Shorter last chunks say little; they are judged only as part of the whole text.
 LEAST_CHUNK = 1024
@@ -55,9 +57,11 @@ def _plain_repeats(text: bytes) -> tuple[int, int]:
 def _unlike(whole: bytes, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, exact: bool = False) -> set[int]:
     """Rows of the pairs of spans (a[i], b[i]) whose hashes agree but whose rows or words (if exact: bytes) do not."""
     odd: set[int] = set()
-    for i, j, s, e, u, v in zip(row[a].tolist(), row[b].tolist(), *(x.tolist() for x in (starts[a], ends[a], starts[b], ends[b])), strict=True):
-        if i != j or (whole[s:e] != whole[u:v] and (exact or whole[s:e].split() != whole[u:v].split())):
-            odd |= {i, j}
+    for k in range(0, len(a), COMPARED):
+        x, y = a[k : k + COMPARED], b[k : k + COMPARED]
+        for i, j, s, e, u, v in zip(*(c.tolist() for c in (row[x], row[y], starts[x], ends[x], starts[y], ends[y])), strict=True):
+            if i != j or (whole[s:e] != whole[u:v] and (exact or whole[s:e].split() != whole[u:v].split())):
+                odd |= {i, j}
     return odd
 
 
