@@ -531,6 +531,11 @@ def test_chat(spark):
         source[c].append((k, r or "", t or ""))
     for r in parsed.collect():
         assert [(x.role, x.text) for x in r.turns] == [(a, b) for _, a, b in sorted(source[r.conv_id])]
+        for m, (_, a, b) in zip(r.loss_mask, sorted(source[r.conv_id]), strict=True):
+            assert (m is None) == (a != "assistant")
+            if m:
+                under, head = r.formatted[m.start : m.start + m.length], r.formatted[m.start - m.lead : m.start]
+                assert under == b if head == "### assistant: " else (head == "###\\ assistant: " and re.sub(r"(?s)\\(.)", r"\1", under) == b)
     for r in chat.digest(parsed).collect():
         own = sorted(source[r.conv_id])
         loss = "".join(t for _, a, t in own if a == "assistant")
