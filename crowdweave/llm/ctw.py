@@ -42,6 +42,8 @@ SLICE = 1 << 19
 GATHERED = 1_250_000
 #: Distinct grams of the corpus that one shard should hold.
 SHARD_GRAMS = 500_000
+#: Rows of grams and words that one task of the answers' join should sort.
+PART_ROWS = 250_000
 END = 0xFF  # never a byte of UTF-8
 _END_WORD = np.uint64(0x656E64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -356,7 +358,10 @@ def scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     packed = cut(dealt.groupBy("shard").applyInArrow(_pack, "keys binary, counts binary"))
     coded = packed.mapInArrow(_coded(top_of(packed)), "key long, value double").select(F.lit(False).alias("word"), "key", "value")
     values = coded.unionByName(model.where("word").select("word", "key", F.col("n").cast("double").alias("value")))
-    answers = asked.select("block", "word", "key").join(values, ["word", "key"]).select("block", "word", "key", "value")
+    # both sides in parts of a bounded size, so that no task sorts more than that
+    parts = max(partitions(docs.sparkSession), -(-asked.count() // PART_ROWS))
+    questions = asked.select("block", "word", "key").repartition(parts, "word", "key")
+    answers = questions.join(values.repartition(parts, "word", "key"), ["word", "key"]).select("block", "word", "key", "value")
     fields = f"{id_column} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     scored = _score(int(sums["tokens"] or 0), sums["distinct"], id_column)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, fields)
