@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdweave.llm import chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, substring_dedup
+from crowdweave.llm import audit, chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, substring_dedup
 from crowdweave.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_compression_bands(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_line_dedup": op2_line_dedup,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_chat_round_trip": op8_chat_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_bands": op10_compression_bands,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +113,46 @@ ORACLE_SQL: dict[str, str] = {
             true AS round_trip
         FROM forms GROUP BY conv_id
     """,
+    "op13_filter_audit": r"""
+        WITH marks AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+            FROM labels GROUP BY doc_id
+        ), texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), judged AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+                 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+                 'E': coalesce(texts.doc_id > min(texts.doc_id) OVER (PARTITION BY t), false)} AS f
+            FROM texts LEFT JOIN marks USING (doc_id)
+        ), masked AS (
+            SELECT part, good, toxic, [f.A, f.B, f.C, f.D, f.E] AS m FROM judged
+        ), cells AS (
+            SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, m
+        ), letters AS (
+            SELECT i, substr('ABCDE', i, 1) AS x FROM range(1, 6) AS r(i)
+        ), orders AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS o, a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+        ), steps AS (
+            SELECT filter_order, CAST(step AS INTEGER) AS step, o[step] AS own, o[1:step - 1] AS before FROM orders, range(1, 6) AS s(step)
+        ), met AS (
+            SELECT part, filter_order, step, own, n, good, toxic, m[own] AS fails, len(list_filter(before, lambda x: m[x])) > 0 AS gone,
+                len(list_filter(m, lambda x: x)) = 1 AS alone
+            FROM cells, steps
+        ), audit AS (
+            SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept,
+                coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed, coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant,
+                coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+            FROM met GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM audit
+    """,
 }
