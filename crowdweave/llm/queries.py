@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdweave.llm import audit, chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, substring_dedup
+from crowdweave.llm import audit, chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, substring_dedup, whitening
 from crowdweave.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_compression_bands(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_chat_round_trip": op8_chat_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_bands": op10_compression_bands,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
