@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdweave.llm import audit, chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, substring_dedup, whitening
+from crowdweave.llm import audit, chat, ctw, fingerprint, html_text, line_dedup, mixing, near_dup, packing, quality, search, substring_dedup, whitening
 from crowdweave.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_compression_bands(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_block_pruned_search(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op12_embedding_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_chat_round_trip": op8_chat_round_trip,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_bands": op10_compression_bands,
+    "op11_block_pruned_search": op11_block_pruned_search,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -118,6 +123,17 @@ ORACLE_SQL: dict[str, str] = {
             true AS round_trip
         FROM forms GROUP BY conv_id
     """,
+    "op11_block_pruned_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM pairs
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
     "op13_filter_audit": r"""
         WITH marks AS (
             SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
