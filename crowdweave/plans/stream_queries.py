@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdweave.plans.queries import query
 from crowdweave.plans.roles import Roles
-from crowdweave.streaming import interactions
+from crowdweave.streaming import catalog, enrichment, interactions
 
 _ITEMS = """
     lines AS (
@@ -67,3 +67,62 @@ def thread_interactions(r: Roles) -> DataFrame:
     FROM counts LEFT JOIN (SELECT video_id, whole FROM threads WHERE thread = '') USING (video_id)""")
 def thread_states(r: Roles) -> DataFrame:
     return interactions.states(thread_items(r))
+
+
+_PAGES = """
+    numbered AS (
+        SELECT 'c' || (o_custkey % 50) AS channel_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS n,
+            count(*) OVER (PARTITION BY o_custkey % 50) AS total, o_orderkey AS k, o_orderstatus AS st, o_orderdate AS d FROM orders
+    ), items AS (
+        SELECT channel_id, n, n // 50 = (total - 1) // 50 AND (total % 3 <> 0) AS last, CASE WHEN k % 23 <> 0 THEN 'v' || (k - k % 3) END AS video_id,
+            CASE st WHEN 'P' THEN 'Private video' WHEN 'F' THEN 'first ' || k ELSE 'other' END AS title,
+            CASE WHEN k % 9 <> 0 THEN strftime(d, '%Y-%m-%d') END AS published_at FROM numbered
+    ), seen AS (
+        SELECT *, video_id IS NOT NULL AND title <> 'Private video' AS open,
+            video_id IS NOT NULL AND title <> 'Private video' AND row_number() OVER (PARTITION BY channel_id, video_id, title <> 'Private video' ORDER BY n) = 1 AS new FROM items
+    ), done AS (
+        SELECT *, coalesce(sum(CAST(new AS INTEGER)) OVER (PARTITION BY channel_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 100 AS done FROM seen
+    ), dated AS (
+        SELECT *, CASE WHEN new AND done THEN published_at END AS dt FROM done
+    ), later AS (
+        SELECT *, dt > last_value(dt IGNORE NULLS) OVER (PARTITION BY channel_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM dated
+    )"""
+
+
+def upload_items(r: Roles) -> DataFrame:
+    """Orders as uploads of fifty channels, fifty a page; some repeat a video, some are hidden, some channels never end."""
+    key, chain = F.col("o_orderkey"), Window.partitionBy("channel_id")
+    rows = r.table("orders").withColumn("channel_id", F.concat(F.lit("c"), F.col("o_custkey") % 50))
+    rows = rows.withColumns({"n": (F.row_number().over(chain.orderBy("o_orderkey")) - 1), "total": F.count(F.lit(1)).over(chain)})
+    page = F.floor(F.col("n") / 50).cast("int")
+    title = F.when(F.col("o_orderstatus") == "P", "Private video").when(F.col("o_orderstatus") == "F", F.concat(F.lit("first "), key)).otherwise("other")
+    return rows.select(
+        "channel_id", page.alias("ordinal"), (F.col("n") % 50).cast("int").alias("at"), F.least(F.lit(50), F.col("total") - page * 50).cast("int").alias("size"),
+        ((page == F.floor((F.col("total") - 1) / 50)) & (F.col("total") % 3 != 0)).alias("last"), F.when(key % 23 != 0, F.concat(F.lit("v"), key - key % 3)).alias("video_id"),
+        title.alias("title"), F.when(key % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("published_at"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
+    )
+
+
+@query("", f"WITH {_PAGES} SELECT channel_id, video_id, title, published_at FROM done WHERE new AND done")
+def catalog_videos(r: Roles) -> DataFrame:
+    return catalog.catalog(upload_items(r), 100)
+
+
+@query("", f"""
+    WITH {_PAGES}
+    SELECT channel_id, CAST(count(*) FILTER (new AND done) AS INTEGER) AS accessible, CAST(count(*) FILTER (NOT open AND done) AS INTEGER) AS inaccessible,
+        CAST(count(*) FILTER (open AND NOT new AND done) AS INTEGER) AS duplicates, CASE WHEN bool_or(later) THEN 'NON_MONOTONIC' ELSE 'NOT_VALIDATED' END AS ordering,
+        min(dt) AS oldest, CASE WHEN bool_or(NOT done) THEN 'CAP_REACHED' WHEN bool_or(last) THEN 'PLAYLIST_EXHAUSTED'
+            WHEN count(*) FILTER (new AND done) >= 100 THEN 'CAP_REACHED' ELSE 'PENDING' END AS status
+    FROM later GROUP BY 1""")
+def catalog_states(r: Roles) -> DataFrame:
+    return catalog.channel_states(upload_items(r), 100)
+
+
+@query("", """
+    SELECT 'v' || o_orderkey AS video_id, CAST(o_orderdate AS TIMESTAMP) AS listed_at, CAST(l_shipdate AS TIMESTAMP) AS fetched_at, l_linenumber AS detail
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate AND CAST(l_shipdate AS TIMESTAMP) <= CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY""")
+def enriched_uploads(r: Roles) -> DataFrame:
+    listed = r.table("orders").select(F.concat(F.lit("v"), "o_orderkey").alias("video_id"), F.col("o_orderdate").cast("timestamp").alias("listed_at"))
+    fetched = r.table("lineitem").select(F.concat(F.lit("v"), "l_orderkey").alias("video_id"), F.col("l_shipdate").cast("timestamp").alias("fetched_at"), F.col("l_linenumber").alias("detail"))
+    return enrichment.enriched(listed, fetched, "30 days")

@@ -2,11 +2,12 @@
 
 import random
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from crowdweave.streaming import interactions
+from crowdweave.streaming import catalog, enrichment, interactions
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -100,3 +101,110 @@ def test_a_video_that_waits_too_long_is_stalled(spark, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert states == {("whole", "COMMENTS_PENDING"), ("whole", "STALLED"), ("other", "EXHAUSTED")}
+
+
+def uploads(channel, pages, last=True):
+    """pages: lists of (video, title, date)."""
+    return [
+        (channel, ordinal, at, len(page), last and ordinal == len(pages) - 1, video, title, date, datetime(2024, 1, 1, 0, ordinal))
+        for ordinal, page in enumerate(pages) for at, (video, title, date) in enumerate(page)
+    ]
+
+
+def many(n, start=0):
+    return [(f"v{k}", f"title {k}", f"2024-{12 - k // 28:02d}-{28 - k % 28:02d}") for k in range(start, start + n)]
+
+
+CHANNELS = [
+    *uploads("ends", [many(4), many(3, 4)]),
+    *uploads("open", [many(4), many(3, 4)], last=False),
+    *uploads("over", [many(5), many(5, 5)]),
+    *uploads("exact", [many(4), many(4, 4)]),
+    *uploads("exact_open", [many(4), many(4, 4)], last=False),
+    *uploads("mixed", [[("a", "A", "2024-02-02"), (None, "B", None), ("c", "Private video", None), ("d", "", "2024-01-01")], [("a", "A", "2024-02-02"), ("e", "E", None), ("f", "F", "2024-03-03")]]),
+    *uploads("hidden", [[("x", "Deleted video", None)]]),
+    *uploads("behind_cap", [many(8), [("y", "Private video", None), ("v0", "title 0", None)]]),
+]
+
+
+def test_catalog_states(spark):
+    items = spark.createDataFrame(CHANNELS, catalog.ITEMS)
+    found = {r.channel_id: tuple(r)[1:] for r in catalog.channel_states(items, 8).collect()}
+    assert found == {
+        "ends": (7, 0, 0, "NOT_VALIDATED", "2024-12-22", "PLAYLIST_EXHAUSTED"), "open": (7, 0, 0, "NOT_VALIDATED", "2024-12-22", "PENDING"),
+        "over": (8, 0, 0, "NOT_VALIDATED", "2024-12-21", "CAP_REACHED"), "exact": (8, 0, 0, "NOT_VALIDATED", "2024-12-21", "PLAYLIST_EXHAUSTED"),
+        "exact_open": (8, 0, 0, "NOT_VALIDATED", "2024-12-21", "CAP_REACHED"), "mixed": (3, 3, 1, "NON_MONOTONIC", "2024-02-02", "PLAYLIST_EXHAUSTED"),
+        "hidden": (0, 1, 0, "NOT_VALIDATED", None, "PLAYLIST_EXHAUSTED"), "behind_cap": (8, 0, 0, "NOT_VALIDATED", "2024-12-21", "CAP_REACHED"),
+    }
+
+
+def test_catalog_stream_equals_batch_and_forgets(spark, tmp_path):
+    rows = list(CHANNELS)
+    drawn = random.Random(4)
+    drawn.shuffle(rows)
+    rows += drawn.sample(rows, 10)  # come again
+    for number in range(4):
+        dropped_in(spark, tmp_path / "in", number, rows[number::4], catalog.ITEMS)
+    query = run(catalog.catalog_stream(source(spark, tmp_path / "in", catalog.ITEMS), 8), tmp_path / "out", tmp_path / "state")
+    out = spark.read.parquet(str(tmp_path / "out"))
+    items = spark.createDataFrame(CHANNELS, catalog.ITEMS)
+    columns = ["channel_id", "video_id", "title", "published_at"]
+    assert sorted(map(tuple, out.where("kind = 'video'").select(columns).collect()), key=str) == sorted(map(tuple, catalog.catalog(items, 8).select(columns).collect()), key=str)
+    columns = ["channel_id", "accessible", "inaccessible", "duplicates", "ordering", "oldest", "status"]
+    last = {}
+    for r in out.where("kind = 'state'").select(columns).collect():
+        rank = (r.status != "PENDING", sum(tuple(r)[1:4]))
+        last[r.channel_id] = max(last.get(r.channel_id, (rank, tuple(r))), (rank, tuple(r)), key=lambda x: x[0])
+    assert {r for _, r in last.values()} == {tuple(r) for r in catalog.channel_states(items, 8).select(columns).collect()}
+    # one channel is open: its 7 videos stay; all others have one row
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert held <= 8 + 7
+
+
+def test_items_that_come_again_and_state_that_expires(spark, tmp_path):
+    schema = catalog.ITEMS
+    first = [("c", 0, at, 5, False, f"v{at}", "t", None, datetime(2024, 1, 1, 0, 0)) for at in range(5)]
+    again = [(*r[:8], datetime(2024, 1, 1, 0, 30)) for r in first]
+    much_later = [("d", 0, 0, 1, True, "w", "t", None, datetime(2024, 1, 3))]
+    for number, rows in enumerate([first, again, much_later, [(*much_later[0][:8], datetime(2024, 1, 3, 0, 1))]]):
+        dropped_in(spark, tmp_path / "in", number, rows, schema)
+    query = run(catalog.once(source(spark, tmp_path / "in", schema)), tmp_path / "out", tmp_path / "state")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the channel of two days before is forgotten
+
+
+def test_videos_of_unfinished_channels_expire(spark, tmp_path):
+    dropped_in(spark, tmp_path / "in", 0, uploads("open", [many(6)], last=False), catalog.ITEMS)
+    stream = catalog.catalog_stream(source(spark, tmp_path / "in", catalog.ITEMS), 50, timedelta(milliseconds=400))
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
+
+    def held():
+        return [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+
+    until = time.time() + 60
+    while not (held() and max(held()) > held()[-1]) and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    assert max(held()) > held()[-1]
+
+
+def test_enriched_streams_equal_the_batch_join(spark, tmp_path):
+    def day(n, hour=0):
+        return datetime(2024, 1, 1) + timedelta(days=n, hours=hour)
+
+    listed, fetched = "video_id string, listed_at timestamp", "video_id string, fetched_at timestamp, seconds int"
+    left = [[("a", day(0)), ("b", day(0, 1)), ("c", day(0, 2))], [("d", day(3))], [("e", day(6))], [("end", day(30))]]
+    right = [[("a", day(0, 5), 1), ("a", day(0, 6), 2), ("x", day(0, 5), 9)], [("b", day(3), 3), ("d", day(3, 1), 4)], [("e", day(6, 20), 5)], [("end", day(30, 1), 6)]]
+    for number, (u, d) in enumerate(zip(left, right, strict=True)):
+        dropped_in(spark, tmp_path / "u", number, u, listed)
+        dropped_in(spark, tmp_path / "d", number, d, fetched)
+    u, d = source(spark, tmp_path / "u", listed), source(spark, tmp_path / "d", fetched)
+    query = run(enrichment.enriched(u, d), tmp_path / "out", tmp_path / "state")
+    found = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).where("video_id <> 'end'").collect()))
+    batch = enrichment.enriched(spark.createDataFrame(sum(left, []), listed), spark.createDataFrame(sum(right, []), fetched))
+    assert found == sorted(map(str, batch.where("video_id <> 'end'").collect())) and len(found) == 6
+    assert enrichment.dropped(query) == 0
+    dropped_in(spark, tmp_path / "d", 9, [("e", day(6, 21), 7)], fetched)  # three weeks late
+    late = run(enrichment.enriched(u, d), tmp_path / "out", tmp_path / "state")
+    assert enrichment.dropped(late) == 1
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).where("video_id <> 'end'").collect())) == found
