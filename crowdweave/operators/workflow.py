@@ -20,11 +20,6 @@ ROLES = ["performer", "singer", "artist", "rigger"]
 FORMATS = ["PNG", "Live2D", "3D", "mixed", "unknown"]
 #: A first pass over a video stops at so many records (fixed value).
 FIRST_PASS_CAP = 15
-#: Keys that must not leave the private side, at any depth (fixed values).
-PRIVATE_KEYS = [
-    "viewer_hash", "raw_channel_id", "raw_author_id", "author_id", "authorDisplayName", "authorChannelUrl", "authorChannelId",
-    "authorExternalChannelId", "viewer_id", "commenter_name", "user_key",
-]
 #: The catalogue's years (fixed values).
 CATALOG_START, CATALOG_END = "2021-01-01T00:00:00Z", "2027-01-01T00:00:00Z"
 
@@ -73,13 +68,6 @@ def end_state(first_pass: Column, records: Column, comments: Column, replies: Co
     )
 
 
-def private_keys(record: Column) -> Column:
-    """Private keys with a value, anywhere in a JSON text, also in JSON that is quoted inside it."""
-    plain = F.regexp_replace(record, r'\\+"', '"')
-    found = F.regexp_extract_all(plain, F.lit(r'"([A-Za-z_]+)"\s*:\s*+(?!null\b|"")'), 1)
-    return F.array_sort(F.array_intersect(found, F.array(*[F.lit(k) for k in PRIVATE_KEYS])))
-
-
 def gate(rows: DataFrame, key: str, newest: str, stored: DataFrame) -> DataFrame:
     """Per ``key``: count and newest time of the rows, and whether a derived table must be computed again. ``stored`` has
     the (key, count, newest) of the last run; rows that changed in place without a new time are not seen, by design."""

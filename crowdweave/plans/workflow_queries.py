@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdweave.operators import overlap, presence, selection, workflow
+from crowdweave.operators import overlap, policy, presence, selection, workflow
 from crowdweave.plans.queries import _PRESENCE, query
 from crowdweave.plans.roles import Roles
 
@@ -130,7 +130,36 @@ def private_key_walk(r: Roles) -> DataFrame:
         '{"text": "viewer_id", "n": 1}', '{"payload": "{\\"viewer_hash\\": \\"ab\\"}"}',
     ]
     record = F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return r.table("documents").select("doc_id", F.array_join(workflow.private_keys(record), ",").alias("found"))
+    held = policy.private_keys(r.table("documents").select("doc_id", record.alias("record")), "doc_id", "record")
+    return held.select("doc_id", F.array_join("keys", ",").alias("found"))
+
+
+_WRAPPED = """
+    wrapped AS (
+        SELECT d.doc_id, lang <> 'en' AS author, source IS NOT NULL AND source <> '' AS viewer, quality IS NULL AND n_chars > 500 AS person,
+            regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----|AIza[0-9A-Za-z_-]{35}|ya29\\.[A-Za-z0-9._-]{20,}|github_pat_[A-Za-z0-9_]{30,}|gh[pousr]_[A-Za-z0-9]{30,}') AS shape,
+            coalesce(toxic, 0) > 0 AS token
+        FROM documents AS d LEFT JOIN labels USING (doc_id)
+    )"""
+
+
+@query("", f"""
+    WITH {_WRAPPED}
+    SELECT doc_id, 'private' AS rule, 'author_id' AS key FROM wrapped WHERE author UNION ALL SELECT doc_id, 'private', 'viewer_id' FROM wrapped WHERE viewer
+    UNION ALL SELECT doc_id, 'person', 'channel_url' FROM wrapped WHERE person UNION ALL SELECT doc_id, 'secret', '' FROM wrapped WHERE shape
+    UNION ALL SELECT doc_id, 'secret', 'access_token' FROM wrapped WHERE token""")
+def policy_findings(r: Roles) -> DataFrame:
+    """Texts and labels wrapped as JSON: in fields, in lists, in a text inside a text, beside an exempt summary."""
+    docs = r.table("documents").join(r.table("labels"), "doc_id", "left")
+    counters = F.struct(*[F.lit(k).alias(n) for n, k in zip(policy.SUMMARY_COUNTERS, (3, 2, 1, 0), strict=True)])
+    inner = F.to_json(F.struct(F.col("source").alias("viewer_id"), F.lit("viewer_id").alias("note")))
+    record = F.to_json(F.struct(
+        F.struct(F.col("text"), F.array(F.struct(F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("author_id"))).alias("by")).alias("doc"),
+        F.array(F.lit("plain"), inner).alias("sent"), F.struct(counters.alias("viewer_hash"), counters.alias("first_seen")).alias("fields"),
+        F.struct(F.lit("https://example.org").alias("channel_url"), F.when(F.col("quality").isNull() & (F.col("n_chars") > 500), "name").alias("display_name")).alias("who"),
+        F.struct(F.when(F.col("toxic") > 0, "x").alias("access_token")).alias("auth"),
+    ))
+    return policy.findings(docs.select("doc_id", record.alias("record")), "doc_id", "record").select(F.col("id").alias("doc_id"), "rule", "key")
 
 
 @query("videos", "SELECT video_id, CAST(substr(published_at, 1, 4) AS INTEGER) AS year FROM (SELECT video_id, replace(published_at, '199', '202') AS published_at FROM videos) WHERE published_at >= '2021-01-01T00:00:00Z' AND published_at < '2027-01-01T00:00:00Z'")
