@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdweave.sources.shared import written
+
 PRESENCE = "channel_id string, video_id string, viewer_id string, source_type string, first_seen timestamp, last_seen timestamp, appearances long"
 
 
@@ -73,6 +75,56 @@ def tab(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     return found.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header])
 
 
+def guarded(spark: SparkSession, path: str, header: list[str]) -> tuple[DataFrame, DataFrame]:
+    """CSV files of text with a known header: (rows, quarantine).
+
+    A row with fewer cells than the header is padded with '', as a missing cell is; blank rows at any place are left
+    out. Quarantine has file, raw and problem: ``header`` for all rows of a file whose first row is not the header,
+    ``long`` for rows with more cells, ``broken`` for rows whose quotes do not close. Files are read as streams of
+    records, cells may hold line feeds; a file is one task. All rows are in one of the two, but headers and blank rows.
+    """
+    columns = [f"c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{c} string" for c in columns) + ", raw string"
+    cells = spark.read.schema(schema).option("columnNameOfCorruptRecord", "raw").option("multiLine", True).option("quote", '"').option("escape", '"')
+    rows = cells.option("mode", "PERMISSIVE").option("recursiveFileLookup", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = written(rows)  # Spark reads all cells of a row, or its raw form alone, so both are kept before one is chosen
+    top = rows.groupBy("file").agg(F.min_by(F.struct(*columns, "raw"), "at").alias("top"), F.min("at").alias("first"), F.max("at").alias("final"))
+    # quotes that never close run to the end of a file, into its last row
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    quoted = lines.groupBy("file").agg((F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open"))
+    top = top.join(quoted, "file", "left")
+    first = [F.regexp_replace(F.coalesce(F.col(f"top.{c}"), F.lit("")), "^\ufeff", "") if i == 0 else F.coalesce(F.col(f"top.{c}"), F.lit("")) for i, c in enumerate(columns)]
+    headed = F.col("top.raw").isNull()
+    for found, wanted in zip(first, header, strict=True):
+        headed = headed & (found == wanted)
+    named = rows.join(top.select("file", "first", "final", "open", headed.alias("headed")), "file").where(~F.col("headed") | (F.col("at") != F.col("first")))
+    raw = F.col("raw")
+    cells_of = F.size(F.split(raw, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    problem = (
+        F.when(~F.col("headed"), "header").when(F.col("open") & (F.col("at") == F.col("final")), "broken").when(raw.isNull(), F.lit(None).cast("string"))
+        .when(cells_of > len(header), "long")
+    )
+    told = named.withColumn("problem", problem)
+    blank = F.coalesce(*columns, F.lit("")) == ""
+    for c in columns:
+        blank = blank & (F.coalesce(c, F.lit("")) == "")
+    good = told.where(F.col("problem").isNull() & ~blank).select(*[F.coalesce(c, F.lit("")).alias(h) for c, h in zip(columns, header, strict=True)], "file")
+    bad = told.where("problem IS NOT NULL").select("file", F.coalesce(raw, F.concat_ws(",", *columns)).alias("raw"), "problem")
+    return good, bad
+
+
+def by_time(rows: DataFrame, path: str, at: str) -> None:
+    """Write rows laid out by time: a folder per year, files of each sorted by time, so that both can be skipped."""
+    dealt = rows.withColumn("year", F.year(at)).repartitionByRange("year", at).sortWithinPartitions("year", at)
+    dealt.write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def since(spark: SparkSession, path: str, at: str, start: str) -> DataFrame:
+    """Rows of a table laid out by ``by_time`` from ``start`` (a date) on: older years are not opened, and in the year of
+    ``start`` Parquet's statistics skip older row groups."""
+    return spark.read.parquet(path).where((F.col("year") >= int(start[:4])) & (F.col(at) >= F.lit(start).cast("timestamp"))).drop("year")
+
+
 def archive_events(records: DataFrame) -> DataFrame:
     """Archive records (source_path, source_table, row_number, record_json) to typed presence events with their tier."""
     path = F.col("source_path")

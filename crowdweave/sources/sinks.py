@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdweave.operators import checks, presence
+from crowdweave.operators import presence
+from crowdweave.sources import commits
+from crowdweave.sources.shared import written
 
 
 class Table:
@@ -46,12 +48,20 @@ class Table:
 
 
 def verified_write(rows: DataFrame, path: str) -> DataFrame:
-    """Write, read back, and compare count and content hash; returns the read table."""
-    rows.write.mode("overwrite").parquet(path)
-    back = rows.sparkSession.read.parquet(path)
-    a, b = (checks.content_hash(x.select(*rows.columns)).first() for x in (rows, back))
-    if a != b:
-        raise ValueError(f"{path} differs from what was written: {a} and {b}")
+    """Write in one pass over the input, which also counts and hashes, and read back; returns the read table. Rows that
+    are there already are not written again; other content under the path is not overwritten but raises."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        back = rows.sparkSession.read.parquet(path).select(*rows.columns)
+    except AnalysisException:  # nothing is there yet
+        wrote = commits.observed_write(rows, path)
+        back = rows.sparkSession.read.parquet(path).select(*rows.columns)
+    else:
+        wrote = commits.content(rows)
+    found = commits.content(back)
+    if (found["rows"], found["hash"]) != (wrote["rows"], wrote["hash"]):
+        raise ValueError(f"{path} differs from what was written: {wrote} and {found}")
     return back
 
 
@@ -59,14 +69,14 @@ def merge_presence(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     """Merge presence snapshots into a table partitioned by channel; only the channels that came are rewritten."""
     from pyspark.errors import AnalysisException
 
-    channels = F.broadcast(incoming.select("channel_id").distinct()) if incoming.select("channel_id").distinct().count() <= 100_000 else incoming.select("channel_id").distinct()
+    came = written(incoming)  # computed once, read three times
     try:
-        old = spark.read.parquet(path).join(channels, "channel_id", "left_semi")
+        old = spark.read.parquet(path).join(came.select("channel_id").distinct(), "channel_id", "left_semi")
     except AnalysisException:  # nothing was written yet
-        old = incoming.limit(0)
-    # a partition can't be read while it is overwritten: the merged rows are checkpointed first
-    merged = presence.merge(old, incoming).checkpoint()
-    merged.repartition("channel_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel_id").parquet(path)
+        old = came.limit(0)
+    # a partition can't be read while it is overwritten; rows are dealt by video too, so that a hot channel fills several files
+    merged = written(presence.merge(old, came)).repartition("channel_id", "video_id")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel_id").parquet(path)
 
 
 def deliver_csv(rows: DataFrame, path: str, columns: list[str]) -> int:
