@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdweave.operators import merge
-from crowdweave.operators.workflow import platform_name, queue_state, review_state
+from crowdweave.operators.workflow import REVIEW_STATES, platform_name, queue_state, review_state
 
 #: Platforms that an account may have; any other one becomes the last (fixed values).
 PLATFORMS = ["youtube", "x", "twitch", "tiktok", "facebook", "instagram", "bluesky", "website", "ganknow", "other"]
@@ -101,6 +101,65 @@ def canonical_queue(accounts: DataFrame, links: DataFrame, reviews: DataFrame, c
     return merge.first_rows(reduce(DataFrame.unionByName, every), ["id"], ["kind", "entity_id", "reason"]).drop("kind")
 
 
+def _source(rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Rows with source_url, the URL of their evidence ('' if there is none)."""
+    urls = evidence.groupBy(F.col("id").alias("evidence_id")).agg(F.min("url").alias("source_url"))
+    return rows.join(urls, "evidence_id", "left").withColumn("source_url", F.coalesce("source_url", F.lit("")))
+
+
+def _text(*names: str) -> list[Column]:
+    return [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
+
+
+def canonical_links(links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, persona_id, account_id, link_type, valid_from, valid_to, source_url, review_status, reviewer, reviewed_at): a link
+    that ended is a former one; evidence is named by its URL."""
+    kind = F.when(F.coalesce("valid_to", F.lit("")) != "", "former").otherwise("official")
+    return _source(links, evidence).select(
+        "id", "persona_id", "account_id", kind.alias("link_type"), *_text("valid_from", "valid_to"), "source_url",
+        review_state(F.col("review_status")).alias("review_status"), *_text("reviewer", "reviewed_at"),
+    )
+
+
+def canonical_affiliations(affiliations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, persona_id, organization_id, role, valid_from, valid_to, source_url, review_status, reviewer, reviewed_at): an
+    organization is named by the id that all its spellings share, a blank one by ''."""
+    name = F.trim(F.coalesce("organization", F.lit("")))
+    organization = F.when(name == "", "").otherwise(stable_id("org", name))
+    return _source(affiliations, evidence).select(
+        "id", "persona_id", organization.alias("organization_id"), F.lit("talent").alias("role"), *_text("valid_from", "valid_to"), "source_url",
+        review_state(F.col("review_status")).alias("review_status"), *_text("reviewer", "reviewed_at"),
+    )
+
+
+def canonical_events(events: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, persona_id, event_type, event_date, source_url, review_status): unknown types become other."""
+    kind = F.when(F.coalesce(F.col("event_type").isin(LIFE_EVENTS), F.lit(False)), F.col("event_type")).otherwise("other")
+    return _source(events, evidence).select(
+        F.col("event_id").alias("id"), "persona_id", kind.alias("event_type"), *_text("event_date"), "source_url", review_state(F.col("review_status")).alias("review_status")
+    )
+
+
+def mapping_issues(accounts: DataFrame, links: DataFrame, affiliations: DataFrame) -> DataFrame:
+    """(entity, id, issue) of what the mapping had to decide: a row for each issue of each entity."""
+
+    def told(rows: DataFrame, entity: str, *issues: tuple[str, Column]) -> DataFrame:
+        found = F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), name) for name, when in issues]))
+        return rows.select(F.lit(entity).alias("entity"), "id", F.explode(found).alias("issue"))
+
+    by_handle, own = F.col("id_namespace") == "handle", F.coalesce("platform_id", F.lit(""))
+    known_state = F.coalesce(F.col("review_status").isin(*REVIEW_STATES), F.lit(False))
+    shared = _link_facts(links).where("_personas > 1").select("id")
+    return reduce(DataFrame.unionByName, [
+        told(accounts, "account", ("platform_mapped_to_other", ~F.coalesce(F.col("platform").isin(PLATFORMS), F.lit(False))),
+             ("handle_namespace_distinct_platform_id", by_handle & (own != "") & (own != F.coalesce("handle", F.lit("")))),
+             ("missing_canonical_url", F.coalesce("url", F.lit("")) == ""), ("platform_id_is_handle", by_handle)),
+        told(links, "link", ("unmapped_review", ~known_state)),
+        told(shared, "account", ("open_links_multiple_personas", F.lit(True))),
+        told(affiliations, "affiliation", ("blank_organization", F.trim(F.coalesce("organization", F.lit(""))) == "")),
+    ])
+
+
 def agencies(confirmed: DataFrame) -> DataFrame:
     """Channels of each agency, the largest first, and the persons among them that have several channels."""
     agency = F.coalesce("agency", F.lit("Independent"))

@@ -117,13 +117,18 @@ def public_videos(videos: DataFrame) -> DataFrame:
 
 
 def reviewed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Candidates after a review: (candidate_id, review_status, channel_id, roles, problem).
+    """Candidates after a review: (candidate_id, review_status, channel_id, roles, problem, history).
 
     ``candidates``: candidate_id, discovered_at, source_refs, review_status. ``reviews``: candidate_id, decision, reviewer,
     reason, reviewed_at, source_refs, roles, presentation_format, is_virtual_creator, verified_channel_id. A review that a
-    guard stops changes nothing and names the guard.
+    guard stops changes nothing and names the guard; a time or a format that is missing is no valid one. ``history`` is the
+    candidates' (an array, if they have that column) and the entry of a review that no guard stopped.
     """
-    old = candidates.select("candidate_id", "discovered_at", F.col("source_refs").alias("known_refs"), F.col("review_status").alias("old_status"))
+    entry = "struct<decision: string, reviewer: string, reviewed_at: timestamp, reason: string, source_refs: array<string>>"
+    past = F.col("history") if "history" in candidates.columns else F.array()
+    old = candidates.select(
+        "candidate_id", "discovered_at", F.col("source_refs").alias("known_refs"), F.col("review_status").alias("old_status"), past.cast(f"array<{entry}>").alias("past")
+    )
     joined = old.join(reviews, "candidate_id", "left")
     refs, roles = F.coalesce("source_refs", F.array().cast("array<string>")), F.coalesce("roles", F.array().cast("array<string>"))
 
@@ -133,9 +138,9 @@ def reviewed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
     approved = F.col("decision") == "approved"
     problem = (
         F.when(F.col("decision").isNull(), F.lit(None).cast("string")).when(~F.col("decision").isin(DECISIONS) | blank("reviewer") | blank("reason"), "incomplete")
-        .when(F.col("reviewed_at") < F.col("discovered_at"), "before_discovery")
+        .when(F.coalesce(F.col("reviewed_at") < F.col("discovered_at"), F.lit(True)), "before_discovery")
         .when((F.size(refs) == 0) | (F.size(F.array_except(refs, "known_refs")) > 0), "unknown_evidence")
-        .when(F.size(F.array_except(roles, F.array(*map(F.lit, ROLES)))) > 0, "unknown_role").when(~F.col("presentation_format").isin(FORMATS), "unknown_format")
+        .when(F.size(F.array_except(roles, F.array(*map(F.lit, ROLES)))) > 0, "unknown_role").when(F.coalesce(~F.col("presentation_format").isin(FORMATS), F.lit(True)), "unknown_format")
         .when(F.col("verified_channel_id").isNotNull() & ~F.col("verified_channel_id").rlike("^UC[A-Za-z0-9_-]{22}$"), "bad_channel_id")
         .when(approved & ((F.size(roles) == 0) | F.col("is_virtual_creator").isNull()), "approval_without_roles")
     )
@@ -144,9 +149,42 @@ def reviewed(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
         "candidate_id", F.when(held, F.col("old_status")).otherwise(F.col("decision")).alias("review_status"),
         F.when(~held & approved, F.col("verified_channel_id")).alias("channel_id"),
         F.when(~held, F.array_join(F.array_sort(F.array_distinct(roles)), ",")).alias("roles"), problem.alias("problem"),
+        F.concat("past", F.when(held, F.array().cast(f"array<{entry}>")).otherwise(F.array(F.struct("decision", "reviewer", "reviewed_at", "reason", "source_refs").cast(entry)))).alias("history"),
     )
 
 
+def candidate(raw: DataFrame, discovered_at: Column) -> DataFrame:
+    """Raw finds (candidate_id, source_url, channel_id, name, title, handle, description) as candidates without a decision,
+    and a problem where one has no id or no source."""
+
+    def filled(c: str) -> Column:
+        return F.nullif(F.col(c), F.lit(""))
+
+    problem = F.when(filled("candidate_id").isNull() | filled("source_url").isNull(), "no_id_or_source")
+    return raw.select(
+        "candidate_id", filled("channel_id").alias("proposed_channel_id"), F.coalesce(filled("name"), filled("title"), "candidate_id").alias("label"),
+        F.array_compact(F.array(filled("handle"))).alias("aliases"), discovered_at.alias("discovered_at"), F.coalesce("description", F.lit("")).alias("self_description"),
+        F.array_compact(F.array(filled("source_url"))).alias("source_refs"), F.lit("needs-evidence").alias("review_status"), problem.alias("problem"),
+    )
+
+
+def approved_manifest(items: DataFrame) -> DataFrame:
+    """Approved channels, one row each: channel_id, candidates, aliases and source_refs (united, sorted), discovered_at (the
+    first), roles, presentation_format, is_virtual_creator, conflict. Only equal channel ids merge. Items of one channel
+    that differ in a decision are in conflict: their row has no decision and waits for a reviewer."""
+    approved = items.where("review_status = 'approved' AND channel_id IS NOT NULL")
+    decision = ["roles", "presentation_format", "is_virtual_creator"]
+    grouped = approved.groupBy("channel_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_refs")))).alias("source_refs"), F.min("discovered_at").alias("discovered_at"),
+        F.collect_set(F.to_json(F.struct(*decision), {"ignoreNullFields": "false"})).alias("decisions"), F.min(F.struct(*decision)).alias("d"),
+    )
+    conflict = F.size("decisions") > 1
+    return grouped.select(
+        "channel_id", "candidates", "aliases", "source_refs", "discovered_at", *[F.when(~conflict, F.col(f"d.{c}")).alias(c) for c in decision], conflict.alias("conflict")
+    )
+
+
 def change_problems(changes: DataFrame, tables: list[str]) -> DataFrame:
     """Rows (table_name, id) of a change file with what is wrong with them; an empty result means it can be applied."""
     problem = F.when(~F.col("table_name").isin(tables) | F.col("table_name").isNull(), "unknown_table").when(F.coalesce(F.trim("id"), F.lit("")) == "", "no_id")
@@ -205,19 +243,39 @@ def keep_first(existing: DataFrame, changes: DataFrame, key: str, frozen: list[s
     return joined.select(F.coalesce(key, "_key").alias(key), *[v.alias(c) for c, v in value.items()])
 
 
-def identity_problems(events: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(channel_id, problem) of curated events (channel_id, subject_channel_id, subject_name, source_subject, source_agency)
-    against the manifest (channel_id, name, agency): the first rule that an event breaks."""
+#: Pages of groups rather than of persons, and marks of a group's page in a reference (fixed values).
+GROUP_PAGES = ("AStars", "Algorhythm_Project", "Virtual_Zeven")
+GROUP_MARKS = ("arp_vtuber", "pixelaproject", "astarsofficial", "polygonofficial", "algorhythm_project", "/wiki/astars", "/wiki/virtual_zeven")
+
+
+def identity_problems(events: DataFrame, manifest: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(channel_id, problem) of curated events (channel_id, subject_channel_id, subject_name, source_subject, source_agency
+    and, if there, source_reference) against the manifest (channel_id, name, agency) and, if given, the registry
+    (channel_id, name): the first rule that an event breaks. A reference to a wiki page must name the subject or a part of
+    it; a reference to a group's page does not prove a person who is independent."""
 
-    def plain(c: str) -> Column:
-        return F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\W_]", ""))
+    def plain(c: str | Column) -> Column:
+        text = F.col(c) if isinstance(c, str) else c
+        return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\W_]", ""))
 
-    joined = events.join(manifest.select("channel_id", "name", "agency"), "channel_id", "left")
+    told = events if "source_reference" in events.columns else events.withColumn("source_reference", F.lit(None).cast("string"))
+    joined = told.join(manifest.select("channel_id", "name", "agency"), "channel_id", "left")
+    known = (manifest if registry is None else registry).select("channel_id", F.col("name").alias("registry_name"))
+    joined = joined.join(known, "channel_id", "left")
     claims = joined.groupBy(plain("subject_name").alias("claim")).agg(F.countDistinct("channel_id").alias("claimed_by"))
     joined = joined.withColumn("claim", plain("subject_name")).join(claims, "claim")
+    reference = F.coalesce("source_reference", F.lit(""))
+    path = F.regexp_extract(reference, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    last = F.coalesce(F.try_url_decode(F.regexp_extract(path, "([^/]*)$", 1)), F.lit(""))
+    slug = plain(last)
+    wiki = F.contains(reference, F.lit("/wiki/")) & ~last.isin(*GROUP_PAGES)
+    independent = F.col("agency") == "Independent"
     problem = (
-        F.when(F.col("name").isNull(), "unknown_channel").when(F.col("subject_channel_id") != F.col("channel_id"), "other_subject")
+        F.when(F.col("name").isNull() | F.col("registry_name").isNull(), "unknown_channel").when(~F.col("subject_channel_id").eqNullSafe(F.col("channel_id")), "other_subject")
         .when((F.col("claim") == "") | (plain("source_subject") != F.col("claim")), "source_names_other").when(~plain("name").contains(F.col("claim")), "manifest_names_other")
-        .when(F.col("claimed_by") > 1, "claimed_twice").when((F.col("agency") == "Independent") & ~F.coalesce("source_agency", F.lit("")).startswith("Independent"), "agency_on_independent")
+        .when(~plain("registry_name").contains(F.col("claim")), "registry_names_other").when(F.col("claimed_by") > 1, "claimed_twice")
+        .when(wiki & ~F.contains(F.col("claim"), slug) & ~F.contains(slug, F.col("claim")), "page_names_other")
+        .when(independent & ~F.coalesce("source_agency", F.lit("")).startswith("Independent"), "agency_on_independent")
+        .when(independent & F.lower(reference).rlike("|".join(GROUP_MARKS)), "group_page_on_independent")
     )
     return joined.select("channel_id", problem.alias("problem")).where("problem is not null")

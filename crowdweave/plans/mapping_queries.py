@@ -116,3 +116,77 @@ def stable_ids(r: Roles) -> DataFrame:
         F.concat(F.lit("acc"), n).alias("id"), mapping.stable_id("persona", F.concat(F.lit("  "), F.upper("c_name"), F.lit(" \t\n X "))).alias("persona_id"),
         mapping.account_id(platform, own, F.concat(F.lit("https://example.org/"), n)).alias("account_id"),
     )
+
+
+def _dated_links(r: Roles) -> DataFrame:
+    """Links with reviewers, spans and evidence, from their orders; some states are none that the mapping knows."""
+    key = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderpriority") == "5-LOW", "odd").otherwise("rejected")
+    return r.table("orders").select(
+        F.concat(F.lit("lnk"), key).alias("id"), F.concat(F.lit("acc"), F.col("o_custkey")).alias("account_id"), F.concat(F.lit("per"), key % 97).alias("persona_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_from"), F.when(F.col("o_totalprice") < 60000, "2024-01-01").alias("valid_to"),
+        F.concat(F.lit("ev"), F.col("o_custkey")).alias("evidence_id"), state.alias("review_status"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("reviewer"), F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("reviewed_at"),
+    )
+
+
+def _evidence(r: Roles) -> DataFrame:
+    """Evidence for customers that are not in debt."""
+    return r.table("customer").where("c_acctbal >= 0").select(F.concat(F.lit("ev"), "c_custkey").alias("id"), F.concat(F.lit("https://example.org/e/"), "c_custkey").alias("url"))
+
+
+@query("", """
+    SELECT 'lnk' || o_orderkey AS id, 'per' || (o_orderkey % 97) AS persona_id, 'acc' || o_custkey AS account_id, CASE WHEN o_totalprice < 60000 THEN 'former' ELSE 'official' END AS link_type,
+        strftime(o_orderdate, '%Y-%m-%d') AS valid_from, CASE WHEN o_totalprice < 60000 THEN '2024-01-01' ELSE '' END AS valid_to,
+        coalesce('https://example.org/e/' || c_custkey, '') AS source_url, CASE WHEN o_orderstatus = 'F' THEN 'verified' WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE 'rejected' END AS review_status,
+        CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '' END AS reviewer, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS reviewed_at
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0""")
+def mapped_links(r: Roles) -> DataFrame:
+    return mapping.canonical_links(_dated_links(r), _evidence(r))
+
+
+@query("", """
+    SELECT 'aff' || c_custkey AS id, 'per' || (c_custkey % 97) AS persona_id, CASE WHEN trim(c_mktsegment) = 'MACHINERY' THEN '' ELSE 'org_' || substr(sha256(lower(c_mktsegment)), 1, 20) END AS organization_id,
+        'talent' AS role, '' AS valid_from, '' AS valid_to, CASE WHEN c_acctbal >= 0 THEN 'https://example.org/e/' || c_custkey ELSE '' END AS source_url,
+        CASE WHEN c_acctbal > 5000 THEN 'verified' ELSE 'pending' END AS review_status, '' AS reviewer, '' AS reviewed_at FROM customer""")
+def mapped_affiliations(r: Roles) -> DataFrame:
+    """Segments as organizations, in two spellings, one of them blank."""
+    name = F.when(F.col("c_mktsegment") == "MACHINERY", "  ").when(F.col("c_acctbal") > 0, F.concat(F.lit(" "), F.lower("c_mktsegment"))).otherwise(F.col("c_mktsegment"))
+    none = F.lit(None).cast("string")
+    rows = r.table("customer").select(
+        F.concat(F.lit("aff"), "c_custkey").alias("id"), F.concat(F.lit("per"), F.col("c_custkey") % 97).alias("persona_id"), name.alias("organization"),
+        none.alias("valid_from"), none.alias("valid_to"), F.concat(F.lit("ev"), "c_custkey").alias("evidence_id"),
+        F.when(F.col("c_acctbal") > 5000, "verified").otherwise("unknown").alias("review_status"), none.alias("reviewer"), none.alias("reviewed_at"),
+    )
+    return mapping.canonical_affiliations(rows, _evidence(r))
+
+
+@query("", """
+    SELECT 'e' || event_id AS id, 'per' || user_id AS persona_id, CASE event_type WHEN 'signup' THEN 'debut' WHEN 'error' THEN 'graduation' WHEN 'purchase' THEN 'rebrand' ELSE 'other' END AS event_type,
+        strftime(ts, '%Y-%m-%d') AS event_date, coalesce('https://example.org/e/' || c_custkey, '') AS source_url, CASE WHEN value > 50 THEN 'verified' ELSE 'pending' END AS review_status
+    FROM events LEFT JOIN customer ON c_custkey = user_id AND c_acctbal >= 0""")
+def mapped_events(r: Roles) -> DataFrame:
+    kinds = F.when(F.col("event_type") == "signup", "debut").when(F.col("event_type") == "error", "graduation").when(F.col("event_type") == "purchase", "rebrand").when(F.col("event_type") == "view", "seen")
+    rows = r.table("events").select(
+        F.concat(F.lit("e"), "event_id").alias("event_id"), F.concat(F.lit("per"), "user_id").alias("persona_id"), kinds.alias("event_type"),
+        F.date_format("ts", "yyyy-MM-dd").alias("event_date"), F.concat(F.lit("ev"), "user_id").alias("evidence_id"), F.when(F.col("value") > 50, "verified").alias("review_status"),
+    )
+    return mapping.canonical_events(rows, _evidence(r))
+
+
+@query("links", f"""
+    WITH {_OLD}, l AS (
+        SELECT 'lnk' || o_orderkey AS id, 'acc' || o_custkey AS account_id, 'per' || (o_orderkey % 97) AS persona_id, o_totalprice < 60000 AS over,
+            CASE WHEN o_orderstatus = 'F' THEN 'verified' WHEN o_orderpriority = '5-LOW' THEN 'odd' ELSE 'rejected' END AS st FROM orders
+    )
+    SELECT 'account' AS entity, id, 'platform_mapped_to_other' AS issue FROM old WHERE platform = 'mixer'
+    UNION ALL SELECT 'account', id, 'handle_namespace_distinct_platform_id' FROM old WHERE id_namespace = 'handle' AND platform_id <> coalesce(handle, '')
+    UNION ALL SELECT 'account', id, 'missing_canonical_url' FROM old WHERE url IS NULL
+    UNION ALL SELECT 'account', id, 'platform_id_is_handle' FROM old WHERE id_namespace = 'handle'
+    UNION ALL SELECT 'link', id, 'unmapped_review' FROM l WHERE st = 'odd'
+    UNION ALL SELECT 'account', account_id, 'open_links_multiple_personas' FROM l WHERE NOT over AND st <> 'rejected' GROUP BY account_id HAVING count(DISTINCT persona_id) > 1
+    UNION ALL SELECT 'affiliation', 'aff' || c_custkey, 'blank_organization' FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def mapping_decisions(r: Roles) -> DataFrame:
+    segment = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment"))
+    affiliations = r.table("customer").select(F.concat(F.lit("aff"), "c_custkey").alias("id"), segment.alias("organization"))
+    return mapping.mapping_issues(_old_accounts(r), _dated_links(r), affiliations)

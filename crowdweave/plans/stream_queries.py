@@ -11,27 +11,27 @@ from crowdweave.streaming import catalog, enrichment, interactions
 
 _ITEMS = """
     lines AS (
-        SELECT 'v' || l_orderkey AS video_id, l_orderkey AS k, l_linenumber - 1 AS n, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS lines,
-            'c' || l_orderkey || '.' || l_linenumber AS record_id, CASE WHEN l_partkey % 41 <> 0 THEN 'u' || l_suppkey END AS viewer_id,
-            strftime(l_shipdate, '%Y-%m-%d') AS published_at, CAST(l_quantity AS INTEGER) % 3 AS replies FROM lineitem
+        SELECT 'v' || l_orderkey AS video_id, l_orderkey AS k, n, lines, 'c' || l_orderkey || '.' || n AS record_id, CASE WHEN l_partkey % 41 <> 0 THEN 'u' || l_suppkey END AS viewer_id,
+            strftime(l_shipdate, '%Y-%m-%d') AS published_at, CAST(l_quantity AS INTEGER) % 3 AS replies
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity) - 1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM lineitem)
     ), tops AS (
-        SELECT video_id, CAST(NULL AS VARCHAR) AS parent_id, n // 3 AS ordinal, n % 3 AS at, least(3, lines - n // 3 * 3) AS size, n // 3 = (lines - 1) // 3 AS last,
+        SELECT video_id, CAST(NULL AS VARCHAR) AS parent_id, n // 3 AS ordinal, n % 3 AS place, least(3, lines - n // 3 * 3) AS size, n // 3 = (lines - 1) // 3 AS last,
             record_id, viewer_id, published_at, replies FROM lines WHERE NOT (k % 5 = 0 AND n = 4)
     ), answers AS (
-        SELECT video_id, record_id AS parent_id, j AS ordinal, 0 AS at, 1 AS size, j = replies - 1 AS last, record_id || '.r' || j AS record_id,
+        SELECT video_id, record_id AS parent_id, j AS ordinal, 0 AS place, 1 AS size, j = replies - 1 AS last, record_id || '.r' || j AS record_id,
             'u' || j AS viewer_id, published_at, 0 AS replies FROM lines, range(0, 3) AS s(j) WHERE j < replies AND NOT (k % 7 = 0 AND j = 0)
     ), items AS (SELECT * FROM tops UNION ALL SELECT * FROM answers)"""
 
 
 def thread_items(r: Roles) -> DataFrame:
     """Lines as comments, three a page, and their replies, one a page. Some items never came; some have no viewer."""
-    n, order = F.col("l_linenumber") - 1, F.col("l_orderkey")
-    lines = r.table("lineitem")
-    total = lines.groupBy(order.alias("l_orderkey")).agg(F.max("l_linenumber").alias("lines"))
-    page = F.floor(n / 3).cast("int")
-    base = lines.join(total, "l_orderkey").select(
-        F.concat(F.lit("v"), order).alias("video_id"), order.alias("k"), n.cast("int").alias("n"), page.alias("page"), "lines",
-        F.concat(F.lit("c"), order, F.lit("."), "l_linenumber").alias("record_id"), F.when(F.col("l_partkey") % 41 != 0, F.concat(F.lit("u"), "l_suppkey")).alias("viewer_id"),
+    n, order = F.col("n"), F.col("l_orderkey")
+    whole = Window.partitionBy("l_orderkey")
+    place = F.row_number().over(whole.orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_quantity")) - 1
+    lines = r.table("lineitem").withColumns({"n": place, "lines": F.count(F.lit(1)).over(whole)})
+    base = lines.select(
+        F.concat(F.lit("v"), order).alias("video_id"), order.alias("k"), n.cast("int").alias("n"), F.floor(n / 3).cast("int").alias("page"), "lines",
+        F.concat(F.lit("c"), order, F.lit("."), n).alias("record_id"), F.when(F.col("l_partkey") % 41 != 0, F.concat(F.lit("u"), "l_suppkey")).alias("viewer_id"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("published_at"), (F.col("l_quantity").cast("int") % 3).alias("replies"),
     )
     tops = base.where("NOT (k % 5 = 0 AND n = 4)").select(
@@ -54,7 +54,7 @@ def thread_interactions(r: Roles) -> DataFrame:
 
 @query("", f"""
     WITH {_ITEMS}, pages AS (
-        SELECT video_id, coalesce(parent_id, '') AS thread, ordinal, max(size) AS size, count(DISTINCT at) AS seen, bool_or(last) AS last FROM items GROUP BY ALL
+        SELECT video_id, coalesce(parent_id, '') AS thread, ordinal, max(size) AS size, count(DISTINCT place) AS seen, bool_or(last) AS last FROM items GROUP BY ALL
     ), threads AS (
         SELECT video_id, thread, bool_and(seen >= size) AND coalesce(max(ordinal) FILTER (last) + 1 = count(*), false) AS whole FROM pages GROUP BY ALL
     ), counts AS (

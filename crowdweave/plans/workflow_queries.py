@@ -204,7 +204,7 @@ def review_transitions(r: Roles) -> DataFrame:
         F.when(n == 4, "2D").otherwise("mixed").alias("presentation_format"), F.lit(True).alias("is_virtual_creator"),
         F.when(n == 5, "UC1").otherwise(F.concat(F.lit("UC"), F.lpad(k.cast("string"), 22, "0"))).alias("verified_channel_id"),
     )
-    return workflow.reviewed(candidates, reviews)
+    return workflow.reviewed(candidates, reviews).drop("history")
 
 
 @query("", """
@@ -307,3 +307,95 @@ def legacy_presence_migration(r: Roles) -> DataFrame:
     SELECT channel_id, video_id, comments, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 2 ORDER BY md5('42' || channel_id), channel_id, rank LIMIT 40""")
 def balanced_queue(r: Roles) -> DataFrame:
     return selection.balanced(r.videos.select("channel_id", "video_id", "comments"), "channel_id", [F.desc("comments"), "video_id"], 2, 40)
+
+
+def _review_rows(r: Roles) -> tuple[DataFrame, DataFrame]:
+    """Orders as finds, their earliest line as the review of it; times, formats and reviewers are missing here and there."""
+    fields = ["l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+    lines = r.table("lineitem").groupBy("l_orderkey").agg(F.min(F.struct(*fields)).alias("l")).select("l_orderkey", "l.*")
+    rows = r.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    source = F.concat(F.lit("https://example.org/"), "o_orderkey")
+    raw = rows.select(
+        F.concat(F.lit("cand"), "o_orderkey").alias("candidate_id"), source.alias("source_url"), F.lit(None).cast("string").alias("channel_id"), F.lit("").alias("name"),
+        F.col("o_orderpriority").alias("title"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("@h"), "o_custkey")).alias("handle"), F.lit(None).cast("string").alias("description"),
+        F.col("o_orderdate").cast("timestamp").alias("at"),
+    )
+    found = workflow.candidate(raw, F.col("at"))
+    kind = F.col("l_returnflag")
+    reviews = rows.where("l_orderkey IS NOT NULL").select(
+        F.concat(F.lit("cand"), "o_orderkey").alias("candidate_id"), F.when(kind == "R", "rejected").otherwise("approved").alias("decision"),
+        F.when(F.col("l_linestatus") == "F", "first").when(F.col("l_quantity") > 3, "second").alias("reviewer"), F.col("o_orderpriority").alias("reason"),
+        F.when(F.col("l_discount") > 0.005, F.col("l_shipdate").cast("timestamp")).alias("reviewed_at"), F.array(source).alias("source_refs"),
+        F.array(F.when(F.col("l_tax") > 0.07, "owner").otherwise("singer")).alias("roles"), F.when(F.col("l_quantity") < 45, "Live2D").alias("presentation_format"),
+        (F.col("l_partkey") % 2 == 0).alias("is_virtual_creator"), F.concat(F.lit("UC"), F.lpad((F.col("l_suppkey") % 40).cast("string"), 22, "0")).alias("verified_channel_id"),
+    )
+    return found, reviews
+
+
+_REVIEWED = """
+    l AS (
+        SELECT * FROM lineitem QUALIFY row_number() OVER (
+            PARTITION BY l_orderkey ORDER BY l_shipdate, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_partkey, l_suppkey) = 1
+    ),
+    judged AS (
+        SELECT o.*, l.*, CASE WHEN l_orderkey IS NULL THEN NULL
+            WHEN NOT (l_linestatus = 'F' OR l_quantity > 3) THEN 'incomplete'
+            WHEN l_discount <= 0.005 OR l_shipdate < o_orderdate THEN 'before_discovery'
+            WHEN l_tax > 0.07 THEN 'unknown_role' WHEN l_quantity >= 45 THEN 'unknown_format' END AS problem FROM orders AS o LEFT JOIN l ON o_orderkey = l_orderkey
+    ), decided AS (
+        SELECT *, CASE WHEN l_orderkey IS NULL OR problem IS NOT NULL THEN 'needs-evidence' WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END AS status,
+            'UC' || lpad(CAST(l_suppkey % 40 AS VARCHAR), 22, '0') AS channel FROM judged
+    )"""
+
+
+@query("", f"""
+    WITH {_REVIEWED}
+    SELECT 'cand' || o_orderkey AS candidate_id, status AS review_status, CASE WHEN status = 'approved' THEN channel END AS channel_id,
+        CASE WHEN status <> 'needs-evidence' THEN 'singer' END AS roles, problem,
+        CASE WHEN status <> 'needs-evidence' THEN status || ' by ' || CASE WHEN l_linestatus = 'F' THEN 'first' ELSE 'second' END || ' for ' || o_orderpriority || ' from https://example.org/' || o_orderkey ELSE '' END AS history
+    FROM decided""")
+def review_decisions(r: Roles) -> DataFrame:
+    """Reviews with nulls in every guarded field, and what they leave in the history."""
+    found = workflow.reviewed(*_review_rows(r))
+    told = F.transform("history", lambda h: F.concat(h["decision"], F.lit(" by "), h["reviewer"], F.lit(" for "), h["reason"], F.lit(" from "), F.array_join(h["source_refs"], ",")))
+    return found.withColumn("history", F.array_join(told, ";"))
+
+
+@query("", f"""
+    WITH {_REVIEWED}
+    SELECT channel AS channel_id, count(*) AS candidates, count(DISTINCT CASE WHEN o_custkey % 2 = 0 THEN o_custkey END) AS aliases, count(DISTINCT o_orderkey) AS refs,
+        CAST(min(o_orderdate) AS TIMESTAMP) AS discovered_at, CASE WHEN count(DISTINCT l_partkey % 2) = 1 THEN bool_or(l_partkey % 2 = 0) END AS is_virtual_creator,
+        count(DISTINCT l_partkey % 2) > 1 AS conflict
+    FROM decided WHERE status = 'approved' GROUP BY 1""")
+def manifest_channels(r: Roles) -> DataFrame:
+    """Approved finds merged by their channel; those whose decisions differ wait."""
+    candidates, reviews = _review_rows(r)
+    done = workflow.reviewed(candidates, reviews).select("candidate_id", "review_status", "channel_id")
+    items = done.join(candidates.drop("review_status"), "candidate_id").join(reviews.select("candidate_id", "roles", "presentation_format", "is_virtual_creator"), "candidate_id", "left")
+    found = workflow.approved_manifest(items)
+    return found.select("channel_id", "candidates", F.size("aliases").cast("long").alias("aliases"), F.size("source_refs").cast("long").alias("refs"), "discovered_at", "is_virtual_creator", "conflict")
+
+
+@query("", """
+    WITH e AS (
+        SELECT c_custkey AS k, 'c' || c_custkey AS channel_id, c_nationkey % 2 = 0 AS independent, c_acctbal < 0 AS in_debt, c_mktsegment AS seg, s_name IS NOT NULL AS registered
+        FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 120
+    )
+    SELECT channel_id, CASE WHEN NOT registered THEN 'unknown_channel' WHEN seg = 'BUILDING' AND in_debt THEN 'registry_names_other'
+        WHEN seg = 'MACHINERY' THEN 'page_names_other' WHEN independent AND in_debt THEN 'agency_on_independent' WHEN independent AND seg = 'FURNITURE' THEN 'group_page_on_independent' END AS problem
+    FROM e WHERE NOT registered OR (seg = 'BUILDING' AND in_debt) OR seg = 'MACHINERY' OR (independent AND (in_debt OR seg = 'FURNITURE'))""")
+def identity_rules(r: Roles) -> DataFrame:
+    """Pages, registry names and group pages of customers' accounts."""
+    known = r.table("supplier").select(F.col("s_suppkey").alias("n"), "s_name")
+    rows = r.table("customer").join(known, F.col("c_custkey") % 120 == F.col("n"), "left").withColumn("channel_id", F.concat(F.lit("c"), "c_custkey"))
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    short = F.regexp_replace(name, "[^0-9]", "")
+    page = F.when(segment == "MACHINERY", "Somebody_Else").when(segment == "HOUSEHOLD", F.concat(F.lit("Customer%23"), short)).otherwise(F.replace(name, F.lit("#"), F.lit("_")))
+    reference = F.when(segment == "FURNITURE", "https://example.org/wiki/Virtual_Zeven").when(segment == "AUTOMOBILE", "https://example.org/about").otherwise(F.concat(F.lit("https://example.org/wiki/"), page))
+    events = rows.select(
+        "channel_id", F.col("channel_id").alias("subject_channel_id"), name.alias("subject_name"), F.upper(name).alias("source_subject"),
+        F.when(F.col("c_acctbal") < 0, "Group").otherwise("Independent talent").alias("source_agency"), reference.alias("source_reference"),
+    )
+    manifest = rows.select("channel_id", F.concat(name, F.lit(" ch.")).alias("name"), F.when(F.col("c_nationkey") % 2 == 0, "Independent").otherwise("Group").alias("agency"))
+    registered = F.when((segment == "BUILDING") & (F.col("c_acctbal") < 0), "other name").otherwise(name)
+    return workflow.identity_problems(events, manifest, rows.where("s_name IS NOT NULL").select("channel_id", registered.alias("name")))
