@@ -5,9 +5,10 @@ frequency sends one row per task. Lines whose estimate lies clearly above ``min_
 below are not, and those within the sketch's error of it get exact distinct counts. A boilerplate line stays where it
 occurs first (lowest doc_id, then position) and goes from everywhere else, so no text is lost altogether.
 
-Lines are compared without outer spaces; those under ``min_chars`` characters are left alone. Defined results: null
-texts stay null and have no lines; a null site counts as the site ''; a null doc_id comes first; rows with equal doc_id
-and text are treated alike; all columns of ``docs`` are kept whatever their names; an empty table stays empty.
+Lines are compared without outer spaces; every line that is not empty is judged, whatever its length. Lines and
+documents are told by two 64-bit hashes each. Defined results: null texts stay null and have no lines; a null site counts
+as the site ''; a null doc_id comes first; rows with equal doc_id and text are treated alike; a very long text is worked
+on whole; all columns of ``docs`` are kept whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,26 +19,24 @@ from pyspark.sql import functions as F
 from crowdweave.llm.common import cut
 
 MIN_SITES = 10
-MIN_CHARS = 20
 #: 2**LG_K registers: a relative standard error of 1.04 / 2**(LG_K / 2), 1.6 per cent.
 LG_K = 12
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str, site_column: str, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, id_column: str, text_column: str, site_column: str) -> DataFrame:
     exploded = docs.select(
-        F.col(id_column).alias("id"), F.xxhash64(id_column, text_column).alias("key"),
+        F.col(id_column).alias("id"), F.xxhash64(id_column, text_column).alias("key"), F.xxhash64(F.lit(1), id_column, text_column).alias("also"),
         F.coalesce(F.col(site_column).cast("string"), F.lit("")).alias("site"),
         F.posexplode(F.transform(F.split(text_column, "\n"), F.trim)).alias("pos", "line"),
     )
-    long_enough = exploded.where(F.length("line") >= min_chars)
-    return long_enough.select("id", "key", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return exploded.where(F.col("line") != "").select("id", "key", "also", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """Line hashes (h, g) found on at least ``min_sites`` sites, with the place where each occurs first."""
     error = max(1.0, 3 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     spread = lines.groupBy("h", "g").agg(
-        F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("id", "key", "pos")).alias("first")
+        F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("id", "key", "also", "pos")).alias("first")
     )
     spread = spread.withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= min_sites - error).drop("sketch")
     near = F.col("sites") <= min_sites + error
@@ -49,19 +48,18 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def line_dedup(
-    docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, id_column: str = "doc_id",
-    text_column: str = "text", site_column: str = "source",
+    docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source"
 ) -> DataFrame:
     """All documents with their columns: ``row`` (a struct of them, its text without boilerplate), n_lines, n_removed."""
-    lines = _lines(docs, id_column, text_column, site_column, min_chars)
+    lines = _lines(docs, id_column, text_column, site_column)
     # a written table: the join that follows can then split the rows of a very common line over many tasks
     hits = lines.join(cut(boilerplate(lines, min_sites)), ["h", "g"])
-    again = ~(hits["first.id"].eqNullSafe(hits["id"]) & (hits["first.key"] == hits["key"]) & (hits["first.pos"] == hits["pos"]))
-    # rows with equal doc_id and text share a key; their positions are the same
-    removed = hits.where(again).groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
+    again = ~(hits["first.id"].eqNullSafe(hits["id"]) & (hits["first.key"] == hits["key"]) & (hits["first.also"] == hits["also"]) & (hits["first.pos"] == hits["pos"]))
+    # rows with equal doc_id and text share their keys; their positions are the same
+    removed = hits.where(again).groupBy(F.col("key").alias("_key"), F.col("also").alias("_also")).agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     names = docs.columns
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(id_column, text_column).alias("_key"))
-    found = base.join(removed, "_key", "left")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(id_column, text_column).alias("_key"), F.xxhash64(F.lit(1), id_column, text_column).alias("_also"))
+    found = base.join(removed, ["_key", "_also"], "left")
     text = F.col("row").getField(text_column)
     split = F.split(text, "\n")
     bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(split)))

@@ -93,7 +93,7 @@ ORACLE_SQL: dict[str, str] = {
         ), lines AS (
             SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM parts
         ), keyed AS (
-            SELECT *, trim(line) AS k, length(trim(line)) >= {line_dedup.MIN_CHARS} AS judged FROM lines
+            SELECT *, trim(line) AS k, trim(line) <> '' AS judged FROM lines
         ), spread AS (
             SELECT k FROM keyed WHERE judged GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= {line_dedup.MIN_SITES}
         ), marked AS (

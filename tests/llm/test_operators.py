@@ -151,14 +151,14 @@ def test_line_dedup(docs):
     sites, first = defaultdict(set), {}
     for r in sorted(rows, key=lambda r: r.doc_id):
         for i, line in enumerate((r.text or "").split("\n")):
-            if len(k := line.strip(" ")) >= line_dedup.MIN_CHARS:
+            if k := line.strip(" "):
                 sites[k].add(r.source or "")
                 first.setdefault(k, (r.doc_id, i))
     for least in (2, 3):
         expected = []
         for r in rows:
             lines = [] if r.text is None else r.text.split("\n")
-            keep = [x for i, x in enumerate(lines) if len(k := x.strip(" ")) < line_dedup.MIN_CHARS or len(sites[k]) < least or first[k] == (r.doc_id, i)]
+            keep = [x for i, x in enumerate(lines) if not (k := x.strip(" ")) or len(sites[k]) < least or first[k] == (r.doc_id, i)]
             expected.append((r.doc_id, len(lines), len(lines) - len(keep), None if r.text is None else "\n".join(keep)))
         found = line_dedup.line_dedup(docs, min_sites=least).select("row.doc_id", "n_lines", "n_removed", "row.text").collect()
         assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
