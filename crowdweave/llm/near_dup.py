@@ -6,7 +6,8 @@ their text order, so that texts share a value if they share k-mers and their ord
 candidates. A pair is verified by aligning the labelled k-mers in order, within the band of offsets that the threshold
 allows: aligned / (all - aligned) must reach ``threshold``, an ordered Jaccard coefficient.
 
-Texts with equal words are one vertex. Round one compares each vertex with the bucket leader it shares most values
+Texts with equal words are one vertex, told by a 160-bit cryptographic digest of the words (no two texts with one are
+known). Round one compares each vertex with the bucket leader it shares most values
 with; the links form a forest, whose roots name the components. Round two takes every candidate pair whose vertices lie
 in different components (a pair inside one component cannot change a class), so no link between classes is lost and a
 bucket of near copies costs a comparison for each member, not for each pair. A bucket whose components leave many pairs
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +121,13 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return bool(m) and m >= threshold * (len(a) + len(b) - m) - 1e-9
 
 
+def identity(text: bytes) -> bytes:
+    """What texts with equal words share: a digest of the (lower-cased) words with one space between them."""
+    return blake2b(b" ".join(text.split()), digest_size=20).digest()
+
+
 def _shingled(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Slices of the texts: first row, row after the last, word hashes, each row's first word, labelled k-mers of each row."""
+    """Slices of the texts: first row, row after the last, their bytes (lower-cased) and offsets, labelled k-mers of each row."""
     for i, j, data, off in B.slices(column, SLICE):
         data = _LOWER[data]
         starts, ends, row = B.words(data, off)
@@ -129,18 +136,13 @@ def _shingled(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         shingles = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
         for k in range(SHINGLE):
             shingles = B.mix(shingles + h[k : k + len(shingles)])
-        yield i, j, h, first, [labelled(shingles[a : max(a, b - SHINGLE + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        yield i, j, data, off, [labelled(shingles[a : max(a, b - SHINGLE + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, h, first, keys in _shingled(batch.column(1)):
-            pow_r = B.powers(int(np.diff(first).max(initial=0)) + 1)[0]
-            other = B.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            nodes = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                weights = pow_r[: b - a]
-                nodes.append(np.array([(h[a:b] * weights).sum(), (other[a:b] * weights).sum()], np.uint64).tobytes() + int(b - a).to_bytes(4, "big"))
+        for i, j, data, off, keys in _shingled(batch.column(1)):
+            nodes = [identity(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
             values = list(map(sketch, keys))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
             yield pa.RecordBatch.from_arrays(

@@ -429,6 +429,15 @@ def test_groups_of_copies_that_only_the_original_joins(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def test_unlike_texts_whose_polynomial_hashes_collide_both_stay(spark):
+    """Two words in Thue-Morse order, and with the words exchanged: any polynomial hash modulo 2**64 is equal."""
+    order = [bin(k).count("1") % 2 for k in range(1024)]
+    rows = [(n, " ".join("ab"[bit ^ n] for bit in order)) for n in range(2)] + [(2, " ".join("ab"[bit] for bit in order).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dup.classes(docs).collect()} == {(0, 0), (1, 1), (2, 0)}
+    assert {r.doc_id for r in near_dup.one_of_each(docs).collect()} == {0, 1}
+
+
 def test_one_row_of_a_class_stays_where_ids_repeat(spark):
     near = PROSE.replace("gamma", "delta", 1)
     rows = [(3, PROSE), (5, near), (5, LONG), (5, LONG), (None, PROSE), (None, "other words of a text without id"), (7, LONG + " tail")]
