@@ -2,10 +2,10 @@
 
     turn = "###" [ "\\" ] " " role ": " text "</turn>" line feed
 
-A turn is rendered plainly, parsed again, and compared with its source. If they differ, it is rendered with escapes
-(marked by the backslash in its head): backslashes are doubled, and one more breaks "</turn>", "##" and the ": " of a
-role; the parser takes one backslash off each escaped character. The plain form stays wherever it reads back alike.
-A turn whose escaped form does not read back either stops the job. A
+A turn is rendered plainly, parsed again, and compared with its source. The parser takes no control string ("</turn>",
+"###") inside a role or a text, wherever it stands. If the turns differ, the turn is rendered with escapes (marked by the
+backslash in its head): backslashes are doubled, and one more breaks "</turn>", "##" and the ": " of a role; the parser
+takes one backslash off each escaped character. The plain form stays wherever it reads back alike. A turn whose escaped form does not read back either stops the job. A
 conversation is its turns, one after the other, and is parsed once more as a whole. ``loss_mask`` says, turn by turn,
 which code points of the formatted conversation a model is trained on: those of the trained role's texts, as escaped.
 
@@ -56,7 +56,8 @@ def parse(formatted: Column) -> Column:
     def turn(x: Column) -> Column:
         marked = F.regexp_extract(x, _HEAD, 1) == "\\"
         role, text = F.regexp_extract(x, _HEAD, 2), F.regexp_extract(x, _HEAD, 3)
-        valid = F.regexp_like(x, F.lit(_HEAD))
+        free = ~F.contains(x, F.lit("</turn>")) & ~F.contains(F.substring(x, 4, 1 << 30), F.lit("###"))
+        valid = F.regexp_like(x, F.lit(_HEAD)) & free
         return F.struct(
             F.when(valid, F.when(marked, _unescape(role)).otherwise(role)).alias("role"),
             F.when(valid, F.when(marked, _unescape(text)).otherwise(text)).alias("text"),

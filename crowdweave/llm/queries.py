@@ -110,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '{TRAP_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{TRAP_TEXT}'
         ), forms AS (
-            SELECT *, contains(role || chr(1) || text, '</turn>' || chr(10)) OR contains(role, ': ') AS marked,
+            SELECT *, contains(role || chr(1) || text, '</turn>') OR contains(role || chr(1) || text, '###') OR contains(role, ': ') AS marked,
                 replace(replace(replace(text, '\\', '\\\\'), '</turn>', '<\\/turn>'), '##', '#\\#') AS etext,
                 replace(replace(replace(replace(role, '\\', '\\\\'), '</turn>', '<\\/turn>'), '##', '#\\#'), ': ', ':\\ ') AS erole
             FROM turns

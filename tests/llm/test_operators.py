@@ -539,6 +539,8 @@ def test_chat(spark):
     for c, k, r, t, _ in rows:
         source[c].append((k, r or "", t or ""))
     for r in parsed.collect():
+        # control strings stand at the turns' own ends and heads only
+        assert r.formatted.count("</turn>") == len(r.turns) == len(re.findall("###", r.formatted))
         assert [(x.role, x.text) for x in r.turns] == [(a, b) for _, a, b in sorted(source[r.conv_id])]
         for m, (_, a, b) in zip(r.loss_mask, sorted(source[r.conv_id]), strict=True):
             assert (m is None) == (a != "assistant")
