@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdweave.sources.shared import written
+
 
 def top_per_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """The first k rows of each group; Spark filters ranks before and after the shuffle."""
@@ -35,16 +37,21 @@ def per_year(rows: DataFrame, done: DataFrame) -> DataFrame:
 def rotating(rows: DataFrame, key: str, cursor: int, size: int) -> DataFrame:
     """The ``size`` rows after a cursor in key order, wrapping around: a page of a round robin.
 
-    Only the keys are numbered in one place, and only up to the page: rows before and after the cursor are top-k's.
+    Keys are numbered range by range (a sort, then each partition's offset), and the page is a filter on the numbers, so
+    no task holds more than its range. Rows with equal keys have one order only if the key is unique.
     """
-    count = rows.count()
+    ranged = rows.select(F.col(key).alias("_key")).sort("_key").select("_key", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    ranged = written(ranged)  # the numbering must not be drawn twice
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    count = sum(sizes.values())
     if not count:
         return rows.limit(0)
-    start = cursor % count
-    ordered = rows.orderBy(key)
-    page = ordered.offset(start).limit(size)
-    over = min(size, count) - (count - start)
-    return page.unionByName(ordered.limit(over)) if over > 0 else page
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets += [F.lit(part), F.lit(before - (part << 33))]
+        before += sizes[part]
+    place = F.pmod(F.col("_at") + F.create_map(*offsets)[F.col("_part")] - cursor % count, F.lit(count))
+    return rows.join(ranged.where(place < size).select("_key"), rows[key].eqNullSafe(F.col("_key")), "left_semi")
 
 
 def jobs(candidates: DataFrame, sources: list[str], priorities: DataFrame) -> DataFrame:
@@ -54,6 +61,11 @@ def jobs(candidates: DataFrame, sources: list[str], priorities: DataFrame) -> Da
     return known.select(F.concat_ws(":", "channel_id", "source").alias("job_id"), "channel_id", "source", F.coalesce("priority", F.lit(1.0)).alias("priority"))
 
 
+def greedy(rated: DataFrame, workers: int) -> DataFrame:
+    """The ``workers`` rows of highest priority, assigned; ties go to the lower id."""
+    return rated.orderBy(F.desc("priority"), "id").limit(workers).withColumn("status", F.lit("ASSIGNED"))
+
+
 def claimable(rows: DataFrame, k: int) -> DataFrame:
     """The next jobs by priority, age and id."""
     return rows.where("status = 'pending'").orderBy(F.desc("priority"), "created_at", "job_id").limit(k)

@@ -71,7 +71,8 @@ def merge_presence(spark: SparkSession, path: str, incoming: DataFrame) -> None:
 
     came = written(incoming)  # computed once, read three times
     try:
-        old = spark.read.parquet(path).join(came.select("channel_id").distinct(), "channel_id", "left_semi")
+        # the schema is given: ids of digits would be read as numbers, from the folders' names
+        old = spark.read.schema(came.schema).parquet(path).join(came.select("channel_id").distinct(), "channel_id", "left_semi")
     except AnalysisException:  # nothing was written yet
         old = came.limit(0)
     # a partition can't be read while it is overwritten; rows are dealt by video too, so that a hot channel fills several files
@@ -93,6 +94,16 @@ def deliver_csv(rows: DataFrame, path: str, columns: list[str]) -> int:
     return count
 
 
+def bootstrap_json(tables: dict[str, DataFrame], path: str, version: int = 2) -> None:
+    """Tables as one JSON document, {"schema_version": ..., "tables": {name: [rows]}}: a dump of registry-sized tables,
+    whose rows meet in one row by its nature."""
+    from functools import reduce
+
+    whole = [t.agg(F.collect_list(F.struct(*t.columns)).alias(name)).withColumn("k", F.lit(0)) for name, t in tables.items()]
+    row = reduce(lambda a, b: a.join(b, "k"), whole)
+    row.select(F.to_json(F.struct(F.lit(version).alias("schema_version"), F.struct(*tables).alias("tables")), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def json_lines(rows: DataFrame, path: str, order: list[str]) -> None:
     """Ordered JSON lines."""
     rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
@@ -104,7 +115,7 @@ def write_observations(rows: DataFrame, path: str) -> None:
     from pyspark.errors import AnalysisException
 
     try:
-        old = rows.sparkSession.read.parquet(path).select(*rows.columns).join(rows.select("channel_id").distinct(), "channel_id", "left_semi")
+        old = rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns).join(rows.select("channel_id").distinct(), "channel_id", "left_semi")
         both = rows.unionByName(old.join(rows.select("channel_id", "video_id").distinct(), ["channel_id", "video_id"], "left_anti"))
     except AnalysisException:  # nothing was written yet
         both = rows
