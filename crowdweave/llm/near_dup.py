@@ -11,7 +11,8 @@ known). Round one compares each vertex with the bucket leader it shares most val
 with; the links form a forest, whose roots name the components. Round two takes every candidate pair whose vertices lie
 in different components (a pair inside one component cannot change a class), so no link between classes is lost and a
 bucket of near copies costs a comparison for each member, not for each pair. A bucket whose components leave many pairs
-is split into slots of at most ``PAIRS`` each, by the vertices' numbers.
+is split into a grid of slots of about ``PAIRS`` each: the members outside the largest component lie along one side, all
+members along the other, so that N members without a common component make some N**2 / 512 copies, not N**3.
 
 Defined results: null and empty texts have no words and form one class; texts under five words are alike only if their
 words are equal; a text of any length is sketched whole; repeated rows share a class; a class is named by its lowest
@@ -209,11 +210,14 @@ def verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFr
 
 def _mixed(part: DataFrame) -> DataFrame:
     """Members (bucket, vertex, component, ...) of the buckets that hold several components; main: in the largest one;
-    splits: slots that hold at most PAIRS pairs each of a bucket's members outside the largest one with all its members."""
+    tall, wide: the grid whose slots hold about PAIRS pairs each of a bucket's members outside the largest one (dealt over
+    the ``tall`` rows) with all its members (dealt over the ``wide`` columns)."""
     sizes = part.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top"))
-    splits = F.ceil((F.col("all") - F.col("top.size")) * F.col("all") / PAIRS).cast("int").alias("splits")
-    found = part.join(several.where("k > 1").select("bucket", F.col("top.component").alias("top"), splits), "bucket")
+    rest = F.col("all") - F.col("top.size")
+    slots = F.ceil(rest * F.col("all") / PAIRS)
+    grid = several.where("k > 1").withColumn("tall", F.ceil(F.sqrt(slots * rest / F.col("all"))).cast("int")).withColumn("wide", F.ceil(slots / F.col("tall")).cast("int"))
+    found = part.join(grid.select("bucket", F.col("top.component").alias("top"), "tall", "wide"), "bucket")
     return cut(found.withColumn("main", F.col("component") == F.col("top")).drop("top"))
 
 
@@ -288,8 +292,10 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
     def side(rows: DataFrame, mark: str, slot) -> DataFrame:
         return rows.select("bucket", slot.alias("slot"), *[F.col(x).alias(y.format(mark)) for x, y in fields.items()], *(["main"] if mark == "b" else []))
 
-    minor = side(mixed.where(~F.col("main")), "a", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    every = side(mixed, "b", F.pmod(F.xxhash64("vertex"), F.col("splits")).cast("int"))
+    # a slot is a row and a column of the grid; two members meet in one slot only
+    row, column = F.pmod(F.xxhash64("vertex"), F.col("tall")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "vertex"), F.col("wide")).cast("int")
+    minor = side(mixed.where(~F.col("main")), "a", F.explode(F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda c: row * F.col("wide") + c)))
+    every = side(mixed, "b", F.explode(F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda r: r * F.col("wide") + column)))
     apart = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
     most = F.least("ka", "kb")
     within = _fit("na", "nb", threshold) & (most >= threshold * (F.col("na") + F.col("nb") - most))
@@ -312,7 +318,7 @@ def _classified(docs: DataFrame, threshold: float, id_column: str, text_column:
 
     # round two: candidate pairs across components; the largest component of a bucket is only compared with the others
     part = shared.select("vertex", "n", "buckets").join(label, "vertex", "left")
-    part = _mixed(part.select("vertex", "n", F.coalesce("root", "vertex").alias("component"), F.explode("buckets").alias("bucket"))).drop("main", "splits")
+    part = _mixed(part.select("vertex", "n", F.coalesce("root", "vertex").alias("component"), F.explode("buckets").alias("bucket"))).drop("main", "tall", "wide")
     # k-mers that no other vertex has cannot be aligned. Of the others, two vertices share at most as many as slots that
     # both fill, and those that fall into a slot already filled. Both bound the similarity from above, exactly.
     part = part.join(_shared_kmers(part, sequences).withColumnRenamed("v", "vertex"), "vertex").where(F.col("c") >= threshold * F.col("n"))

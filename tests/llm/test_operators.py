@@ -438,6 +438,28 @@ def test_unlike_texts_whose_polynomial_hashes_collide_both_stay(spark):
     assert {r.doc_id for r in near_dup.one_of_each(docs).collect()} == {0, 1}
 
 
+def members(spark, count, components):
+    """A bucket whose members could all be alike: vertices 0 to count - 1, dealt over components."""
+    rows = [(7, v, 100, 100, v % components, [-1] * (near_dup.MASK_BITS // 64), 0) for v in range(count)]
+    return spark.createDataFrame(rows, "bucket long, vertex long, n int, c int, component long, mask array<bigint>, over int")
+
+
+@pytest.mark.parametrize(("count", "components", "most"), [(40, 40, 16), (60, 3, 50), (30, 30, 1), (25, 2, 1 << 20)])
+def test_the_slots_of_a_bucket_hold_every_pair_once(spark, monkeypatch, count, components, most):
+    monkeypatch.setattr(near_dup, "PAIRS", most)
+    mixed = near_dup._mixed(members(spark, count, components))
+    found = near_dup._across(mixed, 0.8).collect()
+    assert len({frozenset((r.a, r.b)) for r in found}) == len(found) == sum(1 for a in range(count) for b in range(a) if a % components != b % components)
+
+
+def test_a_bucket_of_single_components_is_copied_in_proportion_to_its_pairs(spark):
+    count = 20_000
+    part = spark.range(count).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("vertex"), F.col("id").alias("component"))
+    mixed = near_dup._mixed(part)
+    copies = mixed.agg(F.sum(F.when(~F.col("main"), F.col("wide"))) + F.sum("tall")).first()[0]
+    assert copies <= 2 * count + count**2 / 400
+
+
 def test_one_row_of_a_class_stays_where_ids_repeat(spark):
     near = PROSE.replace("gamma", "delta", 1)
     rows = [(3, PROSE), (5, near), (5, LONG), (5, LONG), (None, PROSE), (None, "other words of a text without id"), (7, LONG + " tail")]
