@@ -29,11 +29,11 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdweave.llm import mixing
@@ -45,6 +45,8 @@ PART_ROWS = 1 << 17
 FEWER = 16
 #: Blocks of the mixing schedule that are packed among themselves.
 RANGE_BLOCKS = 64
+#: Ranges whose sequences are numbered together; what one task sees is a row for each so many ranges.
+RANGE_GROUP = 4096
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 _SEPARATOR = "\x00"
@@ -343,10 +345,14 @@ def pack_scheduled(
     counts = found.groupBy("range", "length").agg(F.count(F.lit(1)).alias("n"))
     schema = "r_range long, r_length long, r_from long, r_n long, r_sequence long, r_offset long"
     runs = cut(counts.groupBy("range").applyInArrow(_swept(capacity), schema))
-    used = runs.groupBy("r_range").agg(F.max(F.col("r_sequence") + F.col("r_n")).alias("n")).orderBy("r_range").collect()
-    first = [(r["r_range"], n) for r, n in zip(used, accumulate((r["n"] for r in used), initial=0), strict=False)]
-    # a row per range
-    runs = runs.join(F.broadcast(spark.createDataFrame(first, "r_range long, r_first long")), "r_range")
+    # sequences of earlier ranges: summed within groups of ranges, and over the groups
+    used = runs.groupBy("r_range").agg(F.max(F.col("r_sequence") + F.col("r_n")).alias("n")).withColumn("group", F.expr(f"r_range div {RANGE_GROUP}"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = used.groupBy("group").agg(F.sum("n").alias("in_group"))
+    groups = groups.select("group", F.coalesce(F.sum("in_group").over(earlier.orderBy("group")), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(earlier.partitionBy("group").orderBy("r_range")), F.lit(0))
+    first = used.withColumn("within", within).join(groups, "group").select("r_range", (F.col("before") + F.col("within")).alias("r_first"))
+    runs = runs.join(first, "r_range")
     rows = ranked(found, ["range", "length"], [id_column, "piece", "ids_crc32", "row"], partitions(spark))
     on = (F.col("range") == F.col("r_range")) & (F.col("length") == F.col("r_length"))
     on &= (F.col("rank") >= F.col("r_from")) & (F.col("rank") < F.col("r_from") + F.col("r_n"))
