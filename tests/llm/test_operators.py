@@ -577,6 +577,20 @@ def test_chat(spark):
     assert chat.digest(chat.read_back(chat.format_conversations(turns.where("false")))).count() == 0
 
 
+def test_bands_are_those_of_labelled_texts(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    bands = {start: (low, high) for start, low, high in quality.BANDS}
+    fitted = quality.fitted_bands(docs, labels)
+    assert sum(n for *_, n in fitted) > 200
+    for start, low, high, n in fitted:
+        if n >= 40:  # the band holds what labelled texts need, and not much more
+            assert bands[start][0] <= low <= bands[start][0] + 0.1 and bands[start][1] - 0.2 <= high <= bands[start][1]
+    assert sum(n for *_, n in quality.fitted_bands(docs, labels, rows=50)) <= 50
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
