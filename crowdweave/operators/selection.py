@@ -38,7 +38,7 @@ def rotating(rows: DataFrame, key: str, cursor: int, size: int) -> DataFrame:
     """The ``size`` rows after a cursor in key order, wrapping around: a page of a round robin.
 
     Keys are numbered range by range (a sort, then each partition's offset), and the page is a filter on the numbers, so
-    no task holds more than its range. Rows with equal keys have one order only if the key is unique.
+    no task holds more than its range; the page comes in order. Rows with one key are on a page together.
     """
     ranged = rows.select(F.col(key).alias("_key")).sort("_key").select("_key", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
     ranged = written(ranged)  # the numbering must not be drawn twice
@@ -51,7 +51,8 @@ def rotating(rows: DataFrame, key: str, cursor: int, size: int) -> DataFrame:
         offsets += [F.lit(part), F.lit(before - (part << 33))]
         before += sizes[part]
     place = F.pmod(F.col("_at") + F.create_map(*offsets)[F.col("_part")] - cursor % count, F.lit(count))
-    return rows.join(ranged.where(place < size).select("_key"), rows[key].eqNullSafe(F.col("_key")), "left_semi")
+    page = ranged.withColumn("_place", place).where(F.col("_place") < size).groupBy("_key").agg(F.min("_place").alias("_place"))
+    return rows.join(page, rows[key].eqNullSafe(F.col("_key"))).orderBy("_place", key).drop("_key", "_place")
 
 
 def jobs(candidates: DataFrame, sources: list[str], priorities: DataFrame) -> DataFrame:
