@@ -54,6 +54,21 @@ def registry_tables(spark: SparkSession, path: str, table: str, fields: str) ->
     return checked.select(F.inline("rows"))
 
 
+SEED = "channel_id string, id string, handle string, name string, title string, subscriber_count string, subscribers string, agency string, source string, description string"
+
+
+def seeds(spark: SparkSession, path: str) -> DataFrame:
+    """Raw candidates of seed files, each a JSON array; fields that a file does not have are null."""
+    return spark.read.option("multiLine", True).schema(SEED).json(path)
+
+
+def fetch(rows: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns have the given values (None: null)."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(f"`{column}`").eqNullSafe(F.lit(value)))
+    return rows
+
+
 CREATORS = (
     "creators array<struct<creator_id: string, display_name: string, aliases: array<string>, evidence_ids: array<string>, metadata: map<string, string>>>, "
     "accounts array<struct<account_id: string, creator_id: string, platform: string, platform_id: string, handle: string, url: string, evidence_ids: array<string>>>, "

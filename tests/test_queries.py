@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from crowdweave.plans import attach_queries, commit_queries, file_queries, intake_queries, mapping_queries, page_queries, queries, stream_queries, text_queries, workflow_queries
+from crowdweave.plans import attach_queries, commit_queries, delivery_queries, file_queries, intake_queries, mapping_queries, page_queries, queries, stream_queries, text_queries, workflow_queries
 
-assert attach_queries and commit_queries and file_queries and intake_queries and mapping_queries and page_queries and stream_queries and text_queries and workflow_queries  # their queries are registered when they are imported
+assert attach_queries and commit_queries and delivery_queries and file_queries and intake_queries and mapping_queries and page_queries and stream_queries and text_queries and workflow_queries  # their queries are registered when they are imported
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
