@@ -10,8 +10,8 @@ conversation is its turns, one after the other, and is parsed once more as a who
 which code points of the formatted conversation a model is trained on: those of the trained role's texts, as escaped.
 
 Defined results: null roles and texts are empty; turns are ordered by turn, then role, then text, so ties and repeated
-rows have one order; rows with a null conv_id form one conversation; extra columns are ignored; an empty table stays
-empty. A conversation's rows come together in one row, which is what a training example is.
+rows have one order; rows with a null conv_id form one conversation; a very long text is one turn like any other; extra
+columns are ignored; an empty table stays empty. A conversation's rows come together in one row, which is what a training example is.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ the same way, and what is gathered grows with the input.
 base score has words only; ``n_bytes`` counts the coded bytes, the end mark included.
 
 Defined results: null texts are empty (their end mark is scored); a null doc_id counts as the text ''; repeated rows
-are learned and scored once each; without training documents all counts are 0; extra columns are ignored; an empty
-table gives an empty result.
+are learned and scored once each; without training documents all counts are 0; a very long text is learned and scored
+whole, in one block; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

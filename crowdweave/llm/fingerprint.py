@@ -5,9 +5,10 @@ A text is brought to Unicode form NFKC with full case folding, and runs of white
 one digest holds several texts, the fingerprint of each gets a part of its SHA-256 as well. An edited text that meets
 the digest of another text is told apart in the same way.
 
-Defined results: null texts are empty and equal each other; documents are ordered by doc_id (of any
-kind that sorts, nulls first), repeated ids by a hash of the text; the document after the last is the first, so the only document of a table follows itself; extra
-columns are ignored; an empty table gives an empty result.
+Defined results: null texts are empty and equal each other; documents are ordered by doc_id (of any kind that sorts,
+nulls first), repeated ids by a hash of the text; the document after the last is the first, so the only document of a
+table follows itself; a very long text is folded and hashed whole; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

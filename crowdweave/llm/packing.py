@@ -19,8 +19,9 @@ by a join with the matched runs. The driver sees the number of pieces.
 its own, and sequences are numbered range by range, so that a prefix of them is a prefix of the schedule, up to a range.
 Its sweeps run side by side, one per range; the driver sees the number of sequences of each range.
 
-Defined results: null texts are empty (one end id); repeated rows are packed once each; ties are placed by rank; extra
-columns are ignored; an empty table gives an empty result.
+Defined results: null texts are empty (one end id); repeated rows are packed once each; ties are placed by rank; a very
+long text is encoded whole and cut into as many pieces as it needs; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ a band that depends on the length, since short texts compress less: below it the
 incompressible. A text also goes when more than ``CHUNK_SHARE`` of its chunks leave the chunk band.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged alike, row by row;
-extra columns are kept by ``filter_kept`` and ignored by ``quality``; an empty table gives an empty result.
+a very long text is judged whole and in all its chunks; extra columns are kept by ``filter_kept`` and ignored by ``quality``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

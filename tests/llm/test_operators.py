@@ -591,6 +591,39 @@ def test_bands_are_those_of_labelled_texts(spark):
     assert sum(n for *_, n in quality.fitted_bands(docs, labels, rows=50)) <= 50
 
 
+@pytest.fixture(scope="module")
+def very_long(spark):
+    """A text of 2.4 MB, a near copy of it, and a short one."""
+    draw = np.random.default_rng(12)
+    long = "\n".join(" ".join(f"w{x}" for x in row) for row in draw.integers(0, 50_000, (26_000, 16)))
+    return spark.createDataFrame([(1, long, "a"), (2, long + " tail", "b"), (3, "short text", "c")], "doc_id long, text string, source string").cache()
+
+
+def test_very_long_texts(spark, very_long):
+    own = {r.doc_id: r.text for r in very_long.collect()}
+    words_of = {i: len(words(t)) for i, t in own.items()}
+    assert {r.doc_id: r.n_tokens for r in ctw.scores(very_long).collect()} == {i: n + 1 for i, n in words_of.items()}
+    prints = {r.doc_id: r for r in fingerprint.fingerprints(very_long).collect()}
+    assert {i: r.n_chars for i, r in prints.items()} == {i: len(t) for i, t in own.items()} and len({r.fingerprint for r in prints.values()}) == 3
+    half = len(own[1]) // 2
+    edited = own[1][: len(own[1]) - half] + own[2][:half]
+    assert prints[1].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.line_dedup(very_long, min_sites=2).select("row.doc_id", "n_lines", "n_removed").collect()} == {1: (26_000, 0), 2: (26_000, 25_999), 3: (1, 0)}
+    judged = {r.doc_id: r for r in quality.quality(very_long).collect()}
+    assert {i: r.n_words for i, r in judged.items()} == words_of and judged[1].chunks == -(-len(own[1]) // quality.CHUNK) - (0 < len(own[1]) % quality.CHUNK < quality.LEAST_CHUNK)
+    assert {r.doc_id: r.class_id for r in near_dup.classes(very_long).collect()} == {1: 1, 2: 1, 3: 3}
+    turns = very_long.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), F.concat("text", F.lit(" </turn> ###")).alias("text"))
+    spoken = chat.digest(chat.read_back(chat.format_conversations(turns))).first()
+    assert spoken.round_trip and spoken.loss_chars == sum(len(t) + len(" </turn> ###") for t in own.values())
+
+
+def test_packing_of_very_long_texts(very_long, tokenizer):
+    whole = {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in very_long.collect()}
+    found = packing.pack_documents(very_long).collect()
+    assert {i: sum(r.length for r in found if r.doc_id == i) for i in whole} == whole
+    assert sum(r.length < 2048 for r in found) <= 3 and len({r.sequence_id for r in found}) <= sum(whole.values()) // 2048 + 2
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
