@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdweave.operators import delivery, intake
+from crowdweave.operators import delivery, intake, workflow
 from crowdweave.plans.queries import query
 from crowdweave.plans.roles import Roles
 from crowdweave.sources import readers
@@ -119,3 +119,51 @@ def seed_candidates(r: Roles) -> DataFrame:
 def fetched_rows(r: Roles) -> DataFrame:
     """Rows by equal values of several columns."""
     return readers.fetch(r.table("orders"), o_orderstatus="F", o_orderpriority="2-HIGH").select("o_orderkey", "o_custkey")
+
+
+@query("", """
+    SELECT d.doc_id, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source: blank' WHEN quality IS NULL THEN 'tags: missing' WHEN quality <> 1 AND toxic <> 1 THEN 'tags: empty'
+        WHEN quality = 1 AND n_chars < 1000 THEN 'tags: blank text' END AS problem FROM documents AS d LEFT JOIN labels USING (doc_id)
+    WHERE trim(coalesce(source, '')) = '' OR quality IS NULL OR (quality <> 1 AND toxic <> 1) OR (quality = 1 AND n_chars < 1000)""")
+def document_contract(r: Roles) -> DataFrame:
+    """Documents as records: a source, and tags from their labels, which are missing, empty or blank for some."""
+    docs = r.table("documents").join(r.table("labels"), "doc_id", "left")
+    good = F.when(F.col("quality") == 1, F.when(F.col("n_chars") < 1000, " ").otherwise("good"))
+    tags = F.when(F.col("quality").isNotNull(), F.array_compact(F.array(good, F.when(F.col("toxic") == 1, "toxic"))))
+    return intake.record_problems(docs.select("doc_id", "source", tags.alias("tags")), "doc_id", ["source"], ["tags"], ["tags"])
+
+
+@query("", """
+    WITH o AS (SELECT o_custkey AS id, min(o_orderdate) AS a, max(o_orderdate) AS b, bool_or(o_orderstatus = 'P') AS p FROM orders GROUP BY 1),
+    old AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN strftime(a, '%Y-%m-%d') END AS started_at, c_mktsegment AS state FROM customer JOIN o ON id = c_custkey WHERE p),
+    new AS (SELECT id, strftime(b, '%Y-%m-%d') AS started_at, CASE WHEN c_nationkey < 12 THEN c_name END AS state FROM o JOIN customer ON c_custkey = id WHERE a > DATE '1992-03-01')
+    SELECT coalesce(old.id, new.id) AS id, coalesce(old.started_at, new.started_at) AS started_at, coalesce(new.state, old.state) AS state FROM old FULL JOIN new ON old.id = new.id""")
+def kept_starts(r: Roles) -> DataFrame:
+    """Customers' first orders stay as their start, where there is one; their state follows the newest."""
+    def day(c: str):
+        return F.date_format(c, "yyyy-MM-dd")
+
+    spans = r.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), F.bool_or(F.col("o_orderstatus") == "P").alias("p"))
+    joined = spans.join(r.table("customer"), F.col("id") == F.col("c_custkey"))
+    old = joined.where("p").select("id", F.when(F.col("c_acctbal") > 0, day("a")).alias("started_at"), F.col("c_mktsegment").alias("state"))
+    new = joined.where("a > DATE '1992-03-01'").select("id", day("b").alias("started_at"), F.when(F.col("c_nationkey") < 12, F.col("c_name")).alias("state"))
+    return workflow.keep_first(old, new, "id", ["started_at"])
+
+
+@query("", """
+    SELECT lower(c_mktsegment) AS table_name, CASE WHEN c_acctbal >= 0 THEN c_name ELSE '' END AS id, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'unknown_table' ELSE 'no_id' END AS problem
+    FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_acctbal < 0""")
+def change_rows(r: Roles) -> DataFrame:
+    """Customers as change rows; their segment names the table, those in debt have no id."""
+    rows = r.table("customer").select(F.lower("c_mktsegment").alias("table_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).otherwise("").alias("id"))
+    return workflow.change_problems(rows, ["building", "machinery"])
+
+
+@query("", """
+    SELECT d.doc_id, coalesce(quality = 0, false) AS rejected, n_chars % 2 = 0 AS follows FROM documents AS d LEFT JOIN labels USING (doc_id)""")
+def label_notes(r: Roles) -> DataFrame:
+    """Notes written for labels, and jobs under the current policy and an older one."""
+    docs = r.table("documents").join(r.table("labels"), "doc_id", "left")
+    note = F.concat("lang", F.when(F.col("quality") == 0, F.concat(F.lit(" "), F.lit(intake.REJECTING_NOTE), F.lit("."))).otherwise(" seen"))
+    job = F.to_json(F.struct(F.col("doc_id"), F.when(F.col("n_chars") % 2 == 0, intake.FIRST_PASS_POLICY).otherwise("older").alias("policy_version")))
+    return docs.select("doc_id", intake.note_rejects(note).alias("rejected"), intake.follows_policy(job).alias("follows"))
