@@ -7,13 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crowdweave.functions.scores import AGENCY_WORDS
 from crowdweave.operators import checks
 
-#: Words in a channel's title and the agency they stand for, in the order they are tried (fixed values).
-TITLE_WORDS = [
-    (["arp", "algorhythm"], "Algorhythm Project"), (["polygon"], "Polygon Official"), (["pixela"], "Pixela Project"), (["lumina"], "Lumina Live"),
-    (["euphora"], "Euphora Project"), (["myriad"], "Myriad Colors"), (["virtual union"], "Virtual Union"), (["horganice"], "Horganice"),
-]
+#: Words in a channel's title and the agency they stand for: those of the registry, but one that titles shorten (fixed value).
+TITLE_WORDS = [(["myriad"] if agency == "Myriad Colors" else words, agency) for words, agency in AGENCY_WORDS]
 #: Agency of those without one (fixed value).
 NO_AGENCY = "Independent"
 #: A channel id: 24 characters, the first two as given (fixed value).

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _with_total(rows: DataFrame, total) -> DataFrame:
+    """Rows with ``_total``, an aggregate over all of them: one row is broadcast, so no task sees all."""
+    one = rows.agg(total.alias("_total")).withColumn("_one", F.lit(0))
+    return rows.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
+
+
 def breakdown(rows: DataFrame, column: str) -> DataFrame:
     """Count and percentage of each value."""
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2).cast("double"))
+    joined = _with_total(counts, F.sum("n"))
+    return joined.select(column, "n", F.round(F.col("n") * 100.0 / F.col("_total"), 2).cast("double").alias("percent"))
 
 
 def status_counts(rows: DataFrame, column: str, states: list[str]) -> DataFrame:
@@ -46,7 +53,5 @@ def coverage(videos: DataFrame) -> DataFrame:
 
 def backlog(jobs: DataFrame, budget: int) -> DataFrame:
     """Per status: jobs and requests; what remains of a request budget overall."""
-    spent = Window.partitionBy()
-    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.sum("requests").cast("long").alias("requests")).withColumn(
-        "remaining", F.lit(budget).cast("long") - F.sum("requests").over(spent)
-    )
+    each = jobs.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.sum("requests").cast("long").alias("requests"))
+    return _with_total(each, F.sum("requests")).select("status", "jobs", "requests", (F.lit(budget).cast("long") - F.col("_total")).alias("remaining"))
