@@ -195,6 +195,7 @@ class RecordedPages(DataSource):
 
 
 def _format(spark: SparkSession) -> str:
+    """The format's name, once the session knows it and hands it filters (a session setting)."""
     spark.dataSource.register(RecordedPages)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return RecordedPages.name()

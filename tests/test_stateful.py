@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crowdweave.streaming import catalog, enrichment, interactions
 
+pytest.importorskip("google.protobuf")  # the state API needs it
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
