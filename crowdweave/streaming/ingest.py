@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from crowdweave.operators import merge, presence
 from crowdweave.sources.sinks import Table, merge_presence
@@ -55,20 +53,9 @@ def merge_snapshots(spark: SparkSession, path: str) -> Callable[[DataFrame, int]
 
 def viewer_state(observations: DataFrame) -> DataFrame:
     """A stream of (video_id, viewer_id, interaction_at) to running (first_at, last_at, appearances) per pair, kept
-    across pages in Spark's state store."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n = state.get if state.exists else (None, None, 0)
-        for frame in frames:
-            at = frame["interaction_at"]
-            low, high = at.min().to_pydatetime(), at.max().to_pydatetime()
-            first, last, n = (low if first is None else min(first, low)), (high if last is None else max(last, high)), n + len(frame)
-        state.update((first, last, n))
-        yield pd.DataFrame({"video_id": [key[0]], "viewer_id": [key[1]], "first_at": [first], "last_at": [last], "appearances": [n]})
-
-    schema = "video_id string, viewer_id string, first_at timestamp, last_at timestamp, appearances long"
-    return observations.groupBy("video_id", "viewer_id").applyInPandasWithState(
-        update, schema, "first_at timestamp, last_at timestamp, appearances long", "update", GroupStateTimeout.NoTimeout
+    across pages in Spark's state store; for update mode."""
+    return observations.groupBy("video_id", "viewer_id").agg(
+        F.min("interaction_at").alias("first_at"), F.max("interaction_at").alias("last_at"), F.count(F.lit(1)).alias("appearances")
     )
 
 
