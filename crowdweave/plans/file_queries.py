@@ -90,13 +90,18 @@ def embedded_rows(r: Roles) -> DataFrame:
     return readers.embedded_json(r.table("pages").select(html.alias("html")), "talents", "id: bigint, url: string, n: bigint")
 
 
-def _streamed(r: Roles, rows: DataFrame, write: Callable[[DataFrame, int], None], files: int = 2) -> None:
-    """Send rows as a stream of files, one a batch, to a foreachBatch function."""
-    source = fresh_folder(r.spark)
-    for n in range(files):
-        rows.where(F.pmod(F.col("_n"), F.lit(files)) == n).drop("_n").coalesce(1).write.mode("append").parquet(source)
-    stream = r.spark.readStream.schema(rows.drop("_n").schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", fresh_folder(r.spark)).trigger(availableNow=True).start()
+def _source(r: Roles, rows: DataFrame, batches: int = 2) -> DataFrame:
+    """Rows as a stream of about so many batches, of many files each; ``_n`` deals the rows out."""
+    folder = fresh_folder(r.spark)
+    for n in range(batches):
+        rows.where(F.pmod(F.col("_n"), F.lit(batches)) == n).drop("_n").write.mode("append").parquet(folder)
+    files = len(r.spark.read.schema(rows.drop("_n").schema).parquet(folder).inputFiles())
+    return r.spark.readStream.schema(rows.drop("_n").schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(folder)
+
+
+def _streamed(r: Roles, stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Send a stream to a foreachBatch function, to its end."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", fresh_folder(r.spark)).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -107,7 +112,7 @@ def streamed_inserts(r: Roles) -> DataFrame:
     rows = r.sightings.select("creator_id", "video_id", "viewer_id", "source_type", F.col("observed_at").cast("timestamp").alias("observed_at"))
     odd = rows.where("creator_id < '000010'").withColumn("source_type", F.lit("other"))
     numbered = rows.unionByName(odd).withColumn("_n", F.dayofmonth("observed_at"))
-    _streamed(r, numbered, ingest.insert_interactions(r.spark, path))
+    _streamed(r, _source(r, numbered), ingest.insert_interactions(r.spark, path))
     return ingest.inserted(r.spark, path).select("creator_id", "video_id", "viewer_id", "source_type")
 
 
@@ -220,16 +225,11 @@ def streamed_viewers(r: Roles) -> DataFrame:
     rows = r.table("lineitem").select(
         F.concat(F.lit("v"), "l_orderkey").alias("video_id"), F.concat(F.lit("u"), "l_suppkey").alias("viewer_id"), F.col("l_shipdate").cast("timestamp").alias("interaction_at"), F.col("l_linenumber").alias("_n")
     )
-    source = fresh_folder(r.spark)
-    for n in range(2):
-        rows.where(F.pmod("_n", F.lit(2)) == n).drop("_n").coalesce(1).write.mode("append").parquet(source)
-    stream = r.spark.readStream.schema(rows.drop("_n").schema).option("maxFilesPerTrigger", 1).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = ingest.viewer_state(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", fresh_folder(r.spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    _streamed(r, ingest.viewer_state(_source(r, rows)), write, "update")
     newest = r.spark.read.parquet(path).groupBy("video_id", "viewer_id").agg(F.max_by(F.struct("first_at", "last_at", "appearances"), "batch").alias("s"))
     return newest.select("video_id", "viewer_id", "s.first_at", "s.last_at", F.col("s.appearances").alias("appearances"))
 
