@@ -65,19 +65,40 @@ def verified_write(rows: DataFrame, path: str) -> DataFrame:
     return back
 
 
+#: Folders of a table that is laid out by channel. Fixed, as the folders of a written table are.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Rows with the bucket of their channel; folders per channel would be one or more small files for each of them."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("channel_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def _stored(came: DataFrame, path: str) -> DataFrame:
+    """What the buckets of the rows that came hold; raises AnalysisException if nothing was written yet."""
+    rows = came.drop("bucket")
+    # the schema is given: ids of digits would be read as numbers
+    stored = came.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns, "bucket")
+    return stored.join(F.broadcast(came.select("bucket").distinct()), "bucket", "left_semi").drop("bucket")
+
+
+def _replace_buckets(rows: DataFrame, path: str) -> None:
+    """Overwrite the buckets of the rows. A bucket is a file, sorted by channel; one that is large is several."""
+    dealt = _bucketed(rows).hint("rebalance", "bucket").sortWithinPartitions("bucket", "channel_id", "video_id")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def merge_presence(spark: SparkSession, path: str, incoming: DataFrame) -> None:
-    """Merge presence snapshots into a table partitioned by channel; only the channels that came are rewritten."""
+    """Merge presence snapshots into a table laid out in buckets of channels; only the buckets that came are rewritten."""
     from pyspark.errors import AnalysisException
 
-    came = written(incoming)  # computed once, read three times
+    came = written(_bucketed(incoming))  # computed once, read three times
     try:
-        # the schema is given: ids of digits would be read as numbers, from the folders' names
-        old = spark.read.schema(came.schema).parquet(path).join(came.select("channel_id").distinct(), "channel_id", "left_semi")
+        old = _stored(came, path)
     except AnalysisException:  # nothing was written yet
-        old = came.limit(0)
-    # a partition can't be read while it is overwritten; rows are dealt by video too, so that a hot channel fills several files
-    merged = written(presence.merge(old, came)).repartition("channel_id", "video_id")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel_id").parquet(path)
+        old = came.drop("bucket").limit(0)
+    # a bucket can't be read while it is overwritten
+    _replace_buckets(written(presence.merge(old, came)), path)
 
 
 def deliver_csv(rows: DataFrame, path: str, columns: list[str]) -> int:
@@ -110,18 +131,17 @@ def json_lines(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_observations(rows: DataFrame, path: str) -> None:
-    """Observations in a table partitioned by channel. A video's rows replace those it had; the other videos of its
-    channel stay, and only channels that came are rewritten, in few files each instead of one a video."""
+    """Observations in a table laid out in buckets of channels. A video's rows replace those it had; all others stay, and
+    only the buckets of channels that came are rewritten."""
     from pyspark.errors import AnalysisException
 
+    came = _bucketed(rows)
     try:
-        old = rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns).join(rows.select("channel_id").distinct(), "channel_id", "left_semi")
-        both = rows.unionByName(old.join(rows.select("channel_id", "video_id").distinct(), ["channel_id", "video_id"], "left_anti"))
+        both = rows.unionByName(_stored(came, path).join(rows.select("channel_id", "video_id").distinct(), ["channel_id", "video_id"], "left_anti"))
     except AnalysisException:  # nothing was written yet
         both = rows
-    # a partition can't be read while it is overwritten; rows are dealt by video too, so that a hot channel fills several files
-    dealt = both.checkpoint().repartition("channel_id", "video_id").sortWithinPartitions("channel_id", "video_id")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("channel_id").parquet(path)
+    # a bucket can't be read while it is overwritten
+    _replace_buckets(written(both), path)
 
 
 def write_intake(rows: DataFrame, path: str, confirmed: Column, columns: list[str]) -> None:
