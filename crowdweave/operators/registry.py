@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdweave.sources.shared import written
+
 DEFAULT_AGENCY = "Independent"
 
 
@@ -50,9 +52,12 @@ def creators_table(accounts: DataFrame, links: DataFrame, personas: DataFrame, a
 
 
 def network_table(edges: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Edges with the names of both sides, strongest first."""
+    """Edges with the names of both sides, strongest first. Edges are written before they are named: names of creators in
+    edges are few, so that edges need not be shuffled to meet them, and ranges of the order are drawn from what is written."""
+    out = written(edges.where("shared_any > 0"))
+    ends = out.select(F.explode(F.array_distinct(F.array("creator_a", "creator_b"))).alias("platform_id")).distinct()
     names = accounts.where("platform = 'youtube' and platform_id is not null").select("platform_id", "name")
-    out = edges.where("shared_any > 0")
+    names = written(names.join(ends, "platform_id", "left_semi"))
     for s in "ab":
         own = names.select(F.col("platform_id").alias(f"creator_{s}"), F.col("name").alias(f"name_{s}"))
         out = out.join(own, f"creator_{s}", "left")

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from crowdweave.operators import overlap, registry
 from crowdweave.plans import file_queries
 from crowdweave.plans.roles import Roles
+from crowdweave.sources import sinks
 from crowdweave.streaming import ingest
 
 
@@ -20,3 +22,22 @@ def test_a_batch_of_a_stream_holds_many_files(spark, tmp_path):
     seen = []
     file_queries._streamed(roles, file_queries._source(roles, rows), lambda batch, n: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count())))
     assert sum(n for n, _ in seen) == 100 and len(seen) == 2 and all(files > 1 for _, files in seen)
+
+
+def test_many_channels_make_few_files(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(0))
+    rows = spark.range(300).select(F.concat(F.lit("c"), "id").alias("channel_id"), F.lit("v").alias("video_id"), F.lit("comment").alias("source_type"), F.lit("w").alias("viewer_id"), at.alias("first_seen"), at.alias("last_seen"), F.lit(1).cast("long").alias("appearances"))
+    sinks.merge_presence(spark, f"{tmp_path}/p", rows)
+    sinks.merge_presence(spark, f"{tmp_path}/p", rows.where("channel_id = 'c7'").withColumn("appearances", F.lit(5).cast("long")))
+    sinks.write_observations(rows, f"{tmp_path}/o")
+    found = spark.read.schema(rows.schema).parquet(f"{tmp_path}/p")
+    assert len(found.inputFiles()) <= sinks.BUCKETS and len(spark.read.parquet(f"{tmp_path}/o").inputFiles()) <= sinks.BUCKETS
+    assert found.count() == 300 and found.where("appearances = 5").select("channel_id").collect() == [("c7",)]
+
+
+def test_edges_are_made_once_before_they_are_named(spark):
+    seen = spark.createDataFrame([(c, "v", u, "comment", None) for c in "ABC" for u in "xy"], "creator_id string, video_id string, viewer_id string, source_type string, observed_at timestamp")
+    accounts = spark.createDataFrame([("1", "youtube", "A", "first")], "id string, platform string, platform_id string, name string")
+    named = registry.network_table(overlap.overlap_edges(seen), accounts)
+    assert "hashpartitioning(block" not in named._jdf.queryExecution().executedPlan().toString()
+    assert [(r.channel_a, r.channel_b, r.shared_viewers) for r in named.collect()] == [("first", "B", 2), ("first", "C", 2), ("B", "C", 2)]
