@@ -101,17 +101,24 @@ def private_plane(r: Roles) -> DataFrame:
     return delivery.private_audit(tables, {"CUSTOMERS", "NATIONS"}, public)
 
 
+#: An array is read by one task, so that seeds come in several files.
+SEEDS_A_FILE = 4096
+
+
 @query("", """
     SELECT 'UC' || s_suppkey AS channel_id, '@h' || s_suppkey AS handle, s_name AS name, CASE WHEN s_acctbal > 0 THEN CAST(round(s_acctbal) AS BIGINT) ELSE 0 END AS subscriber_count,
         CASE WHEN s_nationkey % 2 = 0 THEN 'Seed List' ELSE 'own' END AS source, 1 AS source_count, '' AS description, 'Independent' AS agency FROM supplier WHERE s_nationkey <> 7""")
 def seed_candidates(r: Roles) -> DataFrame:
-    """A file of seeds, a JSON array, read and brought into the form of candidates."""
+    """Files of seeds, each a JSON array of some thousands, read and brought into the form of candidates."""
     path = fresh_folder(r.spark)
+    files = 1 + r.table("supplier").count() // SEEDS_A_FILE
     rows = r.table("supplier").where("s_nationkey <> 7").select(
+        F.pmod(F.xxhash64("s_suppkey"), F.lit(files)).alias("file"),
         F.concat(F.lit(" UC"), "s_suppkey").alias("channel_id"), F.concat(F.lit("@h"), "s_suppkey").alias("handle"), F.col("s_name").alias("name"),
         F.when(F.col("s_acctbal") > 0, F.round("s_acctbal").cast("long")).alias("subscriber_count"), F.when(F.col("s_nationkey") % 2 == 1, "own").alias("source"),
     )
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    arrays = rows.groupBy("file").agg(F.to_json(F.collect_list(F.struct(*[c for c in rows.columns if c != "file"]))).alias("value"))
+    arrays.write.partitionBy("file").text(path)
     return intake.normalized(readers.seeds(r.spark, path), "Seed List")
 
 

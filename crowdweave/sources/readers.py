@@ -58,8 +58,8 @@ SEED = "channel_id string, id string, handle string, name string, title string,
 
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:
-    """Raw candidates of seed files, each a JSON array; fields that a file does not have are null."""
-    return spark.read.option("multiLine", True).schema(SEED).json(path)
+    """Raw candidates of seed files, each a JSON array, also in folders below; fields that a file does not have are null."""
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).schema(SEED).json(path)
 
 
 def fetch(rows: DataFrame, **equal) -> DataFrame:

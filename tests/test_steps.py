@@ -1,9 +1,12 @@
 """Steps that must spread over tasks: sources of many files, layouts of few files, passes that are made once."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from crowdweave.operators import overlap, registry
-from crowdweave.plans import file_queries
+from crowdweave.plans import commit_queries, delivery_queries, file_queries
 from crowdweave.plans.roles import Roles
 from crowdweave.sources import sinks
 from crowdweave.streaming import ingest
@@ -41,3 +44,20 @@ def test_edges_are_made_once_before_they_are_named(spark):
     named = registry.network_table(overlap.overlap_edges(seen), accounts)
     assert "hashpartitioning(block" not in named._jdf.queryExecution().executedPlan().toString()
     assert [(r.channel_a, r.channel_b, r.shared_viewers) for r in named.collect()] == [("first", "B", 2), ("first", "C", 2), ("B", "C", 2)]
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(("module", "name", "size"), [(delivery_queries, "seed_candidates", "SEEDS_A_FILE"), (commit_queries, "guarded_rows", "ROWS_A_FILE")])
+def test_files_that_one_task_reads_are_several(spark, tmp_path, monkeypatch, module, name, size):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(module, "fresh_folder", lambda _: f"{tmp_path}/in")
+    few = sorted(map(tuple, getattr(module, name)(Roles(spark, FOLDER)).collect()), key=repr)
+    monkeypatch.setattr(module, "fresh_folder", lambda _: f"{tmp_path}/more")
+    monkeypatch.setattr(module, size, 5)
+    many = sorted(map(tuple, getattr(module, name)(Roles(spark, FOLDER)).collect()), key=repr)
+    assert few == many and len(few) > 0
+    found = {n: spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/{n}").inputFiles() for n in ("in", "more")}
+    assert len(found["more"]) > len(found["in"])
