@@ -70,22 +70,30 @@ def recent_rows(r: Roles) -> DataFrame:
     return readers.since(r.spark, path, "l_shipdate", "1997-06-01").select("l_orderkey", "l_linenumber", "l_shipdate")
 
 
+#: Rows of a ragged file.
+ROWS_A_FILE = 100_000
+
+
 @query("", """
     WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_comment AS t FROM (SELECT *, 'a "note", ' || o_orderkey AS o_comment FROM orders))
     SELECT 'row' AS kind, CAST(k AS VARCHAR) AS k, p, CASE WHEN c % 5 = 0 THEN '' ELSE t END AS t FROM o WHERE c % 3 <> 0 AND c % 7 <> 0
     UNION ALL SELECT CASE WHEN c % 3 = 0 THEN 'header' ELSE 'long' END, CAST(k AS VARCHAR), '', '' FROM o WHERE c % 3 = 0 OR c % 7 = 0""")
 def guarded_rows(r: Roles) -> DataFrame:
-    """Orders as ragged CSV files, a third of them under another header."""
+    """Orders as ragged CSV files, a third of them under another header. A file is read by one task, so there are several."""
     path = fresh_folder(r.spark)
+    files = 1 + r.table("orders").count() // ROWS_A_FILE
     cell = F.concat(F.lit('"'), F.replace(F.concat(F.lit('a "note", '), "o_orderkey"), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", F.when(F.col("o_custkey") % 5 != 0, cell))
     line = F.when(F.col("o_custkey") % 7 == 0, F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", cell, F.lit("more"))).otherwise(line)
     other = F.col("o_custkey") % 3 == 0
-    rows = r.table("orders").select(F.when(other, "other").otherwise("good").alias("part"), line.alias("value"))
-    heads = r.spark.range(2).select(F.when(F.col("id") == 0, "good").otherwise("other").alias("part"), F.when(F.col("id") == 0, "key,priority,note").otherwise("priority,key,note").alias("value"))
-    # one file a part, its header first
-    both = heads.withColumn("n", F.lit(0)).unionByName(rows.withColumn("n", F.lit(1))).repartition(2, "part").sortWithinPartitions("part", "n")
-    both.select("part", "value").write.partitionBy("part").text(path)
+    rows = r.table("orders").select(F.when(other, "other").otherwise("good").alias("part"), F.pmod(F.xxhash64("o_orderkey"), F.lit(files)).alias("file"), line.alias("value"))
+    heads = r.spark.range(2 * files).select(
+        F.when(F.col("id") % 2 == 0, "good").otherwise("other").alias("part"), F.expr("id div 2").alias("file"),
+        F.when(F.col("id") % 2 == 0, "key,priority,note").otherwise("priority,key,note").alias("value"),
+    )
+    # a file of a part is in one partition, its header first
+    both = heads.withColumn("n", F.lit(0)).unionByName(rows.withColumn("n", F.lit(1))).repartition("part", "file").sortWithinPartitions("part", "file", "n")
+    both.select("part", "file", "value").write.partitionBy("part", "file").text(path)
     good, bad = readers.guarded(r.spark, path, ["key", "priority", "note"])
     key = F.split("raw", ",")[0]
     held = bad.where("raw <> 'priority,key,note'").select(F.col("problem").alias("kind"), key.alias("k"), F.lit("").alias("p"), F.lit("").alias("t"))
