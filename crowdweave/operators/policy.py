@@ -75,8 +75,11 @@ def has_secret_shape(text: Column) -> Column:
     return F.coalesce(text.rlike("|".join(SECRET_SHAPES)), F.lit(False))
 
 
-def _found(nodes: DataFrame) -> DataFrame:
-    """(id, rule, key) of the nodes of one nesting."""
+_HITS, _HELD = "array<struct<rule: string, key: string, value: variant>>", "array<variant>"
+
+
+def _hits() -> Column:
+    """What a node (of, text) of one nesting is found to hold, as an array of (rule, key, no value)."""
     of = F.col("of")
     entries = F.map_entries(of)
     summary = (F.size(of) > 0) & F.forall(entries, lambda e: _among(e["key"], SUMMARY_FIELDS) & _counters(e["value"]))
@@ -84,52 +87,48 @@ def _found(nodes: DataFrame) -> DataFrame:
     secret = F.filter(entries, lambda e: _among(F.lower(e["key"]), SECRET_FIELDS) & _there(e["value"]))
     person = _truthy(of, "channel_url") & _truthy(of, "display_name") & ~_truthy(of, "vtuber_channel_id")
 
+    def hit(rule: str, key: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.lit(None).cast("variant").alias("value"))
+
     def named(rule: str, which: Column) -> Column:
-        return F.transform(which, lambda e: F.struct(F.lit(rule).alias("rule"), e["key"].alias("key")))
+        return F.transform(which, lambda e: hit(rule, e["key"]))
 
     def one(rule: str, key: str) -> Column:
-        return F.array(F.struct(F.lit(rule).alias("rule"), F.lit(key).alias("key")))
+        return F.array(hit(rule, F.lit(key)))
 
-    none = F.array().cast("array<struct<rule: string, key: string>>")
+    none = F.array().cast(_HITS)
     objects = F.concat(
         F.when(summary, none).otherwise(named("private", private)), F.when(~summary & person, one("person", "channel_url")).otherwise(none), named("secret", secret)
     )
     texts = F.when(has_secret_shape(F.col("text")), one("secret", "")).otherwise(none)
-    return nodes.select("id", F.inline(F.when(of.isNotNull(), objects).otherwise(texts)))
+    return F.when(of.isNotNull(), objects).otherwise(texts)
 
 
-def _nodes(values: DataFrame) -> DataFrame:
-    """(id, value) to (id, of, entries, text): the three kinds of nodes that can hold something."""
+def _below(level: DataFrame) -> DataFrame:
+    """(id, rule, key, value), one nesting down: values give way to what they are found to hold and to the values in them,
+    both from one pass; a text that is JSON holds what it says. What was found before stays."""
     value = F.col("value")
-    text = F.when(F.to_json(value).startswith('"'), _as(value, "string"))
-    return values.select("id", _as(value, _MAP).alias("of"), _as(value, _LIST).alias("entries"), text.alias("text")).where("of IS NOT NULL OR entries IS NOT NULL OR text IS NOT NULL")
-
-
-def _below(nodes: DataFrame) -> DataFrame:
-    """(id, value) of what the nodes hold; a text that is JSON holds what it says."""
+    kinds = level.select("id", "rule", "key", _as(value, _MAP).alias("of"), _as(value, _LIST).alias("entries"), "value")
+    text = F.when(F.col("of").isNull() & F.col("entries").isNull() & F.to_json(value).startswith('"'), _as(value, "string"))
+    nodes = kinds.select("id", "rule", "key", "of", "entries", text.alias("text"))
     inner = F.when(F.ltrim("text").rlike(r"^[{\[]"), F.array(F.try_parse_json("text")))
-    held = F.coalesce(F.map_values("of"), F.col("entries"), inner)
-    return nodes.select("id", F.explode(held).alias("value")).where("value IS NOT NULL")
+    held = F.filter(F.coalesce(F.map_values("of"), F.col("entries"), inner, F.array().cast(_HELD)), lambda v: v.isNotNull())
+    values = F.transform(held, lambda v: F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("key"), v.alias("value")))
+    same = F.array(F.struct("rule", "key", F.lit(None).cast("variant").alias("value")))
+    return nodes.select("id", F.inline(F.when(F.col("rule").isNotNull(), same).otherwise(F.concat(_hits(), values))))
 
 
 def findings(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, rule, key): what the records hold, each once."""
-    top = records.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.to_variant_object(F.array(F.col(text_column))).alias("value"))
-    level, found = top, []
+    none = F.lit(None).cast("string")
+    top = F.to_variant_object(F.array(F.col(text_column))).alias("value")
+    level, found = records.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), none.alias("rule"), none.alias("key"), top), []
     while True:
-        steps, here = [], level
-        for depth in range(DEPTH):
-            nodes = _nodes(here)
-            below = _below(nodes)
-            steps.append(_found(nodes).select("id", "rule", "key", F.lit(None).cast("variant").alias("value")))
-            here = below
-        done = steps[0]
-        for step in steps[1:]:
-            done = done.unionAll(step)
-        left = here.select("id", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("key"), "value")
-        table = written(done.unionAll(left))
+        for _ in range(DEPTH):
+            level = _below(level)
+        table = written(level)
         found.append(table.where("rule IS NOT NULL").select("id", "rule", "key"))
-        level = table.where("rule IS NULL").select("id", "value")
+        level = table.where("rule IS NULL")
         if level.isEmpty():
             break
     whole = found[0]

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from crowdweave.operators import overlap, registry
+from crowdweave.operators import overlap, policy, registry
 from crowdweave.plans import commit_queries, delivery_queries, file_queries
 from crowdweave.plans.roles import Roles
 from crowdweave.sources import sinks
@@ -61,3 +61,17 @@ def test_files_that_one_task_reads_are_several(spark, tmp_path, monkeypatch, mod
     assert few == many and len(few) > 0
     found = {n: spark.read.option("recursiveFileLookup", True).text(f"{tmp_path}/{n}").inputFiles() for n in ("in", "more")}
     assert len(found["more"]) > len(found["in"])
+
+
+def test_a_policy_walk_makes_one_pass_over_its_records(spark, monkeypatch):
+    plans = []
+
+    def written(rows, write=policy.written):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows)
+
+    monkeypatch.setattr(policy, "written", written)
+    records = spark.createDataFrame([(1, '{"a": {"viewer_id": "u", "b": ["{\\"author_id\\": 1}"]}}'), (2, "x"), (3, None)], "id long, record string")
+    found = {tuple(r) for r in policy.findings(records, "id", "record").collect()}
+    assert found == {(1, "private", "viewer_id"), (1, "private", "author_id")}
+    assert plans and not any("Union" in plan for plan in plans)
