@@ -17,7 +17,8 @@ repeat. A word that occurs once needs the answer, a word that occurs twice is a
 Words are named by two 64-bit hashes (the gram's and the word's); suffixes are compared by their bytes. One row for each
 phrase travels, so rows grow with the bytes, and Spark counts them by name. Where more than ``HOT``
 distinct words share a gram (a passage that many documents embed), each of their strings goes by its own 128-bit hash
-instead, so that no gram meets in one task. Texts travel compressed.
+instead, so that no gram meets in one task. Texts travel compressed. A Python worker holds a block of about ``BLOCK``
+bytes, and arrays for ``PIECE`` bytes of it at a time.
 
 Defined results: null texts are empty; repeated rows are copies of each other, so strings that both hold go from both;
 texts under LENGTH bytes lose nothing; a very long text is parsed piece by piece and judged whole; extra columns are
@@ -40,11 +41,11 @@ from crowdweave.llm.common import cut, partitions, whole_text
 
 LENGTH = 200
 GRAM = 64
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _U = np.uint64
 _PLACE = _U((1 << 28) - 1)
-#: Starts of one row that are parsed at a time; places in a piece must stay under _PLACE.
-PIECE = 2 << 20
+#: Bytes that are parsed or hashed at a time: some hundred bytes of arrays for each. Places in a piece must stay under _PLACE.
+PIECE = 256 << 10
 #: Distinct words of one gram that are sorted together; beyond, their strings are told apart by hash.
 HOT = 4096
 #: Bytes of words that one task sorts together, about.
@@ -123,7 +124,7 @@ def _parse(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, lengths, size = [], [], [], 0
         for batch in batches:
-            for i, j, data, off in B.slices(batch.column(1)):
+            for i, j, data, off in B.slices(batch.column(1), PIECE):
                 ids.append(batch.column(0).slice(i, j - i))
                 parts.append(data.copy())
                 lengths.append(np.diff(off))
@@ -159,33 +160,36 @@ def _unpacked(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: weight: 2 for a word that repeats as a whole, a witness for others.
-_SENT = pa.schema([*((c, pa.int64()) for c in ("block", "gram", "first", "last")), ("weight", pa.int8()), ("bytes", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
-
-
-def _batch(n: int, **columns) -> pa.Table:
-    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SENT], schema=_SENT)
+_SENT = pa.schema([*((c, pa.int64()) for c in ("block", "gram", "first", "last")), ("weight", pa.int8()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 
 
 def _send(docs: pa.Table, asked: pa.Table) -> pa.Table:
-    """cogroup of a block with its words to be compared: their bytes, or the hashes of their strings."""
+    """cogroup of a block with its words to be compared: their bytes."""
     if not len(docs) or not len(asked):
         return _SENT.empty_table()
     data, _ = _unpacked(docs)
     name = docs.column("block")[0].as_py()
     sample = np.unique(asked.column("word").to_numpy(), return_index=True)[1]
     gram, lo, hi, whole, hot = (asked.column(c).to_numpy()[sample] for c in ("gram", "first", "last", "whole", "hot"))
-    own = np.flatnonzero(~hot)
-    texts = [data[a : b + LENGTH].tobytes() for a, b in zip(lo[own], hi[own], strict=True)]
-    out = [_batch(len(own), block=np.full(len(own), name), gram=gram[own], first=lo[own], last=hi[own], weight=1 + whole[own], bytes=texts)]
-    if hot.any():
-        lo, n, weight = lo[hot], (hi - lo)[hot] + 1, 1 + whole[hot]
-        starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        prefix = B.prefix_hash(data)
-        h1 = B.span_hash(prefix, starts, starts + LENGTH)
-        halves = [B.span_hash(prefix, starts + a, starts + b) for a, b in ((0, LENGTH // 2), (LENGTH // 2, LENGTH))]
-        h2 = B.mix(B.mix(halves[0]) * _U(3) + halves[1])
-        out.append(_batch(len(starts), block=np.full(len(starts), name), first=starts, last=starts, weight=np.repeat(weight, n), h1=h1.view(np.int64), h2=h2.view(np.int64)))
-    return pa.concat_tables(out)
+    texts = [data[a : b + LENGTH].tobytes() for a, b in zip(lo, hi, strict=True)]
+    columns = [np.full(len(lo), name), gram, lo, hi, 1 + whole, hot, texts]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _SENT.types, strict=True)], schema=_SENT)
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: words (block, first, weight, bytes) to their single strings, a little at a time."""
+    for batch in batches:
+        block, first, weight = (batch.column(c).to_numpy() for c in ("block", "first", "weight"))
+        for i, j, data, off in B.slices(batch.column("bytes"), PIECE):
+            n = np.diff(off) - LENGTH + 1
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(off[:-1], n) + step
+            prefix = B.prefix_hash(data)
+            h1 = B.span_hash(prefix, at, at + LENGTH)
+            halves = [B.span_hash(prefix, at + a, at + b) for a, b in ((0, LENGTH // 2), (LENGTH // 2, LENGTH))]
+            h2 = B.mix(B.mix(halves[0]) * _U(3) + halves[1])
+            columns = (np.repeat(block[i:j], n), np.repeat(first[i:j], n) + step, np.repeat(weight[i:j], n), h1.view(np.int64), h2.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "first", "weight", "h1", "h2"])
 
 
 _RUNS = pa.schema([(c, pa.int64()) for c in ("block", "first", "last")])
@@ -251,7 +255,7 @@ def _remove(id_column: str, kind: pa.DataType, with_text: bool):
         cover = np.zeros(len(data) + 1, np.int32)
         np.add.at(cover, runs.column("first").to_numpy(), 1)
         np.add.at(cover, runs.column("last").to_numpy() + LENGTH, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         n_removed = B.counted(gone, off)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -279,12 +283,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = parsed.where("texts is not null").select("block", "ids", "lengths", "texts")
     words = judged(parsed.where("word is not null").select("block", "gram", "word", "first", "last"))
     sent = texts.select("block", "lengths", "texts").groupBy("block").cogroup(words.where("send").groupBy("block"))
-    sent = cut(sent.applyInArrow(_send, "block long, gram long, first long, last long, weight tinyint, bytes binary, h1 long, h2 long"))
-    size = sent.agg(F.sum(F.octet_length("bytes")).alias("b")).first()["b"] or 0
+    sent = cut(sent.applyInArrow(_send, "block long, gram long, first long, last long, weight tinyint, hot boolean, bytes binary"))
+    size = sent.where("not hot").agg(F.sum(F.octet_length("bytes")).alias("b")).first()["b"] or 0
     groups = max(partitions(docs.sparkSession), -(-size // SORTED))
-    found = sent.where("gram is not null").withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(groups)))
+    found = sent.where("not hot").withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(groups)))
     found = found.groupBy("g").applyInArrow(_compare, "block long, first long, last long")
     runs = words.where("whole").select("block", "first", "last").unionByName(found)
-    runs = runs.unionByName(by_hash(sent.where("h1 is not null")))
+    hashed = sent.where("hot").select("block", "first", "weight", "bytes").mapInArrow(_hash, "block long, first long, weight tinyint, h1 long, h2 long")
+    runs = runs.unionByName(by_hash(hashed))
     fields = f"{id_column} {simple}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_remove(id_column, arrow, with_text), fields)

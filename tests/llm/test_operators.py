@@ -370,6 +370,26 @@ def test_long_rows_are_parsed_in_pieces(spark, monkeypatch):
     assert found == dict(enumerate(plain_removed(rows)))
 
 
+def test_parsing_and_hashing_hold_little_memory():
+    """What numpy holds at most while 12 MB are parsed and 3 MB of words are hashed."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    texts = [bytes(draw.integers(97, 123, 12_000, np.uint8)).decode() for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["id", "text"])
+    words = [t[:300].encode() for t in texts for _ in range(10)]
+    n = len(words)
+    sent = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array(range(n)), pa.array([1] * n, pa.int8()), pa.array(words)], names=["block", "first", "weight", "bytes"])
+    for run, rows in ((substring_dedup._parse(pa.int64()), batch), (substring_dedup._hash, sent)):
+        tracemalloc.start()
+        found = sum(x.num_rows for x in run(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found > n and peak < 80e6
+
+
 def test_ranks_are_the_order_of_bytes():
     draw = np.random.default_rng(4)
     data = np.concatenate([draw.integers(0, 2, 900), np.full(700, 255), draw.integers(0, 256, 400)] * 2).astype(np.uint8)
