@@ -15,8 +15,9 @@ values: at most ``capacity`` classes, however many rows there are, and the last
 sees the class counts of a part; the rows themselves are ranked inside their class in hash buckets and take their place
 by a join with the matched runs. The driver sees the number of pieces.
 
-``pack_scheduled`` keeps the order of a mixing schedule: each range of ``RANGE_BLOCKS`` consecutive blocks is packed on
-its own, and sequences are numbered range by range, so that a prefix of them is a prefix of the schedule, up to a range.
+``pack_scheduled`` keeps the order of a mixed table, as it stands in the files: each range of ``RANGE_BLOCKS`` consecutive
+blocks is packed on its own, and sequences are numbered range by range, so that a prefix of them is a prefix of the table,
+up to a range. Rows that are not mixed are mixed first.
 Its sweeps run side by side, one per range; the driver sees the number of sequences of each range.
 
 Defined results: null texts are empty (one end id); repeated rows are packed once each; ties are placed by rank; a very
@@ -335,14 +336,16 @@ def pack_scheduled(
     docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, range_blocks: int = RANGE_BLOCKS,
     id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
 ) -> DataFrame:
-    """Tokenize whole documents and pack them in the order of the mixing schedule; one row per piece."""
+    """Tokenize whole documents and pack them in the order of their mixed table; one row per piece."""
     spark = docs.sparkSession
+    columns = {"id": F.col(id_column), "source": F.col(source_column), "text": F.col(text_column)}
+    rows, block_docs = mixing.located(docs.select(*(c.alias(name) for name, c in columns.items())), "id", "source")
+    rows = rows.select(F.struct("id", "source", "stretch", "row").alias("doc"), "text")
+    found = cut(pieces(rows, path or vocabulary_path(), capacity, end_id, "doc", "text"))
+    found = mixing.turns(found.select("doc.*", "piece", "start", "length", "ids_crc32"), block_docs)
     # the number tells rows with equal ids apart; it is fixed when the pieces are written
-    key = F.struct(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.monotonically_increasing_id().alias("row"))
-    found = cut(pieces(docs.select(key.alias("doc"), text_column), path or vocabulary_path(), capacity, end_id, "doc", text_column))
-    slots = mixing.placed(found.where("piece = 0").select("doc.*")).select("row", F.expr(f"turn div {int(range_blocks)}").alias("range"))
-    found = found.select(F.col("doc.id").alias(id_column), F.col("doc.row").alias("row"), "piece", "start", "length", "ids_crc32")
-    found = cut(found.join(slots, "row"))
+    number, place = F.monotonically_increasing_id().alias("row"), F.expr(f"turn div {int(range_blocks)}").alias("range")
+    found = cut(found.select(F.col("id").alias(id_column), number, "piece", "start", "length", "ids_crc32", place))
     counts = found.groupBy("range", "length").agg(F.count(F.lit(1)).alias("n"))
     schema = "r_range long, r_length long, r_from long, r_n long, r_sequence long, r_offset long"
     runs = cut(counts.groupBy("range").applyInArrow(_swept(capacity), schema))

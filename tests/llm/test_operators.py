@@ -960,6 +960,41 @@ def test_packing_in_ranges_on_awkward_rows(docs):
     assert packing.pack_scheduled(docs.limit(0)).count() == 0
 
 
+def test_packing_takes_over_the_order_of_mixing(spark, tmp_path):
+    """Weights and blocks of the stage before decide which sequences a source goes to; the same holds for a table in a reader's hands."""
+    docs = spark.createDataFrame([(k, f"text {k}", "ab"[k % 2]) for k in range(4000)], "doc_id long, text string, source string")
+    mixed = mixing.mixed(docs, {"a": 3, "b": 1}, block_docs=4)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    plan = {r.doc_id: (r.slot, r.place) for r in mixing.schedule(docs, {"a": 3, "b": 1}, block_docs=4).collect()}
+    order = sorted(plan, key=plan.get)
+    for table in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        found = packing.pack_scheduled(table, range_blocks=50).collect()
+        assert sorted(r.doc_id for r in found) == list(range(4000))
+        sequences = defaultdict(set)
+        for r in found:
+            sequences[r.sequence_id].add(r.doc_id)
+        at, k = 0, 0
+        while at < 4000:  # ranges of 50 blocks of 4, one after the other
+            own = set(order[at : at + 200])
+            while own:
+                assert sequences[k] <= own
+                own, k = own - sequences[k], k + 1
+            at += 200
+        assert k == len(sequences)
+    first = [d for k in range(len(sequences) // 4) for d in sequences[k]]
+    assert abs(sum(d % 2 == 0 for d in first) / len(first) - 0.75) < 0.02
+
+
+def test_turns_are_those_of_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 7)
+    docs = spark.createDataFrame([(k, "", [None, "a", "b"][min(k % 5, 2)]) for k in range(333)], "doc_id long, text string, source string")
+    rows = docs.select(F.col("doc_id").alias("id"), "source")
+    expected = {r.id: r.turn for r in mixing.placed(rows).collect()}
+    found, block_docs = mixing.located(docs)
+    found = mixing.turns(found.withColumn("piece", F.explode(F.array(F.lit(0), F.lit(1)))), block_docs).collect()
+    assert Counter((r.doc_id, r.turn) for r in found) == Counter([*expected.items()] * 2)
+
+
 @pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_registered_query(spark, name):
     if not os.path.isdir(FOLDER):
