@@ -26,7 +26,7 @@ def recompute_gate(r: Roles) -> DataFrame:
 
 @query("interactions", _PRESENCE + " SELECT creator_a, creator_b, shared_any FROM rated ORDER BY shared_any DESC, creator_a, creator_b LIMIT 50")
 def edges_in_order(r: Roles) -> DataFrame:
-    return overlap.overlap_edges(r.interactions).select("creator_a", "creator_b", "shared_any").orderBy(*workflow.edge_order()).limit(50)
+    return overlap.overlap_edges(r.dealt).select("creator_a", "creator_b", "shared_any").orderBy(*workflow.edge_order()).limit(50)
 
 
 @query("personas", "SELECT id, canonical_name FROM personas ORDER BY lower(canonical_name) ASC NULLS LAST, id LIMIT (SELECT count(*) * 9 // 10 FROM personas)")
