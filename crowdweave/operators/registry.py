@@ -52,21 +52,23 @@ def creators_table(accounts: DataFrame, links: DataFrame, personas: DataFrame, a
 
 
 def network_table(edges: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Edges with the names of both sides, strongest first. Edges are written before they are named: names of creators in
-    edges are few, so that edges need not be shuffled to meet them, and ranges of the order are drawn from what is written."""
+    """Edges with the names of both sides, strongest first. Edges are written before they are dealt into ranges of the order,
+    and named where they lie then: ranges are drawn from what is written, and no name travels."""
     out = written(edges.where("shared_any > 0"))
     ends = out.select(F.explode(F.array_distinct(F.array("creator_a", "creator_b"))).alias("platform_id")).distinct()
     names = accounts.where("platform = 'youtube' and platform_id is not null").select("platform_id", "name")
     names = written(names.join(ends, "platform_id", "left_semi"))
+    order = [F.desc("shared_any"), F.asc("creator_a"), F.asc("creator_b")]
+    out = out.repartitionByRange(*order)
     for s in "ab":
-        own = names.select(F.col("platform_id").alias(f"creator_{s}"), F.col("name").alias(f"name_{s}"))
-        out = out.join(own, f"creator_{s}", "left")
-    return out.select(
+        own = names.select(F.col("platform_id").alias(f"own_{s}"), F.col("name").alias(f"name_{s}"))
+        out = out.join(own, F.col(f"creator_{s}") == F.col(f"own_{s}"), "left").drop(f"own_{s}")
+    return out.orderBy(*order).select(
         F.col("creator_a").alias("channel_a_id"), given("name_a", F.col("creator_a")).alias("channel_a"), F.lit(DEFAULT_AGENCY).alias("agency_a"),
         F.col("creator_b").alias("channel_b_id"), given("name_b", F.col("creator_b")).alias("channel_b"), F.lit(DEFAULT_AGENCY).alias("agency_b"),
         F.col("shared_any").alias("shared_viewers"), F.col("shared_live_chat"), F.col("shared_comments"), F.col("strong_shared_any").alias("strong_shared"),
         "strong_shared_live_chat", "strong_shared_comments", "jaccard", "simpson",
-    ).orderBy(F.desc("shared_viewers"), "channel_a_id", "channel_b_id")
+    )
 
 
 def platform_table(accounts: DataFrame, links: DataFrame, personas: DataFrame, platform: str) -> DataFrame:

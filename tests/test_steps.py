@@ -46,6 +46,15 @@ def test_edges_are_made_once_before_they_are_named(spark):
     assert [(r.channel_a, r.channel_b, r.shared_viewers) for r in named.collect()] == [("first", "B", 2), ("first", "C", 2), ("B", "C", 2)]
 
 
+def test_edges_are_named_after_they_are_dealt_into_ranges(spark):
+    seen = spark.createDataFrame([(c, "v", u, "comment", None) for c in "ABC" for u in "xy"], "creator_id string, video_id string, viewer_id string, source_type string, observed_at timestamp")
+    accounts = spark.createDataFrame([("1", "youtube", "A", "first")], "id string, platform string, platform_id string, name string")
+    plan = registry.network_table(overlap.overlap_edges(seen), accounts)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    dealt = [i for i, line in enumerate(lines) if "rangepartitioning(" in line]
+    assert len(dealt) == 1 and dealt[0] > max(i for i, line in enumerate(lines) if "Join" in line)
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 
