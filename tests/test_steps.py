@@ -58,6 +58,13 @@ def test_edges_are_named_after_they_are_dealt_into_ranges(spark):
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_presence_of_snapshots_is_dealt_once(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    plan = overlap.viewer_presence(Roles(spark, FOLDER).snapshots)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(" in line for line in plan.splitlines()) == 1
+
+
 @pytest.mark.parametrize(("module", "name", "size"), [(delivery_queries, "seed_candidates", "SEEDS_A_FILE"), (commit_queries, "guarded_rows", "ROWS_A_FILE")])
 def test_files_that_one_task_reads_are_several(spark, tmp_path, monkeypatch, module, name, size):
     if not os.path.isdir(FOLDER):
