@@ -388,7 +388,7 @@ def fingerprint_inputs(r: Roles) -> DataFrame:
     def count(name: str, rows: DataFrame) -> DataFrame:
         return rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("name"), "value")
 
-    return checks.fingerprint([count("accounts", r.accounts), count("interactions", r.interactions), count("verified", r.personas.where("review_status = 'verified'"))])
+    return checks.fingerprint([count("accounts", r.accounts), count("interactions", r.facts), count("verified", r.personas.where("review_status = 'verified'"))])
 
 
 _SEALED = {"accounts": 100, "personas": 10, "nation": 26}

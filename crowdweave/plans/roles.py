@@ -16,16 +16,21 @@ class Roles:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @property
-    def sightings(self) -> DataFrame:
-        """Raw presence rows, with repeats; every 97th viewer is blank."""
+    def _seen(self) -> DataFrame:
+        """Lines with their orders, beside the columns of sightings; ``l_orderkey`` tells the video."""
         items = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_shipdate")
         joined = items.join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.select(
-            F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("creator_id"), F.concat(F.lit("v"), F.col("l_orderkey")).alias("video_id"),
+            "l_orderkey", F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("creator_id"), F.concat(F.lit("v"), F.col("l_orderkey")).alias("video_id"),
             F.when(F.col("o_custkey") % 97 == 0, " ").otherwise(F.concat(F.lit("u"), F.col("o_custkey"))).alias("viewer_id"),
             F.when(F.col("l_returnflag") == "R", "comment").otherwise("live_chat").alias("source_type"), F.col("l_shipdate").alias("observed_at"),
         )
 
+    @property
+    def sightings(self) -> DataFrame:
+        """Raw presence rows, with repeats; every 97th viewer is blank."""
+        return self._seen.drop("l_orderkey")
+
     @property
     def dealt(self) -> DataFrame:
         """Sightings by creator and viewer: later groups by both need no other shuffle. Enough where repeats do not count."""
@@ -36,6 +41,12 @@ class Roles:
         """Presence facts, unique by creator, video, viewer and source."""
         return self.dealt.groupBy("creator_id", "video_id", "viewer_id", "source_type").agg(F.min("observed_at").alias("observed_at"))
 
+    @property
+    def facts(self) -> DataFrame:
+        """Creator, viewer and source of each interaction. Told apart by the key of the join, by which rows are already dealt,
+        so that counting interactions deals nothing anew."""
+        return self._seen.select("l_orderkey", "creator_id", "viewer_id", "source_type").distinct().drop("l_orderkey")
+
     @property
     def snapshots(self) -> DataFrame:
         """Presence with first and last time and appearances."""

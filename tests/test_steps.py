@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crowdweave.operators import overlap, policy, registry
 from crowdweave.plans import commit_queries, delivery_queries, file_queries, stream_queries
+from crowdweave.plans.queries import QUERIES
 from crowdweave.plans.roles import Roles
 from crowdweave.sources import sinks
 from crowdweave.streaming import ingest
@@ -65,6 +66,21 @@ def test_presence_of_snapshots_is_dealt_once(spark):
     assert sum("Exchange hashpartitioning(" in line for line in plan.splitlines()) == 1
 
 
+def test_counting_interactions_deals_nothing_but_the_join(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    roles = Roles(spark, FOLDER)
+    assert roles.facts.count() == roles.interactions.count() == roles.interactions.distinct().count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = QUERIES["fingerprint_inputs"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("creator_id" in line or "viewer_id" in line for line in dealt)
+
+
 @pytest.mark.parametrize(("module", "name", "size"), [(delivery_queries, "seed_candidates", "SEEDS_A_FILE"), (commit_queries, "guarded_rows", "ROWS_A_FILE")])
 def test_files_that_one_task_reads_are_several(spark, tmp_path, monkeypatch, module, name, size):
     if not os.path.isdir(FOLDER):
